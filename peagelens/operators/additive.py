@@ -1,0 +1,150 @@
+"""Numeric helpers that run inside grouped Spark functions, on one hourly series each."""
+
+import sys
+import zlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+
+from peagelens.schema import BAND_Z
+
+# Sent to the workers with each function, so they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SEASON_PRIOR = 10.0
+CHANGEPOINT_PRIOR = 0.15
+BASE_PRIOR = 5.0
+CHANGEPOINTS = 25
+CHANGEPOINT_RANGE = 0.8
+
+
+def _trend(t: np.ndarray, changepoints: np.ndarray) -> np.ndarray:
+    bends = np.maximum(t[:, None] - changepoints[None, :], 0.0)
+    return np.column_stack([np.ones_like(t), t, bends])
+
+
+def _ridge(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
+    """Least squares with normal priors on the weights; noise level from a first pass."""
+    gram, moment = x.T @ x, x.T @ y
+    noise = 0.1
+    for _ in range(2):
+        beta = np.linalg.solve(gram + np.diag(noise**2 / prior**2), moment)
+        noise = max(float(np.std(y - x @ beta)), 1e-4)
+    return beta, noise
+
+
+class AdditiveFit:
+    """Piecewise linear trend plus seasonal waves on scaled time and target."""
+
+    def __init__(self, days: np.ndarray, waves: np.ndarray, y: np.ndarray):
+        self.start, self.length = days[0], max(days[-1] - days[0], 1.0 / 24)
+        self.scale = max(float(np.abs(y).max()), 1.0)
+        count = min(CHANGEPOINTS, max(len(y) - 1, 0))
+        self.changepoints = np.linspace(0, CHANGEPOINT_RANGE, count + 1)[1:]
+        design = np.hstack([self._trend_part(days), waves])
+        prior = np.concatenate(
+            [[BASE_PRIOR] * 2, [CHANGEPOINT_PRIOR] * count, [SEASON_PRIOR] * waves.shape[1]]
+        )
+        self.beta, noise = _ridge(design, y / self.scale, prior)
+        self.noise = noise * self.scale
+
+    def _trend_part(self, days: np.ndarray) -> np.ndarray:
+        return _trend((days - self.start) / self.length, self.changepoints)
+
+    def trend(self, days: np.ndarray) -> np.ndarray:
+        part = self._trend_part(days)
+        return part @ self.beta[: part.shape[1]] * self.scale
+
+    def seasons(self, waves: np.ndarray) -> np.ndarray:
+        """Weighted waves, one column each."""
+        return waves * self.beta[2 + len(self.changepoints) :] * self.scale
+
+    def predict(self, days: np.ndarray, waves: np.ndarray) -> np.ndarray:
+        return self.trend(days) + self.seasons(waves).sum(axis=1)
+
+
+def fit_series(
+    keys: Sequence[str], season_names: Sequence[str], multiplicative: bool, train_ratio: float
+):
+    """The grouped function: rows of one series in, the same rows with its fit out."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ds", kind="stable").reset_index(drop=True)
+        season_of = {
+            name: [c for c in rows.columns if c.startswith(f"{name}_")] for name in season_names
+        }
+        wave_names = [c for name in season_names for c in season_of[name]]
+        at_days = rows["_days"].to_numpy(float)
+        waves = rows[wave_names].to_numpy(float)
+        known = rows["y"].notna().to_numpy()
+        y = rows["y"].to_numpy(float)
+        target = np.log1p(y) if multiplicative else y
+        back = np.expm1 if multiplicative else (lambda v: v)
+
+        n = int(known.sum())
+        n_train = int(n * train_ratio)
+        held = np.full(len(rows), np.nan)
+        if n_train > 0:
+            past = np.flatnonzero(known)[:n_train]
+            test = np.flatnonzero(known)[n_train:]
+            early = AdditiveFit(at_days[past], waves[past], target[past])
+            held[test] = np.maximum(back(early.predict(at_days[test], waves[test])), 0.0)
+
+        model = AdditiveFit(at_days[known], waves[known], target[known])
+        trend, parts = model.trend(at_days), model.seasons(waves)
+        centre = trend + parts.sum(axis=1)
+        out = rows[[*keys, "ds", "y"]].copy()
+        out["yhat"] = back(centre)
+        out["yhat_lower"] = back(centre - BAND_Z * model.noise)
+        out["yhat_upper"] = back(centre + BAND_Z * model.noise)
+        out["yhat_holdout"] = held
+        out["trend"] = trend
+        at = 0
+        for name in season_names:
+            width = len(season_of[name])
+            out[name] = parts[:, at : at + width].sum(axis=1)
+            at += width
+        return out
+
+    return fit
+
+
+def key_noise(scale_by: float, seed: int):
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            noise = [
+                np.random.default_rng(
+                    [seed, zlib.crc32(str(gare).encode()), int(hour)]
+                ).standard_normal()
+                for gare, hour in zip(rows["gare"], rows["_hour"])
+            ]
+            rows["_noise"] = np.array(noise) * rows["_y_std"].fillna(0.0) * scale_by
+            yield rows
+
+    return draw
+
+
+def roll_out(weights: np.ndarray, bias: float, horizon: int, noise_std: float, seed: int):
+    """Predict hour by hour, feeding each clipped, noisy value back into the window."""
+
+    def roll(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ds", kind="stable")
+        window = rows["y_scaled"].to_numpy(float)
+        rng = np.random.default_rng(seed)
+        clean = np.empty(horizon)
+        for i in range(horizon):
+            clean[i] = window @ weights + bias
+            fed_back = clean[i] + (rng.normal(0.0, noise_std) if noise_std else 0.0)
+            window = np.append(window[1:], min(max(fed_back, 0.0), 1.0))
+        last, low, high = rows["ds"].iloc[-1], rows["_low"].iloc[0], rows["_high"].iloc[0]
+        return pd.DataFrame(
+            {
+                "hour": np.arange(horizon, dtype="int32"),
+                "ds": pd.date_range(last + pd.Timedelta(hours=1), periods=horizon, freq="h"),
+                "predicted": np.maximum(clean * (high - low) + low, 0.0),
+            }
+        )
+
+    return roll
