@@ -156,12 +156,12 @@ def density(df: DataFrame, value: str, bins: int = 100, points: int = 200) -> Da
     freq = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     scaled = freq.select("_c", ((F.col("_v") - low) / h).alias("_z"), (step / h).alias("_dz"))
 
-    def kernel_sum(i: int) -> Column:
-        z = F.col("_z") - F.col("_dz") * i
-        return F.sum(F.col("_c") * F.exp(z * z * -0.5))
-
-    sums = scaled.agg(*[kernel_sum(i).alias(f"_{i}") for i in range(points)])
-    rows = sums.select(F.posexplode(F.array(*[f"_{i}" for i in range(points)])).alias("point", "s"))
+    sums = ", ".join(
+        f"sum(_c * exp(-0.5D * (_z - {i} * _dz) * (_z - {i} * _dz)))" for i in range(points)
+    )
+    rows = scaled.agg(F.expr(f"array({sums})").alias("sums")).select(
+        F.posexplode("sums").alias("point", "s")
+    )
     value_at = F.col("s") / (n * h * math.sqrt(2.0 * math.pi))
     return rows.select(
         "point",

@@ -29,18 +29,15 @@ def transform(raw: DataFrame, run_ts: datetime | None = None) -> DataFrame:
     """
     stamp = (run_ts or datetime.now()).isoformat(sep=" ")
     amount = to_number_or_null(F.col("montant_paye"))
-    typed = (
-        normalise_headers(raw)
-        .withColumns(
-            {
-                "id_transaction": F.col("id_transaction").try_cast("bigint"),
-                "date_heure": to_timestamp_or_null(F.col("date_heure")),
-                "voie": F.col("voie").try_cast("int"),
-                "montant_paye": amount,
-                "montant_net": clip_low(amount),
-                "load_timestamp": F.lit(stamp).cast("timestamp_ntz"),
-            }
-        )
+    typed = normalise_headers(raw).withColumns(
+        {
+            "id_transaction": F.col("id_transaction").try_cast("bigint"),
+            "date_heure": to_timestamp_or_null(F.col("date_heure")),
+            "voie": F.col("voie").try_cast("int"),
+            "montant_paye": amount,
+            "montant_net": clip_low(amount),
+            "load_timestamp": F.lit(stamp).cast("timestamp_ntz"),
+        }
     )
     return typed.to(FACT)
 
@@ -52,13 +49,17 @@ class EtlReport:
 
 
 def run_etl(
-    spark: SparkSession, csv_path: str, fact_path: str, run_ts: datetime | None = None
+    spark: SparkSession,
+    csv_path: str,
+    fact_path: str,
+    run_ts: datetime | None = None,
+    rebalance: bool = True,
 ) -> EtlReport:
     """CSV to fact table, full refresh. Rows are counted while they are written."""
     started = time.monotonic()
     seen = Observation("etl")
     fact = transform(read_raw(spark, csv_path), run_ts)
-    write_fact(fact.observe(seen, F.count(F.lit(1)).alias("rows")), fact_path)
+    write_fact(fact.observe(seen, F.count(F.lit(1)).alias("rows")), fact_path, rebalance)
     report = EtlReport(seen.get["rows"], time.monotonic() - started)
     log.info("loaded %d rows in %.2f s", report.rows, report.seconds)
     return report

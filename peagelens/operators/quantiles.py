@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 256  # a power of two
 
 
 def exact_quantiles(
@@ -62,16 +62,21 @@ def exact_quantiles(
 
 
 def _place(freq: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Adds ``_b``, the number of cut points below the value."""
+    """Adds ``_b``, the number of cut points below the value, by halving steps."""
     shares = [i / buckets for i in range(1, buckets)]
     cut_points = F.percentile_approx("_v", shares, 10 * buckets)
     if keys:
         cuts = freq.groupBy(*keys).agg(cut_points.alias("_cuts"))
-        joined = freq.join(cuts, keys)
+        placed = freq.join(cuts, keys)
     else:
-        joined = freq.withColumn("_cuts", freq.agg(cut_points).scalar())
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
-    return joined.withColumn("_b", below).drop("_cuts")
+        placed = freq.withColumn("_cuts", freq.agg(cut_points).scalar())
+    placed = placed.withColumn("_b", F.lit(0))
+    step = buckets // 2
+    while step:
+        cut = F.get("_cuts", F.col("_b") + (step - 1))
+        placed = placed.withColumn("_b", F.col("_b") + F.when(cut < F.col("_v"), step).otherwise(0))
+        step //= 2
+    return placed.drop("_cuts")
 
 
 def _ranks(n: Column, p: float) -> tuple[Column, Column, Column]:

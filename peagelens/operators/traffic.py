@@ -295,6 +295,15 @@ def hourly_cube(tx: DataFrame) -> DataFrame:
     )
 
 
+def daily_of_cube(cube: DataFrame) -> DataFrame:
+    """:func:`daily` from the cube."""
+    per_day = keyed(cube, "ds").groupBy(F.to_date("ds").alias("jour")).agg(
+        F.sum("transactions").alias("transactions"),
+        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+    )
+    return per_day.orderBy("jour")
+
+
 def breakdowns(cube: DataFrame) -> DataFrame:
     """Transactions and revenue by station, class, payment, weekday, hour and day.
 
@@ -336,10 +345,8 @@ def peaks(cube: DataFrame) -> DataFrame:
     )
 
 
-def best_worst_day(tx: DataFrame) -> DataFrame:
-    """Days of highest and lowest revenue; the earlier day wins a tie."""
-    day = F.to_date("date_heure").alias("jour")
-    per_day = keyed(tx, "date_heure").groupBy(day).agg(revenue())
+def best_worst_day(per_day: DataFrame) -> DataFrame:
+    """Of :func:`daily` rows, those of highest and lowest revenue; the earlier wins a tie."""
     top = per_day.agg(
         F.min(F.struct((-F.col("revenue")).alias("r"), "jour")).alias("best"),
         F.min(F.struct(F.col("revenue").alias("r"), "jour")).alias("worst"),

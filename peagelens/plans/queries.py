@@ -206,7 +206,7 @@ QUERIES: dict[str, Query] = {
     "eda_summary": lambda s, d: rounded(traffic.headline_shares(_events(s, d)), 4),
     "peaks": lambda s, d: traffic.peaks(traffic.hourly_cube(_paid(s, d))),
     "best_worst_day": lambda s, d: rounded(
-        as_text(traffic.best_worst_day(_paid_orders(s, d)), "jour"), 4
+        as_text(traffic.best_worst_day(traffic.daily(_paid_orders(s, d))), "jour"), 4
     ),
     "top10_gares_revenue": lambda s, d: rounded(traffic.top_by_revenue(_paid_orders(s, d), 10), 4),
     "top3_gares_revenue": lambda s, d: rounded(traffic.top_by_revenue(_orders(s, d), 3), 4),

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local session for tests and the bench. A cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("peagelens")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
@@ -18,9 +20,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="peagelens-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="peagelens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -17,18 +17,23 @@ PAID_COLUMNS = [
 ]
 
 
-def _by_month(df: DataFrame) -> DataFrame:
+def _by_month(df: DataFrame, rebalance: bool = True) -> DataFrame:
     """Rows of a month together, in files of advisory size.
 
     The rebalance step splits a month that holds far more rows than the others
     and merges small ones, so neither one task nor many tiny files result.
     """
-    return df.withColumn(MONTH, month_key(F.col("date_heure"))).hint("rebalance", MONTH)
+    dated = df.withColumn(MONTH, month_key(F.col("date_heure")))
+    return dated.hint("rebalance", MONTH) if rebalance else dated
 
 
-def write_fact(df: DataFrame, path: str) -> None:
-    """Full refresh of the fact table, one folder per month."""
-    _by_month(df).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+def write_fact(df: DataFrame, path: str, rebalance: bool = True) -> None:
+    """Full refresh of the fact table, one folder per month.
+
+    ``rebalance=False`` writes without a shuffle; right for exports that are
+    already in time order, where each task sees one or two months.
+    """
+    _by_month(df, rebalance).write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
 def save_fact_table(df: DataFrame, name: str) -> None:

@@ -1,15 +1,14 @@
 import pytest
 
-from peagelens.session import CHECKPOINT_CONF, local_session
+from peagelens.session import local_session
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, 4)
+    session = local_session(8, 4, str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set(CHECKPOINT_CONF, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
