@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peagelens.operators.numeric import kernel_sums
 from peagelens.operators.quantiles import exact_quantiles
 from peagelens.operators.traffic import keyed
 from peagelens.session import settle
@@ -139,8 +140,8 @@ def density(df: DataFrame, value: str, bins: int = 100, points: int = 200) -> Da
 
     Bandwidth is deviation times ``n ** -0.2``. ``expected_count`` is the density
     on the scale of a histogram of ``bins`` bins. Equal values are merged first;
-    each grid point is one sum, combined on the map side, so no value meets the
-    grid as a row.
+    a task sums the kernel over its Arrow batches and hands on one row per grid
+    point, so values never meet the grid as rows.
     """
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
     shape = known.agg(
@@ -156,19 +157,15 @@ def density(df: DataFrame, value: str, bins: int = 100, points: int = 200) -> Da
     freq = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     scaled = freq.select("_c", ((F.col("_v") - low) / h).alias("_z"), (step / h).alias("_dz"))
 
-    sums = ", ".join(
-        f"sum(_c * exp(-0.5D * (_z - {i} * _dz) * (_z - {i} * _dz)))" for i in range(points)
-    )
-    rows = scaled.agg(F.expr(f"array({sums})").alias("sums")).select(
-        F.posexplode("sums").alias("point", "s")
-    )
+    partial = scaled.mapInPandas(kernel_sums(points), "point int, s double")
+    rows = partial.groupBy("point").agg(F.sum("s").alias("s"))
     value_at = F.col("s") / (n * h * math.sqrt(2.0 * math.pi))
     return rows.select(
         "point",
         (low + F.col("point") * step).alias("x"),
         value_at.alias("density"),
         (value_at * n * (high - low) / bins).alias("expected_count"),
-    ).where(F.col("s").isNotNull())
+    ).where(F.col("x").isNotNull())
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

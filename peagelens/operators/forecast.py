@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import days, epoch_days, hours
 from peagelens.functions.scalars import clip_low, half_even, slug
-from peagelens.operators.additive import (
+from peagelens.operators.numeric import (
     CHANGEPOINT_PRIOR,
     fit_series,
     key_noise,

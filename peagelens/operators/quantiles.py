@@ -1,9 +1,10 @@
 """Exact quantiles per group without holding a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in the memory of
-one task. Here a group is cut at approximate quantiles into buckets, ranks are
-counted per bucket, and only the few buckets that contain a wanted rank are put
-in order. The cut points need not be good for the result to be exact.
+one task. Here all values are cut at approximate quantiles into buckets, ranks
+are counted per key and bucket, and only the few buckets that contain a wanted
+rank are put in order. The cut points need not be good for the result to be
+exact: they only even out the work.
 """
 
 from collections.abc import Sequence
@@ -35,20 +36,8 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_c")
     )
 
-    placed = _place(freq, keys, buckets)
-    # One row per key and bucket: at most `buckets` + 1 rows in a window.
-    totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
-    per_key = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = F.sum("_c").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = totals.withColumns(
-        {"_before": F.coalesce(before, F.lit(0)), "_n": F.sum("_c").over(per_key)}
-    )
-    wanted = F.lit(False)
-    for p in probs:
-        for rank in _ranks(F.col("_n"), p)[:2]:
-            wanted |= (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_c"))
-    hot = ranked.where(wanted).select(*keys, "_b", "_before", "_n")
-
+    placed = _place(freq, buckets)
+    hot = _hot_buckets(placed, keys, probs)
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
     upto = F.col("_before") + F.sum("_c").over(
         in_bucket.rowsBetween(Window.unboundedPreceding, 0)
@@ -61,16 +50,15 @@ def exact_quantiles(
     return found.select(*keys, "n", F.array(*quantiles).alias("quantiles"))
 
 
-def _place(freq: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Adds ``_b``, the number of cut points below the value, by halving steps."""
+def _place(freq: DataFrame, buckets: int) -> DataFrame:
+    """Adds ``_b``, the number of cut points below the value, by halving steps.
+
+    The cut points split the values of all keys together, so no key's share of
+    a bucket is larger than the bucket.
+    """
     shares = [i / buckets for i in range(1, buckets)]
-    cut_points = F.percentile_approx("_v", shares, 10 * buckets)
-    if keys:
-        cuts = freq.groupBy(*keys).agg(cut_points.alias("_cuts"))
-        placed = freq.join(cuts, keys)
-    else:
-        placed = freq.withColumn("_cuts", freq.agg(cut_points).scalar())
-    placed = placed.withColumn("_b", F.lit(0))
+    cuts = freq.agg(F.percentile_approx("_v", shares, 4 * buckets)).scalar()
+    placed = freq.withColumns({"_cuts": cuts, "_b": F.lit(0)})
     step = buckets // 2
     while step:
         cut = F.get("_cuts", F.col("_b") + (step - 1))
@@ -79,6 +67,22 @@ def _place(freq: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return placed.drop("_cuts")
 
 
+def _hot_buckets(placed: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Keys and buckets that hold a wanted rank, with the number of rows before and in all."""
+    totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    # One row per key and bucket, so at most `buckets` rows in a window.
+    per_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("_c").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = totals.withColumns(
+        {"_before": F.coalesce(before, F.lit(0)), "_n": F.sum("_c").over(per_key)}
+    )
+    wanted = F.lit(False)
+    for p in probs:
+        for rank in _ranks(F.col("_n"), p)[:2]:
+            wanted |= (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_c"))
+    return ranked.where(wanted).select(*keys, "_b", "_before", "_n")
+
+
 def _ranks(n: Column, p: float) -> tuple[Column, Column, Column]:
     """Ranks (from 0) below and above the quantile, and the position between."""
     position = (n - 1) * F.lit(float(p))

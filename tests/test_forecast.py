@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peagelens.operators import features, forecast, series
-from peagelens.operators.additive import roll_out
+from peagelens.operators.numeric import roll_out
 from peagelens.schema import FACT
 
 
