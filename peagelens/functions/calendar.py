@@ -28,11 +28,6 @@ def weekday_label(number: Column) -> Column:
     return F.get(names, number)
 
 
-def weekday_number_of(label: Column) -> Column:
-    names = F.array(*[F.lit(name) for name in WEEKDAYS_FR])
-    return (F.array_position(names, label) - 1).cast("int")
-
-
 def month_key(ts: Column) -> Column:
     """``YYYY-MM``."""
     return F.date_format(ts, "yyyy-MM")

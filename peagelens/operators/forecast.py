@@ -10,11 +10,11 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import days, epoch_days, hours
-from peagelens.functions.scalars import clip_low, half_even, slug
+from peagelens.functions.scalars import clip, half_even, slug
 from peagelens.operators.numeric import (
     CHANGEPOINT_PRIOR,
     fit_series,
@@ -158,9 +158,8 @@ def station_forecast(
     else:
         numbered = numbered.withColumn("_noise", F.lit(0.0))
 
-    def noisy(name: str):
-        raised = F.greatest(F.col(name) + F.col("_noise"), F.lit(0.0))
-        return half_even(F.least(raised, F.col("_cap")), 2)
+    def noisy(name: str) -> Column:
+        return half_even(clip(F.col(name) + F.col("_noise"), 0.0, F.col("_cap")), 2)
 
     return numbered.select(
         "gare",
@@ -223,6 +222,11 @@ def model_registry(
     )
 
 
+def registry_index(registry: DataFrame) -> DataFrame:
+    """The short form of the registry: where each station's model stands."""
+    return registry.select("gare", "name", "future_hours", "noise_std", "metrics")
+
+
 GLOBAL_SEASONS = (("daily", 1.0, 4), ("weekly", 7.0, 3), ("yearly", 365.25, 10))
 
 

@@ -77,6 +77,8 @@ def test_station_metrics_and_registry(fit):
     assert record.gare_safe == "b_c" and record.n_hours_train == 384
     assert record.fourier_orders.asDict() == {"daily": 10, "weekly": 5, "yearly": 8}
     assert record.metrics.mae == metrics["B-C"].mae
+    index = forecast.registry_index(forecast.model_registry(fit, 48)).orderBy("gare").collect()
+    assert [r.name for r in index] == ["additive_gare_a", "additive_gare_b_c"]
     components = forecast.station_components(fit, 2)
     assert components.where("y is null").count() == 96
     assert components.where("y is not null").count() == 2 * 49

@@ -328,6 +328,11 @@ def test_tails(spark):
     assert series.last_days(keyed, 1, ["k"]).groupBy("k").count().collect()[0][1] == 13
 
 
+def test_anomalies(gap):
+    assert [r.id_transaction for r in traffic.anomalies(gap).collect()] == [5]
+    assert traffic.anomaly_rate(gap).first().pct == 20.0
+
+
 def test_slug(spark):
     df = spark.createDataFrame([("Porto-Novo Est",)], "g string")
     assert df.select(slug(F.col("g"))).first()[0] == "porto_novo_est"
