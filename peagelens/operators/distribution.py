@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from peagelens.operators.numeric import kernel_sums
 from peagelens.operators.quantiles import exact_quantiles
-from peagelens.operators.traffic import keyed
+from peagelens.operators.traffic import keyed, revenue
 from peagelens.session import settle
 
 FENCE = 1.5
@@ -202,7 +202,7 @@ def pivot_month_year(tx: DataFrame, measure: str, years: Sequence[int] | None =
         F.month(at).alias("mois_num"),
         F.date_format(at, "MMMM").alias("mois"),
         F.year(at).alias("annee"),
-    ).agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("montant_net"), F.lit(0.0)).alias("revenue"))
+    ).agg(F.count(F.lit(1)).alias("count"), revenue())
     if years is None:
         months = settle(months, "months")
     pivoted = months.groupBy("mois_num", "mois").pivot("annee", years)

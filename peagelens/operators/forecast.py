@@ -30,13 +30,11 @@ from peagelens.operators.features import (
 )
 from peagelens.operators.series import (
     chrono_split,
-    fill_gaps,
     hourly_counts,
     hourly_series,
     last_rows,
     series_stats,
     series_window,
-    with_position,
 )
 from peagelens.schema import (
     CAP_FACTOR,
@@ -119,7 +117,8 @@ def fit_additive(
 def extend_hours(series: DataFrame, n: int, keys: Sequence[str] = ("gare",)) -> DataFrame:
     """The series and ``n`` further hours with null ``y``."""
     ends = series.groupBy(*keys).agg(F.max("ds").alias("_end"))
-    future = F.sequence(F.col("_end") + hours(1), F.col("_end") + hours(n), hours(1))
+    end = F.col("_end")
+    future = F.sequence(end + hours(1), end + hours(n), hours(1))
     rows = ends.select(*keys, F.explode(future).alias("ds"), F.lit(None).cast("bigint").alias("y"))
     return series.select(*keys, "ds", "y").unionByName(rows)
 

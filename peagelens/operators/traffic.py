@@ -100,8 +100,8 @@ def daily(tx: DataFrame) -> DataFrame:
 def hourly_profile(tx: DataFrame) -> DataFrame:
     """Passages per hour of day; hours without any are absent."""
     hour = F.hour("date_heure").alias("heure")
-    counts = keyed(tx, "date_heure").groupBy(hour).agg(F.count(F.lit(1)).alias("nombre_transactions"))
-    return counts.orderBy("heure")
+    counts = keyed(tx, "date_heure").groupBy(hour).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("heure", F.col("n").alias("nombre_transactions")).orderBy("heure")
 
 
 def weekday_counts(tx: DataFrame) -> DataFrame:
@@ -304,10 +304,11 @@ def daily_of_cube(cube: DataFrame) -> DataFrame:
     return per_day.orderBy("jour")
 
 
-def breakdowns(cube: DataFrame) -> DataFrame:
+def breakdowns(cube: DataFrame, only: Sequence[str] = ()) -> DataFrame:
     """Transactions and revenue by station, class, payment, weekday, hour and day.
 
-    Grouping sets over the cube: one shuffle for all six breakdowns.
+    Grouping sets over the cube: one shuffle for all six breakdowns, or for
+    those named.
     """
     dims = {
         "gare": F.col("gare"),
@@ -317,6 +318,7 @@ def breakdowns(cube: DataFrame) -> DataFrame:
         "heure": F.hour("ds").cast("string"),
         "jour": F.date_format("ds", "yyyy-MM-dd"),
     }
+    dims = {name: column for name, column in dims.items() if not only or name in only}
     wide = cube.select(
         *[column.alias(f"_{name}") for name, column in dims.items()], "transactions", "revenue"
     )
@@ -335,7 +337,7 @@ def breakdowns(cube: DataFrame) -> DataFrame:
 
 def peaks(cube: DataFrame) -> DataFrame:
     """Busiest day, hour of day and station; the first in key order wins a tie."""
-    rows = breakdowns(cube).where(F.col("dimension").isin("jour", "heure", "gare"))
+    rows = breakdowns(cube, ["jour", "heure", "gare"])
     order = F.when(F.col("dimension") == "heure", F.lpad("label", 2, "0")).otherwise(F.col("label"))
     best = F.min(F.struct((-F.col("transactions")).alias("n"), order.alias("o"), "label"))
     return rows.groupBy("dimension").agg(best.alias("best")).select(

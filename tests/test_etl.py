@@ -6,7 +6,7 @@ from peagelens.operators.etl import normalise_headers, run_etl, transform
 from peagelens.schema import FACT
 from peagelens.session import settle, shared_dir
 from peagelens.sources.exports import as_documents, write_forecast_csv, write_json
-from peagelens.sources.fact import paid, read_fact
+from peagelens.sources.fact import paid, read_fact, save_fact_table
 from peagelens.sources.raw import read_raw, write_raw
 
 STAMP = datetime(2024, 5, 1, 6)
@@ -81,6 +81,15 @@ def test_time_range_reads_only_its_months(spark, tmp_path):
     assert "annee_mois" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+def test_catalog_table(spark):
+    for rows in (ROWS, ROWS[:1]):
+        df = transform(spark.createDataFrame(rows, HEADER), STAMP)
+        save_fact_table(df, "passages_probe")
+        stored = spark.table("passages_probe")
+        assert stored.count() == len(rows) and "annee_mois" in stored.columns
+    spark.sql("DROP TABLE passages_probe")
+
+
 def test_sinks(spark, tmp_path):
     forecast = spark.createDataFrame(
         [(g, datetime(2024, 1, 1, h), 1.5, 0.0, 3.0) for g in ("A", "B") for h in (0, 1)],
