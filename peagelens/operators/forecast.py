@@ -6,7 +6,9 @@ passages.
 """
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -25,6 +27,7 @@ from peagelens.operators.features import (
     TARGET,
     feature_table,
     fourier_features,
+    minmax_bounds,
     minmax_scale,
     sequences,
 )
@@ -246,39 +249,56 @@ def global_forecast(tx: DataFrame, periods: int = 30, step: str = "INTERVAL '1'
 # --- autoregressive roll-out --------------------------------------------------------
 
 
-def autoregressive_forecast(
+@dataclass(frozen=True)
+class AutoRegression:
+    """A linear model of the next hour: one weight per lag, on values scaled by ``low, high``."""
+
+    weights: tuple[float, ...]
+    bias: float
+    low: float
+    high: float
+
+
+def fit_autoregression(
     series: DataFrame,
-    horizon: int = FORECAST_HOURS,
     lookback: int = LOOKBACK_HOURS,
-    noise_std: float = NOISE_STD,
-    seed: int = 0,
     train_ratio: float = TRAIN_RATIO,
     ridge: float = 0.01,
-) -> DataFrame:
-    """Next ``horizon`` hours of the network series from a linear model of its last ``lookback`` hours.
+) -> AutoRegression:
+    """Fit on the first ``train_ratio`` of the windows of a gap-free series ``ds, y``.
 
-    ``series`` is gap-free hourly ``ds, y``; settle it first, it is read several
-    times. The fit is distributed over the windows; only the weights, one per
-    lag, come to the driver. Noise acts on the values fed back, never on those
-    returned.
+    Settle the series first, it is read several times. The fit is distributed
+    over the windows; only the weights come to the driver.
     """
-    scaled = minmax_scale(series, ["y"])
-    windows = sequences(scaled, "y_scaled", lookback, "y_scaled")
-    train = chrono_split(windows, at="ds", train=train_ratio, val=0.0).where(
-        F.col("part") == "train"
-    )
+    windows = sequences(minmax_scale(series, ["y"]), "y_scaled", lookback, "y_scaled")
+    labelled = chrono_split(windows, at="ds", train=train_ratio, val=0.0)
+    train = labelled.where(F.col("part") == "train")
     model = LinearRegression(
         featuresCol="features", labelCol="y", solver="normal", regParam=ridge,
         elasticNetParam=0.0, standardization=False,
     ).fit(train.select(array_to_vector("x").alias("features"), "y"))
-    ends = series.agg(
-        F.struct(F.min("y").cast("double").alias("low"), F.max("y").cast("double").alias("high"))
-    ).scalar()
-    tail = last_rows(scaled, lookback).withColumns(
-        {"_low": ends["low"], "_high": ends["high"], "_series": F.lit(0)}
+    ends = minmax_bounds(series, ["y"]).first()
+    weights = tuple(float(w) for w in model.coefficients)
+    return AutoRegression(weights, float(model.intercept), ends["y_min"], ends["y_max"])
+
+
+def autoregressive_forecast(
+    series: DataFrame,
+    model: AutoRegression,
+    horizon: int = FORECAST_HOURS,
+    noise_std: float = NOISE_STD,
+    seed: int = 0,
+) -> DataFrame:
+    """Next ``horizon`` hours of the network series ``ds, y``, hour by hour.
+
+    Only the last hours the model looks at leave the series. Noise acts on the
+    values fed back, never on those returned.
+    """
+    tail = last_rows(series.select("ds", "y"), len(model.weights))
+    roll = roll_out(
+        np.array(model.weights), model.bias, model.low, model.high, horizon, noise_std, seed
     )
-    roll = roll_out(model.coefficients.toArray(), float(model.intercept), horizon, noise_std, seed)
-    return tail.groupBy("_series").applyInPandas(
+    return tail.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(
         roll, "hour int, ds timestamp_ntz, predicted double"
     )
 
@@ -310,7 +330,9 @@ def with_history(
     past = last_rows(series, hours).select(
         F.lit("history").alias("kind"), "ds", F.col("y").cast("double").alias("value")
     )
-    ahead = forecast.select(F.lit("forecast").alias("kind"), "ds", F.col("predicted").alias("value"))
+    ahead = forecast.select(
+        F.lit("forecast").alias("kind"), "ds", F.col("predicted").alias("value")
+    )
     return past.unionByName(ahead)
 
 

@@ -142,24 +142,33 @@ def key_noise(scale_by: float, seed: int):
     return draw
 
 
-def roll_out(weights: np.ndarray, bias: float, horizon: int, noise_std: float, seed: int):
+def roll_out(
+    weights: np.ndarray,
+    bias: float,
+    low: float,
+    high: float,
+    horizon: int,
+    noise_std: float,
+    seed: int,
+):
     """Predict hour by hour, feeding each clipped, noisy value back into the window."""
+    width = (high - low) or 1.0
 
     def roll(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ds", kind="stable")
-        window = rows["y_scaled"].to_numpy(float)
+        window = (rows["y"].to_numpy(float) - low) / width
         rng = np.random.default_rng(seed)
         clean = np.empty(horizon)
         for i in range(horizon):
             clean[i] = window @ weights + bias
             fed_back = clean[i] + (rng.normal(0.0, noise_std) if noise_std else 0.0)
             window = np.append(window[1:], min(max(fed_back, 0.0), 1.0))
-        last, low, high = rows["ds"].iloc[-1], rows["_low"].iloc[0], rows["_high"].iloc[0]
+        first = rows["ds"].iloc[-1] + pd.Timedelta(hours=1)
         return pd.DataFrame(
             {
                 "hour": np.arange(horizon, dtype="int32"),
-                "ds": pd.date_range(last + pd.Timedelta(hours=1), periods=horizon, freq="h"),
-                "predicted": np.maximum(clean * (high - low) + low, 0.0),
+                "ds": pd.date_range(first, periods=horizon, freq="h"),
+                "predicted": np.maximum(clean * width + low, 0.0),
             }
         )
 

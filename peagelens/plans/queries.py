@@ -145,7 +145,8 @@ def _network(spark: SparkSession, d: str) -> DataFrame:
 
 def _autoregressive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     hourly = _network(spark, d)
-    return hourly, forecast.autoregressive_forecast(hourly, noise_std=0.0)
+    model = forecast.fit_autoregression(hourly)
+    return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
 
 
 def forecast_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -96,12 +96,10 @@ def test_roll_out_feeds_values_back():
     tail = pd.DataFrame(
         {
             "ds": pd.date_range("2024-01-01", periods=3, freq="h"),
-            "y_scaled": [0.2, 0.4, 0.9],
-            "_low": 10.0,
-            "_high": 20.0,
+            "y": [12.0, 14.0, 19.0],
         }
     )
-    out = roll_out(np.array([0.5, 0.0, 0.6]), 0.1, 4, 0.0, 0)(tail)
+    out = roll_out(np.array([0.5, 0.0, 0.6]), 0.1, 10.0, 20.0, 4, 0.0, 0)(tail)
     window, expected = [0.2, 0.4, 0.9], []
     for _ in range(4):
         value = 0.5 * window[0] + 0.6 * window[2] + 0.1
@@ -113,7 +111,8 @@ def test_roll_out_feeds_values_back():
 
 def test_autoregression_continues_a_wave(spark):
     df = hourly(spark, wave(600)).withColumn("y", F.col("y").cast("bigint"))
-    ahead = forecast.autoregressive_forecast(df, 48, 48, noise_std=0.0, ridge=1e-6)
+    model = forecast.fit_autoregression(df, 48, ridge=1e-6)
+    ahead = forecast.autoregressive_forecast(df, model, 48, noise_std=0.0)
     rows = ahead.orderBy("hour").collect()
     assert [r.hour for r in rows] == list(range(48))
     assert np.abs(np.array([r.predicted for r in rows]) - wave(648)[600:]).max() < 5.0
@@ -126,10 +125,9 @@ def test_autoregression_continues_a_wave(spark):
 
 def test_noise_is_fed_back_but_not_returned(spark):
     df = hourly(spark, wave(400)).withColumn("y", F.col("y").cast("bigint"))
-    calm, rough, again = [
-        [r.predicted for r in forecast.autoregressive_forecast(df, 5, 24, s, 3).orderBy("hour").collect()]
-        for s in (0.0, 0.5, 0.5)
-    ]
+    model = forecast.fit_autoregression(df, 24)
+    runs = [forecast.autoregressive_forecast(df, model, 5, s, 3) for s in (0.0, 0.5, 0.5)]
+    calm, rough, again = [[r.predicted for r in run.orderBy("hour").collect()] for run in runs]
     assert rough == again
     assert calm[0] == rough[0] and calm[1:] != rough[1:]
 
