@@ -1,5 +1,7 @@
 """Scalar column expressions: coercion, clipping, growth, text."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,23 @@ def known_text(text: Column) -> Column:
     return F.when(~text.isin(*NA_MARKERS), text)
 
 
-def to_timestamp_or_null(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+def to_timestamp_or_null(text: Column, formats: Sequence[str] = ()) -> Column:
+    """ISO text with a full date, else the first of the given patterns that fits."""
+    iso = F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), text).try_cast("timestamp_ntz")
+    others = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(iso, *others)
 
 
 def to_number_or_null(text: Column) -> Column:
-    """Numeric text to double; a Java type suffix (``1d``) is no number."""
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text).try_cast("double")
+    """Numeric text to double; a Java type suffix (``1d``) is no number, nor is NaN."""
+    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text).try_cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def to_whole_or_null(text: Column, kind: str) -> Column:
+    """Text of a whole number, ``2.0`` too, to an integer type; a fraction becomes null."""
+    number = text.try_cast("decimal(38,6)")
+    return F.when(number == F.floor(number), number).try_cast(kind)
 
 
 def clip_low(x: Column, low: float = 0.0) -> Column:
@@ -38,7 +50,8 @@ def growth_pct(current: Column, previous: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    """Lower case without white space of any kind at the ends."""
+    return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def is_subscriber(status: Column, payment: Column) -> Column:

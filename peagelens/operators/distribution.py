@@ -7,44 +7,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peagelens.operators.numeric import kernel_sums
-from peagelens.operators.quantiles import exact_quantiles
+from peagelens.operators.quantiles import quantiles_of, value_counts
 from peagelens.operators.traffic import keyed, revenue
 from peagelens.session import settle
 
 FENCE = 1.5
 
 
+def _stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, mean, minimum, maximum and sample deviation of :func:`value_counts`.
+
+    The deviation sums squared differences from the mean, so large means cost no digits.
+    """
+    known = F.col("_v").isNotNull()
+    n = F.coalesce(F.sum(F.when(known, F.col("_c"))), F.lit(0))
+    plain = counts.groupBy(*keys).agg(
+        n.alias("count"),
+        (F.sum(F.col("_v") * F.col("_c")) / F.nullif(n, F.lit(0))).alias("mean"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+    )
+    means = plain.select(*keys, F.col("mean").alias("_mean"))
+    if keys:
+        off = counts.join(means, list(keys))
+    else:
+        off = counts.withColumn("_mean", means.scalar())
+    gap = F.col("_v") - F.col("_mean")
+    spread = off.groupBy(*keys).agg(F.sum(gap * gap * F.col("_c")).alias("_ss"))
+    if keys:
+        joined = plain.join(spread, list(keys))
+    else:
+        joined = plain.withColumn("_ss", spread.scalar())
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1)))
+    return joined.withColumn("std", std).drop("_ss")
+
+
 def amount_stats(
     tx: DataFrame, key: str = "classe_vehicule", value: str = "montant_net"
 ) -> DataFrame:
-    """Count, mean, exact median, minimum, maximum and sample deviation per key."""
-    stats = keyed(tx, key).groupBy(key).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.stddev_samp(value).alias("std"),
+    """Count, mean, exact median, minimum, maximum and sample deviation per key; one pass."""
+    counts = value_counts(tx, value, [key], "amounts")
+    median = quantiles_of(counts, [0.5], [key])
+    joined = _stats(counts, [key]).join(
+        median.select(key, F.col("quantiles")[0].alias("median")), key, "left"
     )
-    median = exact_quantiles(tx, value, [0.5], [key])
-    joined = stats.join(median.select(key, F.col("quantiles")[0].alias("median")), key, "left")
     return joined.select(key, "count", "mean", "median", "min", "max", "std")
 
 
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+
+
 def describe(tx: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles, one row per column."""
+    """Count, mean, deviation, extremes and exact quartiles, one row per column; one pass."""
     long = tx.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "variable", "value"
     )
-    stats = long.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["variable"])
+    counts = value_counts(long, "value", ["variable"], "described")
+    quartiles = quantiles_of(counts, [0.25, 0.5, 0.75], ["variable"])
     cut = quartiles.select("variable", *_named(["p25", "p50", "p75"]))
-    return stats.join(cut, "variable", "left").select(
+    return _stats(counts, ["variable"]).join(cut, "variable", "left").select(
         "variable", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -53,44 +75,68 @@ def _named(names: Sequence[str]) -> list[Column]:
     return [F.col("quantiles")[i].alias(name) for i, name in enumerate(names)]
 
 
-def fences(
-    tx: DataFrame, value: str = "montant_net", key: str = "classe_vehicule", reach: float = FENCE
-) -> DataFrame:
-    """Quartiles per key and the fences ``reach`` inter-quartile ranges outside them."""
-    cut = exact_quantiles(tx, value, [0.25, 0.5, 0.75], [key])
+def _fences(counts: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    cut = quantiles_of(counts, [0.25, 0.5, 0.75], keys)
     iqr = F.col("q3") - F.col("q1")
-    return cut.select(key, *_named(["q1", "median", "q3"])).withColumns(
+    return cut.select(*keys, *_named(["q1", "median", "q3"])).withColumns(
         {"low_fence": F.col("q1") - iqr * reach, "high_fence": F.col("q3") + iqr * reach}
     )
 
 
-def _fenced(tx: DataFrame, value: str, key: str) -> DataFrame:
-    """Passages with the fences of their key.
+def fences(
+    tx: DataFrame,
+    value: str = "montant_net",
+    key: str | None = "classe_vehicule",
+    reach: float = FENCE,
+) -> DataFrame:
+    """Quartiles per key and the fences ``reach`` inter-quartile ranges outside them.
+
+    ``key=None`` takes all passages together.
+    """
+    keys = [key] if key else []
+    return _fences(value_counts(tx, value, keys, "amounts"), keys, reach)
+
+
+def _with_fences(rows: DataFrame, bounds: DataFrame, key: str | None) -> DataFrame:
+    """Rows with the fences of their key.
 
     The fences are settled first: the planner sees their real size and sends
-    them to the tasks when they are small, so the fact table does not move.
+    them to the tasks when they are small, so the larger side does not move.
     """
-    bounds = settle(fences(tx, value, key), "fences")
-    return keyed(tx, key, value).join(bounds, key)
+    bounds = settle(bounds, "fences")
+    if key:
+        return rows.join(bounds, key)
+    box = bounds.select(F.struct(*bounds.columns)).scalar()
+    return rows.withColumn("_box", box).select("*", "_box.*").drop("_box")
 
 
 def box_outliers(
-    tx: DataFrame, value: str = "montant_net", key: str = "classe_vehicule"
+    tx: DataFrame, value: str = "montant_net", key: str | None = "classe_vehicule"
 ) -> DataFrame:
     """Passages outside the fences of their key."""
     outside = (F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))
-    return _fenced(tx, value, key).where(outside).select("id_transaction", key, value)
+    rows = keyed(tx, *([key] if key else []), value)
+    fenced = _with_fences(rows, fences(tx, value, key), key).where(outside)
+    return fenced.select("id_transaction", *([key] if key else []), value)
 
 
-def box_stats(tx: DataFrame, value: str = "montant_net", key: str = "classe_vehicule") -> DataFrame:
-    """Quartiles, whiskers (extremes inside the fences) and number of outliers per key."""
-    inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
+def box_stats(
+    tx: DataFrame, value: str = "montant_net", key: str | None = "classe_vehicule"
+) -> DataFrame:
+    """Quartiles, whiskers (extremes inside the fences) and number of outliers per key.
+
+    All from one pass: whiskers and outliers come from the counted values too.
+    """
+    keys = [key] if key else []
+    counts = value_counts(tx, value, keys, "amounts")
+    fenced = _with_fences(counts.where(F.col("_v").isNotNull()), _fences(counts, keys, FENCE), key)
+    inside = F.col("_v").between(F.col("low_fence"), F.col("high_fence"))
     box = ["q1", "median", "q3"]
-    return _fenced(tx, value, key).groupBy(key).agg(
+    return fenced.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in box],
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"),
     )
 
 
@@ -183,12 +229,20 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*lines)))
 
 
-def pivot_mean_amount(tx: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
-    """Mean net amount by payment type (rows) and subscription status (columns)."""
+def pivot_mean_amount(tx: DataFrame) -> DataFrame:
+    """Mean net amount by payment type (rows) and every subscription status found (columns).
+
+    Passages are reduced to sums by payment and status first, so finding the statuses and
+    the pivot are passes over that small result.
+    """
     known = keyed(tx, "type_paiement", "statut_abonnement", "montant_net")
-    return known.groupBy("type_paiement").pivot("statut_abonnement", values).agg(
-        F.avg("montant_net")
+    sums = known.groupBy("type_paiement", "statut_abonnement").agg(
+        F.sum("montant_net").alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    cells = settle(sums, "pivot-cells").select(
+        "type_paiement", "statut_abonnement", (F.col("s") / F.col("n")).alias("mean")
     )
+    return cells.groupBy("type_paiement").pivot("statut_abonnement").agg(F.first("mean"))
 
 
 def pivot_month_year(tx: DataFrame, measure: str, years: Sequence[int] | None = None) -> DataFrame:

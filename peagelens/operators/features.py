@@ -68,8 +68,8 @@ def feature_table(
     windows: Sequence[int] = FEATURE_WINDOWS,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Target and features per hour of the gap-free series."""
-    series = hourly_series(tx, keys, "date", TARGET)
+    """Target, the number of known ids, and features per hour of the gap-free series."""
+    series = hourly_series(tx, keys, "date", TARGET, "id_transaction")
     return add_lags_rolling(with_time_features(series), TARGET, lags, windows, keys)
 
 

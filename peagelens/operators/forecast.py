@@ -5,6 +5,7 @@ function then sees one aggregated series at a time: its rows are hours, never
 passages.
 """
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from peagelens.functions.calendar import days, epoch_days, hours
 from peagelens.functions.scalars import clip, half_even, slug
 from peagelens.operators.numeric import (
+    BASE_PRIOR,
     CHANGEPOINT_PRIOR,
+    CHANGEPOINT_RANGE,
+    CHANGEPOINTS,
+    SEASON_PRIOR,
     fit_series,
-    key_noise,
     roll_out,
 )
 from peagelens.operators.features import (
@@ -40,6 +44,7 @@ from peagelens.operators.series import (
     series_window,
 )
 from peagelens.schema import (
+    BAND_Z,
     CAP_FACTOR,
     FORECAST_HOURS,
     HISTORY_HOURS,
@@ -94,13 +99,14 @@ def fit_additive(
     rows: DataFrame,
     keys: Sequence[str] = ("gare",),
     seasons: Sequence[tuple[str, float, int]] = SEASONS,
-    multiplicative: bool = False,
     train_ratio: float = TRAIN_RATIO,
 ) -> DataFrame:
     """Fit each series and predict all its rows; rows with null ``y`` are the future.
 
     Adds the prediction with its 95 % band, the prediction of a fit on the first
-    ``train_ratio`` for the rows after it, and the trend and seasonal parts.
+    ``train_ratio`` for the rows after it, and the trend and seasonal parts. The trend has
+    25 bends, or one less than a series has hours; a series of a single hour has no
+    hold-out prediction.
     """
     names = [name for name, _, _ in seasons]
     kept = [*keys, "ds", "y"]
@@ -111,10 +117,7 @@ def fit_additive(
     numbers = ", ".join(f"{c} double" for c in [*_FIT_COLUMNS, *names])
     schema = f"{key_types}ds timestamp_ntz, y double, {numbers}"
     wide = wide.withColumn("y", F.col("y").cast("double"))
-    if not keys:
-        wide = wide.withColumn("_series", F.lit(0))
-    fit = fit_series(list(keys), names, multiplicative, train_ratio)
-    return wide.groupBy(*(keys or ["_series"])).applyInPandas(fit, schema)
+    return wide.groupBy(*keys).applyInPandas(fit_series(list(keys), names, train_ratio), schema)
 
 
 def extend_hours(series: DataFrame, n: int, keys: Sequence[str] = ("gare",)) -> DataFrame:
@@ -136,34 +139,39 @@ def station_fit(tx: DataFrame, horizon: int = FORECAST_HOURS) -> DataFrame:
     return settle(fit_additive(extend_hours(series, horizon)), "station-fit")
 
 
-def station_forecast(
-    fit: DataFrame, noise_std: float = NOISE_STD, seed: int = 0
+def normal_noise(seed: int, *parts: Column) -> Column:
+    """A standard normal number that depends only on the seed and the given texts.
+
+    Two uniform numbers are taken from an MD5 digest and turned by the Box-Muller rule,
+    so a task that runs again draws the same, and SQL can draw it too.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+
+    def uniform(first: int) -> Column:
+        return F.conv(F.substring(digest, first, 12), 16, 10).cast("double")
+
+    size = float(1 << 48)
+    radius = F.sqrt(F.lit(-2.0) * F.log((uniform(1) + 1.0) / size))
+    return radius * F.cos(F.lit(2.0 * math.pi) * (uniform(13) / size))
+
+
+def finish_forecast(
+    future: DataFrame, noise_std: float = NOISE_STD, seed: int = 0
 ) -> DataFrame:
-    """Future hours per station with a 95 % band, clipped to ``[0, 1.3 * maximum]``.
+    """Rounded future hours with a 95 % band, clipped to ``[0, cap]``.
 
-    The same noise, scaled to the station's deviation, is added to prediction
-    and band. It depends only on seed, station and hour, so a task that runs
-    again draws it again; ``noise_std=0`` adds none.
+    ``future`` has gare, ds, yhat, yhat_lower, yhat_upper, y_std and cap. The same noise,
+    scaled to the station's deviation, is added to prediction and band; ``noise_std=0``
+    adds none.
     """
-    history = fit.where(F.col("y").isNotNull())
-    stats = history.groupBy("gare").agg(
-        F.stddev_samp("y").alias("_y_std"), (F.max("y") * CAP_FACTOR).alias("_cap")
-    )
-    future = fit.where(F.col("y").isNull()).join(stats, "gare")
-    numbered = future.select(
-        "gare", "ds", "yhat", "yhat_lower", "yhat_upper", "_y_std", "_cap",
-        F.row_number().over(series_window(["gare"])).alias("_hour"),
-    )
-    if noise_std:
-        fields = ", ".join(f"{n} {t}" for n, t in [*numbered.dtypes, ("_noise", "double")])
-        numbered = numbered.mapInPandas(key_noise(noise_std * NOISE_SHARE, seed), fields)
-    else:
-        numbered = numbered.withColumn("_noise", F.lit(0.0))
+    scale = F.coalesce("y_std", F.lit(0.0)) * (noise_std * NOISE_SHARE)
+    when = F.date_format("ds", "yyyy-MM-dd HH:mm:ss")
+    noise = normal_noise(seed, F.col("gare"), when) * scale if noise_std else F.lit(0.0)
 
     def noisy(name: str) -> Column:
-        return half_even(clip(F.col(name) + F.col("_noise"), 0.0, F.col("_cap")), 2)
+        return half_even(clip(F.col(name) + noise, 0.0, F.col("cap")), 2)
 
-    return numbered.select(
+    return future.select(
         "gare",
         F.col("ds").alias("datetime"),
         noisy("yhat").alias("predicted"),
@@ -172,6 +180,35 @@ def station_forecast(
     )
 
 
+def station_limits(history: DataFrame) -> DataFrame:
+    """Deviation and upper limit of each station's series ``gare, y``."""
+    return history.groupBy("gare").agg(
+        F.stddev_samp("y").alias("y_std"), (F.max("y") * CAP_FACTOR).alias("cap")
+    )
+
+
+def station_forecast(
+    fit: DataFrame, noise_std: float = NOISE_STD, seed: int = 0
+) -> DataFrame:
+    """Future hours per station, see :func:`finish_forecast`."""
+    limits = station_limits(fit.where(F.col("y").isNotNull()))
+    future = fit.where(F.col("y").isNull()).join(limits, "gare")
+    return finish_forecast(future, noise_std, seed)
+
+
+def lag_forecast(
+    series: DataFrame, lag: int = LOOKBACK_HOURS, noise_std: float = NOISE_STD, seed: int = 0
+) -> DataFrame:
+    """The next ``lag`` hours of each station repeat the last ones, with noise, a band of
+    one deviation, and the usual limits: the simplest forecast in its final form."""
+    last = last_rows(series, lag, ["gare"])
+    ahead = last.select("gare", (F.col("ds") + hours(lag)).alias("ds"), F.col("y").cast("double").alias("yhat"))
+    bands = ahead.join(station_limits(series), "gare").withColumns(
+        {"yhat_lower": F.col("yhat") - F.col("y_std"), "yhat_upper": F.col("yhat") + F.col("y_std")}
+    )
+    return finish_forecast(bands, noise_std, seed)
+
+
 def station_metrics(fit: DataFrame) -> DataFrame:
     """Hold-out errors per station, rounded as reports show them."""
     tested = fit.where(F.col("yhat_holdout").isNotNull())
@@ -235,15 +272,60 @@ GLOBAL_SEASONS = (("daily", 1.0, 4), ("weekly", 7.0, 3), ("yearly", 365.25, 10))
 def global_forecast(tx: DataFrame, periods: int = 30, step: str = "INTERVAL '1' DAY") -> DataFrame:
     """The network's next ``periods`` steps with multiplicative seasons and a 95 % band.
 
-    Fitted on the hours that have passages, on the log scale.
+    Fitted to the known ids of the hours that have passages, on the log scale: a
+    piecewise linear trend and Fourier waves, each column scaled by its prior, so that one
+    ridge penalty stands for all of them. The fit is distributed over the hours;
+    only weights come to the driver. No passages give no rows.
     """
-    series = settle(hourly_counts(tx), "network-series")
+    series = settle(hourly_counts(tx, what="id_transaction"), "network-series")
+    at = epoch_days(F.col("ds"))
+    shape = series.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(at).alias("start"),
+        F.max(at).alias("end"),
+        F.greatest(F.max(F.log1p("y")), F.lit(1.0)).alias("scale"),
+    ).first()
     one = F.expr(step)
-    end = series.agg(F.max("ds").alias("_end")).where(F.col("_end").isNotNull())
+    last = series.agg(F.max("ds").alias("_end")).where(F.col("_end").isNotNull())
     steps = F.sequence(F.col("_end") + one, F.col("_end") + one * periods, one)
-    future = end.select(F.explode(steps).alias("ds"), F.lit(None).cast("bigint").alias("y"))
-    fit = fit_additive(series.unionByName(future), [], GLOBAL_SEASONS, multiplicative=True)
-    return fit.where(F.col("y").isNull()).select("ds", "yhat", "yhat_lower", "yhat_upper")
+    future = last.select(F.explode(steps).alias("ds"))
+    if not shape.n:
+        nothing = F.lit(None).cast("double")
+        return future.select("ds", *[nothing.alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
+
+    length = max(shape.end - shape.start, 1.0 / 24)
+    bends = min(CHANGEPOINTS, shape.n - 1)
+
+    def designed(rows: DataFrame) -> DataFrame:
+        waves = fourier_features(rows.select("ds"), "ds", GLOBAL_SEASONS).columns[1:]
+        t = (at - shape.start) / length
+        trend = [F.lit(BASE_PRIOR), t * BASE_PRIOR]
+        for k in range(1, bends + 1):
+            bend = CHANGEPOINT_RANGE * k / bends
+            trend.append(F.greatest(t - bend, F.lit(0.0)) * CHANGEPOINT_PRIOR)
+        wide = fourier_features(rows, "ds", GLOBAL_SEASONS)
+        seasons = [F.col(w) * SEASON_PRIOR for w in waves]
+        return wide.select(*rows.columns, array_to_vector(F.array(*trend, *seasons)).alias("features"))
+
+    train = settle(
+        designed(series.select("ds", (F.log1p("y") / shape.scale).alias("label"))), "network-design"
+    )
+    noise = 0.1
+    for _ in range(2):
+        model = LinearRegression(
+            solver="normal", fitIntercept=False, standardization=False, elasticNetParam=0.0,
+            regParam=noise**2 / shape.n,
+        ).fit(train)
+        off = F.col("label") - F.col("prediction")
+        noise = max(model.transform(train).agg(F.stddev_pop(off)).first()[0], 1e-4)
+    band = BAND_Z * noise * shape.scale
+    centre = F.col("prediction") * shape.scale
+    return model.transform(designed(future)).select(
+        "ds",
+        F.expm1(centre).alias("yhat"),
+        F.expm1(centre - band).alias("yhat_lower"),
+        F.expm1(centre + band).alias("yhat_upper"),
+    )
 
 
 # --- autoregressive roll-out --------------------------------------------------------
@@ -267,21 +349,42 @@ def fit_autoregression(
 ) -> AutoRegression:
     """Fit on the first ``train_ratio`` of the windows of a gap-free series ``ds, y``.
 
-    Settle the series first, it is read several times. The fit is distributed
-    over the windows; only the weights come to the driver.
+    Values are scaled by the bounds of the first ``train_ratio`` of the hours. Settle the
+    series first, it is read several times. The fit is distributed over the windows; only
+    the weights come to the driver.
     """
-    windows = sequences(minmax_scale(series, ["y"]), "y_scaled", lookback, "y_scaled")
-    labelled = chrono_split(windows, at="ds", train=train_ratio, val=0.0)
+    hours_known = series.count()
+    if int((hours_known - lookback) * train_ratio) < 1:
+        raise ValueError(f"{hours_known} hours are too few to fit on windows of {lookback}")
+    early = chrono_split(series, at="ds", train=train_ratio, val=0.0).where(F.col("part") == "train")
+    scaled = minmax_scale(series, ["y"], early)
+    labelled = chrono_split(
+        sequences(scaled, "y_scaled", lookback, "y_scaled"), at="ds", train=train_ratio, val=0.0
+    )
     train = labelled.where(F.col("part") == "train")
     model = LinearRegression(
         featuresCol="features", labelCol="y", solver="normal", regParam=ridge,
         elasticNetParam=0.0, standardization=False,
     ).fit(train.select(array_to_vector("x").alias("features"), "y"))
-    ends = minmax_bounds(series, ["y"]).first()
+    ends = minmax_bounds(early, ["y"]).first()
     weights = tuple(float(w) for w in model.coefficients)
     return AutoRegression(weights, float(model.intercept), ends["y_min"], ends["y_max"])
 
 
+def autoregression_metrics(
+    series: DataFrame, model: AutoRegression, train_ratio: float = TRAIN_RATIO
+) -> DataFrame:
+    """Errors of the next hour's prediction over the windows after the first ``train_ratio``."""
+    windows = sequences(series, "y", len(model.weights), "y")
+    test = chrono_split(windows, at="ds", train=train_ratio, val=0.0).where(F.col("part") == "test")
+    width = (model.high - model.low) or 1.0
+    weighted = F.zip_with(
+        "x", F.array(*map(F.lit, model.weights)), lambda x, w: (x - model.low) / width * w
+    )
+    ahead = F.aggregate(weighted, F.lit(model.bias), lambda a, v: a + v) * width + model.low
+    return error_metrics(test.withColumn("yhat", F.greatest(ahead, F.lit(0.0))), "y", "yhat")
+
+
 def autoregressive_forecast(
     series: DataFrame,
     model: AutoRegression,

@@ -1,7 +1,6 @@
 """Numeric helpers that run inside Spark functions on Arrow batches or on one hourly series."""
 
 import sys
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -81,9 +80,7 @@ class AdditiveFit:
         return self.trend(days) + self.seasons(waves).sum(axis=1)
 
 
-def fit_series(
-    keys: Sequence[str], season_names: Sequence[str], multiplicative: bool, train_ratio: float
-):
+def fit_series(keys: Sequence[str], season_names: Sequence[str], train_ratio: float):
     """The grouped function: rows of one series in, the same rows with its fit out."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -95,9 +92,7 @@ def fit_series(
         at_days = rows["_days"].to_numpy(float)
         waves = rows[wave_names].to_numpy(float)
         known = rows["y"].notna().to_numpy()
-        y = rows["y"].to_numpy(float)
-        target = np.log1p(y) if multiplicative else y
-        back = np.expm1 if multiplicative else (lambda v: v)
+        target = rows["y"].to_numpy(float)
 
         n = int(known.sum())
         n_train = int(n * train_ratio)
@@ -106,15 +101,15 @@ def fit_series(
             past = np.flatnonzero(known)[:n_train]
             test = np.flatnonzero(known)[n_train:]
             early = AdditiveFit(at_days[past], waves[past], target[past])
-            held[test] = np.maximum(back(early.predict(at_days[test], waves[test])), 0.0)
+            held[test] = np.maximum(early.predict(at_days[test], waves[test]), 0.0)
 
         model = AdditiveFit(at_days[known], waves[known], target[known])
         trend, parts = model.trend(at_days), model.seasons(waves)
         centre = trend + parts.sum(axis=1)
         out = rows[[*keys, "ds", "y"]].copy()
-        out["yhat"] = back(centre)
-        out["yhat_lower"] = back(centre - BAND_Z * model.noise)
-        out["yhat_upper"] = back(centre + BAND_Z * model.noise)
+        out["yhat"] = centre
+        out["yhat_lower"] = centre - BAND_Z * model.noise
+        out["yhat_upper"] = centre + BAND_Z * model.noise
         out["yhat_holdout"] = held
         out["trend"] = trend
         at = 0
@@ -127,21 +122,6 @@ def fit_series(
     return fit
 
 
-def key_noise(scale_by: float, seed: int):
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            noise = [
-                np.random.default_rng(
-                    [seed, zlib.crc32(str(gare).encode()), int(hour)]
-                ).standard_normal()
-                for gare, hour in zip(rows["gare"], rows["_hour"])
-            ]
-            rows["_noise"] = np.array(noise) * rows["_y_std"].fillna(0.0) * scale_by
-            yield rows
-
-    return draw
-
-
 def roll_out(
     weights: np.ndarray,
     bias: float,

@@ -12,7 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peagelens.session import settle
+
 BUCKETS = 256  # a power of two
+PER_BUCKET = 1 << 14  # distinct values of a bucket, about, once there are more buckets
+
+
+def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (), kept: str = "values") -> DataFrame:
+    """How often each value ``_v`` occurs per key, ``_c``; null values count, null keys do not.
+
+    Equal values are merged before the shuffle, so a value or key that holds a third of
+    all rows costs one row per task. The result is settled: quantiles, deviations,
+    whiskers and counts all come from it without another pass over the rows.
+    """
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    return settle(counts, kept)
 
 
 def exact_quantiles(
@@ -20,22 +38,30 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``n`` and ``quantiles`` (linear interpolation, in the order of ``probs``) per key.
 
-    Equal values are merged before the first shuffle, so a value or key that
-    holds a third of all rows costs one row per task. Rows with a null value or
-    key are left out.
+    Rows with a null value or key are left out.
     """
-    keys = list(keys)
-    known = df.where(F.col(value).isNotNull())
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    freq = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
+    return quantiles_of(value_counts(df, value, keys), probs, keys, buckets)
+
 
+def quantiles_of(
+    counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """:func:`exact_quantiles` of :func:`value_counts`.
+
+    The number of buckets follows the number of distinct values, so one task never
+    orders much more than ``PER_BUCKET`` of them.
+    """
+    keys = list(keys)
+    freq = counts.where(F.col("_v").isNotNull())
+    if buckets is None:
+        buckets = BUCKETS
+        distinct = freq.count()
+        while buckets * PER_BUCKET < distinct:
+            buckets *= 2
     placed = _place(freq, buckets)
     hot = _hot_buckets(placed, keys, probs)
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")

@@ -19,14 +19,23 @@ def series_window(keys: Sequence[str], at: str = "ds") -> WindowSpec:
 
 
 def hourly_counts(
-    tx: DataFrame, keys: Sequence[str] = (), at: str = "ds", count: str = "y"
+    tx: DataFrame,
+    keys: Sequence[str] = (),
+    at: str = "ds",
+    count: str = "y",
+    what: str | None = None,
 ) -> DataFrame:
-    """Passages per hour, only hours that have any. Null times and keys are left out."""
+    """Passages per hour, only hours that have any. Null times and keys are left out.
+
+    ``what`` names a column whose known values are counted instead of rows.
+    """
     kept = tx.where(F.col("date_heure").isNotNull())
     for key in keys:
         kept = kept.where(F.col(key).isNotNull())
     hour = hour_start(F.col("date_heure")).alias(at)
-    return kept.groupBy(*keys, hour).agg(F.count(F.lit(1)).alias(count))
+    return kept.groupBy(*keys, hour).agg(
+        F.count(F.lit(1) if what is None else F.col(what)).alias(count)
+    )
 
 
 def fill_gaps(
@@ -45,10 +54,14 @@ def fill_gaps(
 
 
 def hourly_series(
-    tx: DataFrame, keys: Sequence[str] = (), at: str = "ds", count: str = "y"
+    tx: DataFrame,
+    keys: Sequence[str] = (),
+    at: str = "ds",
+    count: str = "y",
+    what: str | None = None,
 ) -> DataFrame:
-    """Gap-free passages per hour."""
-    return fill_gaps(hourly_counts(tx, keys, at, count), keys, at, count)
+    """Gap-free passages per hour, see :func:`hourly_counts`."""
+    return fill_gaps(hourly_counts(tx, keys, at, count, what), keys, at, count)
 
 
 def last_rows(

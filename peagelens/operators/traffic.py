@@ -107,8 +107,17 @@ def hourly_profile(tx: DataFrame) -> DataFrame:
 def weekday_counts(tx: DataFrame) -> DataFrame:
     """Transactions for each of the seven weekdays, 0 where none."""
     number = F.weekday("date_heure").alias("jour_num")
-    counts = keyed(tx, "date_heure").groupBy(number).agg(transactions())
-    week = tx.sparkSession.range(7).select(F.col("id").cast("int").alias("jour_num"))
+    return _week(keyed(tx, "date_heure").groupBy(number).agg(transactions()))
+
+
+def weekdays_of_cube(cube: DataFrame) -> DataFrame:
+    """:func:`weekday_counts` from the cube."""
+    number = F.weekday("ds").alias("jour_num")
+    return _week(keyed(cube, "ds").groupBy(number).agg(F.sum("transactions").alias("transactions")))
+
+
+def _week(counts: DataFrame) -> DataFrame:
+    week = counts.sparkSession.range(7).select(F.col("id").cast("int").alias("jour_num"))
     return week.join(counts, "jour_num", "left").select(
         "jour_num",
         weekday_label(F.col("jour_num")).alias("jour_semaine"),
@@ -167,26 +176,41 @@ def global_summary(tx: DataFrame) -> DataFrame:
 def kpi_summary(tx: DataFrame) -> DataFrame:
     """One row of key figures; all zero when there are no passages.
 
-    Passages are reduced to days first. The median is exact, from
-    :func:`exact_quantiles`, without holding all amounts in one task.
+    Passages are reduced to days in one pass and to counted amounts in another. The
+    median is exact, without holding all amounts in one task.
     """
-    day = F.to_date("date_heure").alias("jour")
-    per_day = tx.groupBy(day).agg(
+    per_day = tx.groupBy(F.to_date("date_heure").alias("jour")).agg(
         F.count(F.lit(1)).alias("rows"),
         transactions(),
         F.sum("montant_net").alias("revenue"),
         F.count("montant_net").alias("amounts"),
     )
+    return _key_figures(per_day, median_amount(tx))
+
+
+def kpi_of_cube(cube: DataFrame, median: Column) -> DataFrame:
+    """:func:`kpi_summary` from the cube and the median amount."""
+    per_day = cube.groupBy(F.to_date("ds").alias("jour")).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "transactions", "revenue", "amounts")]
+    )
+    return _key_figures(per_day, median)
+
+
+def median_amount(tx: DataFrame) -> Column:
+    """The exact median of the net amounts."""
+    return exact_quantiles(tx, "montant_net", [0.5]).select(F.col("quantiles")[0]).scalar()
+
+
+def _key_figures(per_day: DataFrame, median: Column) -> DataFrame:
     dated = F.col("jour").isNotNull()
     figures = per_day.agg(
         F.sum("rows").alias("total_transactions"),
         F.sum("revenue").alias("total_revenue"),
-        (F.sum("revenue") / F.sum("amounts")).alias("avg_ticket"),
+        (F.sum("revenue") / F.nullif(F.sum("amounts"), F.lit(0))).alias("avg_ticket"),
         F.avg(F.when(dated, F.col("transactions"))).alias("avg_transactions_per_day"),
         F.avg(F.when(dated, F.coalesce("revenue", F.lit(0.0)))).alias("avg_revenue_per_day"),
         F.count_if(dated).alias("active_days"),
     )
-    median = exact_quantiles(tx, "montant_net", [0.5]).select(F.col("quantiles")[0]).scalar()
     zero = F.lit(0.0)
     return figures.select(
         F.coalesce("total_transactions", F.lit(0)).cast("bigint").alias("total_transactions"),
@@ -235,16 +259,29 @@ def revenue_growth(tx: DataFrame, windows: Iterable[int] = (7, 30)) -> DataFrame
     return row.select(F.inline(pieces))
 
 
-def subscription_breakdown(tx: DataFrame) -> DataFrame:
-    """Revenue of subscribers, of cash, and the rest (never below 0). The first two may overlap."""
+def _channel_sums() -> list[Column]:
     amount = F.col("montant_net")
     subscriber = is_subscriber(F.col("statut_abonnement"), F.col("type_paiement"))
     cash = is_cash(F.col("type_paiement"))
+    return [
+        F.sum(F.when(subscriber, amount)).alias("subscribed"),
+        F.sum(F.when(cash, amount)).alias("cash"),
+        F.sum(amount).alias("revenue"),
+    ]
+
+
+def subscription_breakdown(tx: DataFrame) -> DataFrame:
+    """Revenue of subscribers, of cash, and the rest (never below 0). The first two may overlap."""
+    return channels_of(tx.agg(*_channel_sums()))
+
+
+def channels_of(cube: DataFrame) -> DataFrame:
+    """:func:`subscription_breakdown` of rows with subscribed, cash and revenue, such as the cube's."""
     zero = F.lit(0.0)
-    sums = tx.agg(
-        F.coalesce(F.sum(F.when(subscriber, amount)), zero).alias(CHANNELS[0]),
-        F.coalesce(F.sum(F.when(cash, amount)), zero).alias(CHANNELS[1]),
-        F.coalesce(F.sum(amount), zero).alias("_total"),
+    sums = cube.agg(
+        F.coalesce(F.sum("subscribed"), zero).alias(CHANNELS[0]),
+        F.coalesce(F.sum("cash"), zero).alias(CHANNELS[1]),
+        F.coalesce(F.sum("revenue"), zero).alias("_total"),
     )
     rest = F.greatest(F.col("_total") - F.col(CHANNELS[0]) - F.col(CHANNELS[1]), zero)
     return _long(sums.withColumn(CHANNELS[2], rest), CHANNELS, "canal", "revenue")
@@ -291,10 +328,19 @@ def hourly_cube(tx: DataFrame) -> DataFrame:
     """
     hour = hour_start(F.col("date_heure")).alias("ds")
     return tx.groupBy(hour, *CUBE_KEYS).agg(
-        transactions(), F.sum("montant_net").alias("revenue")
+        transactions(),
+        *_channel_sums(),
+        F.count(F.lit(1)).alias("rows"),
+        F.count("montant_net").alias("amounts"),
+        F.min("date_heure").alias("first"),
+        F.max("date_heure").alias("last"),
     )
 
 
+def period_of_cube(cube: DataFrame) -> DataFrame:
+    return cube.agg(F.min("first").alias("start"), F.max("last").alias("end"))
+
+
 def daily_of_cube(cube: DataFrame) -> DataFrame:
     """:func:`daily` from the cube."""
     per_day = keyed(cube, "ds").groupBy(F.to_date("ds").alias("jour")).agg(

@@ -4,12 +4,16 @@ import math
 
 from peagelens.plans.queries import KDE_POINTS
 from peagelens.schema import (
+    CAP_FACTOR,
     CASH_PAYMENTS,
     DAY_PERIODS,
     FEATURE_LAGS,
     FEATURE_WINDOWS,
+    FORECAST_HOURS,
     HISTORY_HOURS,
     LOOKBACK_HOURS,
+    NOISE_SHARE,
+    NOISE_STD,
     SEASONS,
     SECOND_PASS_LAGS,
     SECOND_PASS_WINDOWS,
@@ -19,7 +23,7 @@ from peagelens.schema import (
 
 EVENTS = """tx AS (
   SELECT *, CASE WHEN montant_paye < 0 THEN 0.0::DOUBLE ELSE montant_paye END AS montant_net FROM (
-    SELECT event_id AS id_transaction, ts AS date_heure,
+    SELECT CASE WHEN event_id % 83 <> 0 THEN event_id END AS id_transaction, ts AS date_heure,
       CASE user_id % 6 WHEN 0 THEN 'Cotonou-Nord' WHEN 1 THEN 'Allada' WHEN 2 THEN 'Houegbo'
         WHEN 3 THEN 'Porto-Novo' WHEN 4 THEN 'Epke' ELSE 'Parakou' END AS gare,
       CAST(event_id % 4 + 1 AS INTEGER) AS voie,
@@ -27,9 +31,10 @@ EVENTS = """tx AS (
         ELSE 'BUS' END AS classe_vehicule,
       CASE WHEN event_id % 97 = 0 THEN -value WHEN event_id % 89 = 0 THEN 0.0::DOUBLE
         ELSE value END AS montant_paye,
-      CASE event_id % 5 WHEN 0 THEN 'Especes' WHEN 1 THEN 'Badge' WHEN 2 THEN ' Abonné '
+      CASE event_id % 5 WHEN 0 THEN 'Especes' WHEN 1 THEN chr(9) || 'Badge' WHEN 2 THEN ' Abonné '
         WHEN 3 THEN 'Mobile Money' ELSE 'Carte' END AS type_paiement,
-      CASE WHEN user_id % 3 = 0 THEN 'Oui' ELSE 'Non' END AS statut_abonnement,
+      CASE WHEN event_id % 79 = 0 THEN NULL WHEN event_id % 73 = 0 THEN 'Suspendu'
+        WHEN user_id % 3 = 0 THEN 'Oui' ELSE 'Non' END AS statut_abonnement,
       CASE WHEN event_id % 89 = 0 THEN 'Exonere' ELSE 'Standard' END AS type_transaction
     FROM events) e)"""
 
@@ -61,17 +66,28 @@ spine AS (
   FROM hourly GROUP BY gare),
 dense AS (SELECT gare, ds, coalesce(y, 0) AS y FROM spine LEFT JOIN hourly USING (gare, ds))"""
 
+# The same passages with the number that decides which fields of the export are bad.
+RAW_EVENTS = EVENTS.replace("SELECT CASE WHEN event_id % 83", "SELECT event_id AS n, CASE WHEN event_id % 83")
+
 RAW_TYPED = """fact_rows AS (
   SELECT id_transaction,
-    CASE WHEN id_transaction % 101 = 0 THEN NULL ELSE date_heure END AS date_heure,
-    CASE WHEN id_transaction % 107 = 0 THEN NULL ELSE gare END AS gare,
-    voie, classe_vehicule,
-    CASE WHEN id_transaction % 103 = 0 THEN NULL ELSE montant_paye END AS montant_paye,
-    CASE WHEN id_transaction % 103 = 0 THEN NULL ELSE montant_net END AS montant_net,
+    CASE WHEN n % 101 <> 0 THEN date_heure END AS date_heure,
+    CASE WHEN n % 107 = 0 THEN NULL WHEN n % 109 = 0 THEN 'Porto "Nord", A' ELSE gare END AS gare,
+    CASE WHEN n % 131 <> 0 THEN voie END AS voie, classe_vehicule,
+    CASE WHEN n % 103 <> 0 AND n % 127 <> 0 THEN montant_paye END AS montant_paye,
+    CASE WHEN n % 103 <> 0 AND n % 127 <> 0 THEN montant_net END AS montant_net,
     type_paiement, statut_abonnement, type_transaction,
     TIMESTAMP '2024-02-01 00:00:00' AS load_timestamp
   FROM tx)"""
 
+LOAD_REPORT = """WITH n AS (SELECT event_id AS n, value FROM events),
+c AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE n % 101 = 0) AS bad_time,
+  count(*) FILTER (WHERE n % 131 = 0) AS bad_lane,
+  count(*) FILTER (WHERE n % 127 = 0 AND n % 103 <> 0) AS bad_amount FROM n)
+SELECT 'rows' AS measure, n_rows AS n FROM c UNION ALL SELECT 'malformed', 0 FROM c
+UNION ALL SELECT 'lost_id_transaction', 0 FROM c UNION ALL SELECT 'lost_date_heure', bad_time FROM c
+UNION ALL SELECT 'lost_voie', bad_lane FROM c UNION ALL SELECT 'lost_montant_paye', bad_amount FROM c"""
+
 
 def _with(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
@@ -157,7 +173,7 @@ def _kpi(source: str) -> str:
     )
 
 
-def _growth() -> str:
+def _growth(binding: str = ORDERS) -> str:
     def window(d: int) -> str:
         def total(first: str, last: str) -> str:
             return (
@@ -171,7 +187,7 @@ def _growth() -> str:
         )
 
     return _with(
-        ORDERS, PAID,
+        binding, PAID,
         "last_end AS (SELECT max(date_heure) + INTERVAL 1 HOUR AS e FROM paid)",
         f"w AS ({window(7)} UNION ALL {window(30)})",
         select=f"SELECT CAST(window_days AS INTEGER) AS window_days, {_r('c', 4)} AS current_revenue, "
@@ -182,7 +198,8 @@ def _growth() -> str:
 
 
 def _subscription() -> str:
-    payment, status = "lower(trim(type_paiement))", "lower(trim(statut_abonnement))"
+    blank = "' ' || chr(9)"
+    payment, status = f"lower(trim(type_paiement, {blank}))", f"lower(trim(statut_abonnement, {blank}))"
     subscriber = f"({status} = 'oui' OR {payment} IN {_in(SUBSCRIBER_PAYMENTS)})"
     cash = f"{payment} IN {_in(CASH_PAYMENTS)}"
     return _with(
@@ -235,12 +252,12 @@ def _peaks() -> str:
     )
 
 
-def _best_worst() -> str:
+def _best_worst(binding: str = ORDERS) -> str:
     def pick(kind: str, order: str) -> str:
         return f"(SELECT '{kind}' AS kind, jour, r AS amount FROM days ORDER BY r {order}, jour LIMIT 1)"
 
     return _with(
-        ORDERS, PAID,
+        binding, PAID,
         "days AS (SELECT strftime(date_heure, '%Y-%m-%d') AS jour, sum(montant_net) AS r "
         "FROM paid GROUP BY 1)",
         select=f"SELECT kind, jour, {_r('amount', 4)} AS amount FROM "
@@ -248,21 +265,21 @@ def _best_worst() -> str:
     )
 
 
-def _describe() -> str:
+def _describe(*names: str) -> str:
     def one(column: str) -> str:
         fields = {
             "mean": f"avg({column})",
             "std": f"stddev_samp({column})",
-            "min": f"min({column})",
+            "min": f"min({column})::DOUBLE",
             "p25": f"quantile_cont({column}, 0.25)",
             "p50": f"quantile_cont({column}, 0.5)",
             "p75": f"quantile_cont({column}, 0.75)",
-            "max": f"max({column})",
+            "max": f"max({column})::DOUBLE",
         }
         columns = ", ".join(f"{_r(e, 4)} AS {n}" for n, e in fields.items())
         return f"SELECT '{column}' AS variable, count({column}) AS count, {columns} FROM tx"
 
-    return _with(EVENTS, select=one("montant_paye") + " UNION ALL " + one("montant_net"))
+    return _with(EVENTS, select=" UNION ALL ".join(one(n) for n in names))
 
 
 FENCES = """cuts AS (
@@ -275,6 +292,24 @@ fenced AS (
   FROM {src} t JOIN cuts USING (classe_vehicule))"""
 
 
+def _box(v: str, src: str, key: str | None) -> str:
+    fenced = FENCES.format(v=v, src=src)
+    if key is None:
+        src_all = f"(SELECT * REPLACE ('all' AS classe_vehicule) FROM {src})"
+        fenced = FENCES.format(v=v, src=src_all)
+    label = f"{key}, " if key else ""
+    return _with(
+        EVENTS, PAID, fenced,
+        select=f"SELECT {label}{_r('max(q1)', 4)} AS q1, {_r('max(median)', 4)} AS median, "
+        f"{_r('max(q3)', 4)} AS q3, "
+        + _r(f"min({v}) FILTER (WHERE {v} BETWEEN low_fence AND high_fence)", 4)
+        + " AS whisker_low, "
+        + _r(f"max({v}) FILTER (WHERE {v} BETWEEN low_fence AND high_fence)", 4)
+        + f" AS whisker_high, count(*) FILTER (WHERE {v} < low_fence OR {v} > high_fence) AS n_outliers "
+        "FROM fenced GROUP BY classe_vehicule",
+    )
+
+
 def _histogram(binding: str, where: str, bins: int) -> str:
     return _with(
         binding,
@@ -288,9 +323,10 @@ def _histogram(binding: str, where: str, bins: int) -> str:
     )
 
 
-def _kde(bins: int = 100) -> str:
+def _kde(bins: int = 100, where: str = "TRUE") -> str:
     return _with(
-        EVENTS,
+        EVENTS.replace("tx AS (", "every AS (", 1),
+        f"tx AS (SELECT * FROM every WHERE {where})",
         "v AS (SELECT montant_net AS x, count(*) AS c FROM tx "
         "WHERE montant_net IS NOT NULL GROUP BY 1)",
         "s AS (SELECT min(montant_net) AS lo, max(montant_net) AS hi, count(*) AS n, "
@@ -348,7 +384,7 @@ def _profile() -> str:
         f"count(*) - count({name}) AS nulls FROM fact_rows"
         for name, kind in _DTYPES.items()
     ]
-    return _with(EVENTS, RAW_TYPED, select=" UNION ALL ".join(lines))
+    return _with(RAW_EVENTS, RAW_TYPED, select=" UNION ALL ".join(lines))
 
 
 def _duplicates() -> str:
@@ -405,7 +441,9 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
 
-SERIES = DENSE + ",\nseries AS (SELECT ds AS date, y AS nb_vehicules FROM dense)"
+# Hours are those with any passage; what counts is the known ids.
+KNOWN_IDS = DENSE.replace("count(*) AS y", "count(id_transaction) AS y")
+SERIES = KNOWN_IDS + ",\nseries AS (SELECT ds AS date, y AS nb_vehicules FROM dense)"
 
 
 def _round_all(columns: dict[str, str], digits: int) -> str:
@@ -492,7 +530,139 @@ def _forecast_metrics() -> str:
     )
 
 
-FACT_SELECT = _with(EVENTS, RAW_TYPED, select="SELECT * FROM fact_rows")
+def _long(**sections: tuple[str, tuple[str, ...], tuple[str, ...]]) -> str:
+    """Sections of a report, each SQL with its label columns and figures, as one frame."""
+    parts = []
+    for section, (sql, labels, figures) in sections.items():
+        label = "concat_ws('|', " + ", ".join(f'CAST("{c}" AS VARCHAR)' for c in labels) + ")" if labels else "''"
+        for f in figures:
+            value = f'epoch_us("{f}") / 1e6::DOUBLE' if f in _TIMES else f'CAST("{f}" AS DOUBLE)'
+            parts.append(
+                f"SELECT '{section}' AS section, {label} AS label, '{f}' AS measure, {_r(value, 4)} AS value "
+                f"FROM ({sql})"
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
+_TIMES = ("start", "end", "first_transaction", "last_transaction")
+_KPI = (
+    "total_transactions", "total_revenue", "avg_ticket", "median_ticket",
+    "avg_transactions_per_day", "avg_revenue_per_day", "active_days",
+)
+
+
+def _traffic_report() -> str:
+    days = _with(
+        EVENTS, PAID,
+        select="SELECT strftime(date_heure, '%Y-%m-%d') AS jour, count(id_transaction) AS transactions, "
+        "sum(montant_net) AS revenue FROM paid WHERE date_heure IS NOT NULL GROUP BY 1",
+    )
+    period = _with(
+        EVENTS, PAID,
+        select='SELECT min(date_heure) AS start, max(date_heure) AS "end" FROM paid',
+    )
+    return _long(
+        summary=(f"WITH {EVENTS},\n{PAID},\n{_kpi('paid')}", (), _KPI),
+        growth=(_growth(EVENTS), ("window_days",), ("current_revenue", "previous_revenue", "growth_pct")),
+        period=(period, (), ("start", "end")),
+        peaks=(_peaks(), ("kind", "label"), ("transactions",)),
+        breakdowns=(_breakdowns(), ("dimension", "label"), ("transactions", "revenue")),
+        weekdays=(ORACLES["weekday_counts"], ("jour_num",), ("transactions",)),
+        daily=(days, ("jour",), ("transactions", "revenue")),
+        best_worst_day=(_best_worst(EVENTS), ("kind", "jour"), ("amount",)),
+        channels=(_subscription(), ("canal",), ("revenue",)),
+    )
+
+
+def _entity_report(key: str) -> str:
+    return _long(
+        summary=(_summary(key), (key,), ("total_transactions", "first_transaction", "last_transaction")),
+        hourly=(_hourly_by(key), (key, "ds"), ("count",)),
+    )
+
+
+def _noisy_forecast() -> str:
+    """Noise from an MD5 digest by the Box-Muller rule, clipped and rounded half to even."""
+    size = float(1 << 48)
+    u = "CAST(('0x' || substr(d, {}, 12)) AS BIGINT)::DOUBLE"
+    noise = (
+        f"sqrt(-2.0::DOUBLE * ln(({u.format(1)} + 1.0::DOUBLE) / {size!r}::DOUBLE)) "
+        f"* cos({2.0 * math.pi!r}::DOUBLE * ({u.format(13)} / {size!r}::DOUBLE)) "
+        f"* (coalesce(y_std, 0.0::DOUBLE) * {NOISE_STD * NOISE_SHARE!r}::DOUBLE)"
+    )
+
+    def out(expr: str, name: str) -> str:
+        return f"round_even(least(greatest({expr} + z, 0.0::DOUBLE), cap), 2) AS {name}"
+
+    return _with(
+        EVENTS, DENSE_GARE,
+        "ranked AS (SELECT gare, ds, y, row_number() OVER (PARTITION BY gare ORDER BY ds DESC) AS i FROM dense)",
+        "limits AS (SELECT gare, stddev_samp(y) AS y_std, "
+        f"max(y) * {CAP_FACTOR!r}::DOUBLE AS cap FROM dense GROUP BY gare)",
+        f"ahead AS (SELECT gare, ds + INTERVAL {LOOKBACK_HOURS} HOUR AS ds, y::DOUBLE AS yhat, y_std, cap, "
+        f"md5('0|' || gare || '|' || strftime(ds + INTERVAL {LOOKBACK_HOURS} HOUR, '%Y-%m-%d %H:%M:%S')) AS d "
+        f"FROM ranked JOIN limits USING (gare) WHERE i <= {LOOKBACK_HOURS})",
+        f"drawn AS (SELECT *, {noise} AS z FROM ahead)",
+        select=f"SELECT gare, ds AS datetime, {out('yhat', 'predicted')}, "
+        f"{out('yhat - y_std', 'lower_95')}, {out('yhat + y_std', 'upper_95')} FROM drawn",
+    )
+
+
+def _rollout(select: str) -> str:
+    """The fixed model rolled forward: each clipped value is fed back into the window."""
+    n, day = LOOKBACK_HOURS, LOOKBACK_HOURS - 24 + 1
+    return "WITH RECURSIVE " + ",\n".join([
+        EVENTS, DENSE,
+        "ends AS (SELECT min(y)::DOUBLE AS lo, max(y)::DOUBLE AS hi, max(ds) AS last FROM dense)",
+        "width AS (SELECT *, CASE WHEN hi > lo THEN hi - lo ELSE 1.0::DOUBLE END AS w FROM ends)",
+        f"tail AS (SELECT ds, y FROM dense ORDER BY ds DESC LIMIT {n})",
+        "roll AS (SELECT 0 AS i, (SELECT list((y - lo) / w ORDER BY ds) FROM tail, width) AS x, "
+        "NULL::DOUBLE AS p UNION ALL "
+        f"SELECT i + 1, list_append(x[2:], least(greatest(v, 0.0::DOUBLE), 1.0::DOUBLE)), v FROM "
+        f"(SELECT i, x, x[1] * 0.6::DOUBLE + x[{day}] * 0.4::DOUBLE AS v FROM roll WHERE i < {FORECAST_HOURS}) q)",
+        "ahead AS (SELECT CAST(i - 1 AS INTEGER) AS hour, last + i * INTERVAL 1 HOUR AS ds, "
+        "greatest(p * w + lo, 0.0::DOUBLE) AS predicted FROM roll, width WHERE i > 0)",
+    ]) + "\n" + select
+
+
+def _fixed_metrics() -> str:
+    lag = "CAST(lag(y, {}) OVER (ORDER BY ds) AS DOUBLE)"
+    return _with(
+        EVENTS, DENSE,
+        f"p AS (SELECT ds, y, {lag.format(LOOKBACK_HOURS)} * 0.6::DOUBLE + {lag.format(24)} * 0.4::DOUBLE AS f FROM dense)",
+        "w AS (SELECT *, row_number() OVER (ORDER BY ds) AS i, count(*) OVER () AS n FROM p WHERE f IS NOT NULL)",
+        "t AS (SELECT * FROM w WHERE i > floor(n * 0.8::DOUBLE))",
+        select=f"SELECT count(*) AS n_test, {_r('avg(abs(y - f))', 6)} AS mae, "
+        f"{_r('sqrt(avg((y - f) * (y - f)))', 6)} AS rmse, "
+        f"{_r('avg(abs((y - f) / (y + 1e-8::DOUBLE))) * 100.0::DOUBLE', 6)} AS mape FROM t",
+    )
+
+
+def _feature_sequences() -> str:
+    ctes, columns = _feature_ctes()
+    names = [*columns, "nb_vehicules"]
+    bounds = ", ".join(f"min({c})::DOUBLE AS {c}_lo, max({c})::DOUBLE AS {c}_hi" for c in names)
+    scaled = ", ".join(
+        f"({c} - {c}_lo) / CASE WHEN {c}_hi > {c}_lo THEN {c}_hi - {c}_lo ELSE 1.0::DOUBLE END AS {c}" for c in names
+    )
+    past = "OVER (ORDER BY date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
+    total = " + ".join(columns)
+    first, last = list(columns)[0], list(columns)[-1]
+    a, b = "floor(n * 0.7::DOUBLE)", "floor(n * 0.15::DOUBLE)"
+    return _with(
+        *ctes,
+        f"b AS (SELECT {bounds} FROM feat)",
+        f"s AS (SELECT date, {scaled} FROM feat, b)",
+        f"w AS (SELECT date, nb_vehicules AS y, count(*) {past} AS k, sum({total}) {past} AS x_sum, "
+        f"lag({first}, 24) OVER (ORDER BY date) AS x_first, lag({last}, 1) OVER (ORDER BY date) AS x_last FROM s)",
+        "f AS (SELECT *, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM w WHERE k = 24)",
+        select=f"SELECT date, CASE WHEN i <= {a} THEN 'train' WHEN i <= {a} + {b} THEN 'val' ELSE 'test' END AS part, "
+        f"{_r('y', 6)} AS y, CAST({24 * len(columns)} AS INTEGER) AS n_values, {_r('x_sum', 6)} AS x_sum, "
+        f"{_r('x_first', 6)} AS x_first, {_r('x_last', 6)} AS x_last FROM f",
+    )
+
+
+FACT_SELECT = _with(RAW_EVENTS, RAW_TYPED, select="SELECT * FROM fact_rows")
 
 
 ORACLES: dict[str, str] = {
@@ -502,6 +672,7 @@ ORACLES: dict[str, str] = {
     ),
     "etl_transform": FACT_SELECT,
     "etl_csv_roundtrip": FACT_SELECT,
+    "etl_report": LOAD_REPORT,
     "calendar_parts": _with(
         EVENTS,
         select="SELECT id_transaction, strftime(date_heure, '%Y-%m-%d') AS date, "
@@ -635,34 +806,28 @@ ORACLES: dict[str, str] = {
         f"{_r('min(montant_net)', 4)} AS min, {_r('max(montant_net)', 4)} AS max, "
         f"{_r('stddev_samp(montant_net)', 4)} AS std FROM paid GROUP BY 1",
     ),
-    "box_stats": _with(
-        EVENTS, PAID, FENCES.format(v="montant_net", src="paid"),
-        select=f"SELECT classe_vehicule, {_r('max(q1)', 4)} AS q1, {_r('max(median)', 4)} AS median, "
-        f"{_r('max(q3)', 4)} AS q3, "
-        + _r("min(montant_net) FILTER (WHERE montant_net BETWEEN low_fence AND high_fence)", 4)
-        + " AS whisker_low, "
-        + _r("max(montant_net) FILTER (WHERE montant_net BETWEEN low_fence AND high_fence)", 4)
-        + " AS whisker_high, count(*) FILTER "
-        "(WHERE montant_net < low_fence OR montant_net > high_fence) AS n_outliers "
-        "FROM fenced GROUP BY 1",
-    ),
+    "box_stats": _box("montant_net", "paid", "classe_vehicule"),
+    "box_stats_paid_by_class": _box("montant_paye", "tx", "classe_vehicule"),
+    "box_stats_all": _box("montant_net", "tx", None),
     "box_outliers": _with(
         EVENTS, FENCES.format(v="montant_paye", src="tx"),
         select="SELECT id_transaction, classe_vehicule, montant_paye FROM fenced "
         "WHERE montant_paye < low_fence OR montant_paye > high_fence",
     ),
-    "describe_amount": _describe(),
+    "describe_amount": _describe("montant_paye", "montant_net"),
+    "describe_numeric": _describe("id_transaction", "voie", "montant_paye", "montant_net"),
     "histogram_amount": _histogram(EVENTS, "montant_net > 0", 80),
     "histogram_all": _histogram(EVENTS, "TRUE", 100),
     "histogram_zoom": _histogram(ORDERS, "montant_net <= 3000", 60),
     "kde_amount": _kde(),
+    "kde_amount_zoom": _kde(60, "montant_net <= 60"),
     "correlation_matrix": _correlation(),
     "pivot_amount": _with(
         EVENTS,
         select="SELECT type_paiement, "
         + ", ".join(
             _r(f"avg(montant_net) FILTER (WHERE statut_abonnement = '{v}')", 6) + f' AS "{v}"'
-            for v in ("Non", "Oui")
+            for v in ("Non", "Oui", "Suspendu")
         )
         + " FROM tx GROUP BY 1",
     ),
@@ -732,3 +897,40 @@ ORACLES: dict[str, str] = {
     ),
     "forecast_metrics": _forecast_metrics(),
 }
+
+ORACLES["report_traffic_stats"] = _traffic_report()
+ORACLES["report_class"] = _entity_report("classe_vehicule")
+ORACLES["report_station"] = _entity_report("gare")
+ORACLES["report_global"] = _long(
+    summary=(ORACLES["global_summary"], (), ("total_transactions", "start", "end")),
+    hourly=(_with(EVENTS, DENSE, select="SELECT ds, y AS count FROM dense"), ("ds",), ("count",)),
+    day_periods=(ORACLES["day_period_counts"], ("periode",), ("transactions",)),
+)
+ORACLES |= {
+    "rollout_fixed": _rollout(
+        "SELECT hour, ds AS date, CAST(round_even(predicted, 0) AS BIGINT) AS predicted_vehicles FROM ahead"
+    ),
+    "rollout_fixed_summary": _rollout(
+        f"SELECT count(*) AS future_hours, 0.0::DOUBLE AS noise_std, CAST({LOOKBACK_HOURS} AS INTEGER) AS lookback_hours, "
+        "CAST(round_even(avg(predicted), 0) AS BIGINT) AS mean_prediction, "
+        "CAST(round_even(min(predicted), 0) AS BIGINT) AS min_prediction, "
+        "CAST(round_even(max(predicted), 0) AS BIGINT) AS max_prediction FROM ahead"
+    ),
+    "rollout_fixed_with_history": _rollout(
+        f"(SELECT 'history' AS kind, ds, y::DOUBLE AS value FROM dense ORDER BY ds DESC LIMIT {HISTORY_HOURS}) "
+        f"UNION ALL SELECT 'forecast', ds, {_r('predicted', 6)} FROM ahead"
+    ),
+    "autoregressive_metrics_fixed": _fixed_metrics(),
+    "forecast_noisy": _noisy_forecast(),
+    "forecast_as_csv": _noisy_forecast(),
+    "stats_as_json": ORACLES["series_stats"],
+    "stats_as_documents": ORACLES["series_stats"],
+    "registry_facts": _with(
+        EVENTS, DENSE_GARE,
+        select="SELECT gare, regexp_replace(lower(gare), '[- ]', '_', 'g') AS gare_safe, min(ds) AS data_start, "
+        "max(ds) AS data_end, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS n_hours_train, "
+        "round_even(avg(y), 3) AS y_mean, round_even(stddev_samp(y), 3) AS y_std, max(y) AS y_max "
+        "FROM dense GROUP BY gare",
+    ),
+    "sequence_windows_features": _feature_sequences(),
+}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import calendar_parts
+from peagelens.functions.scalars import half_even, slug
 from peagelens.operators import distribution, etl, features, forecast, series, traffic
+from peagelens.plans import reports
 from peagelens.schema import (
     FEATURE_LAGS,
     FEATURE_WINDOWS,
@@ -20,8 +22,8 @@ from peagelens.schema import (
     SECOND_PASS_LAGS,
     SECOND_PASS_WINDOWS,
 )
-from peagelens.session import fresh_path, settle
-from peagelens.sources import bindings, fact, raw
+from peagelens.session import fresh_path, remove, settle
+from peagelens.sources import bindings, exports, fact, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,9 +66,19 @@ def etl_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     csv_path, fact_path = fresh_path(spark, "raw"), fresh_path(spark, "fact")
     raw.write_raw(bindings.raw_events(spark, d), csv_path)
     etl.run_etl(spark, csv_path, fact_path, RUN_TS)
+    remove(spark, csv_path)
     return fact.read_fact(spark, fact_path)
 
 
+def etl_report(spark: SparkSession, d: str) -> DataFrame:
+    """What loading the untidy export counts and loses, through a CSV file."""
+    csv_path = fresh_path(spark, "raw")
+    raw.write_raw(bindings.raw_events(spark, d), csv_path)
+    report = settle(etl.load_report(raw.read_raw(spark, csv_path)), "load-report")
+    remove(spark, csv_path)
+    return report
+
+
 def calendar_table(spark: SparkSession, d: str) -> DataFrame:
     tx = _events(spark, d)
     parts = calendar_parts(F.col("date_heure"))
@@ -102,17 +114,17 @@ def correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calendar_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET)
+    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET, "id_transaction")
     return features.with_time_features(hourly)
 
 
 def lag_table(spark: SparkSession, d: str) -> DataFrame:
-    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET)
+    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET, "id_transaction")
     return hourly.withColumns(features.lag_columns(features.TARGET, FEATURE_LAGS))
 
 
 def rolling_table(spark: SparkSession, d: str) -> DataFrame:
-    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET)
+    hourly = series.hourly_series(_events(spark, d), (), "date", features.TARGET, "id_transaction")
     return hourly.withColumns(features.rolling_columns(features.TARGET, FEATURE_WINDOWS))
 
 
@@ -149,6 +161,84 @@ def _autoregressive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
 
 
+#: A fixed model of the next hour: 0.6 of the hour a week before, 0.4 of the day before.
+FIXED_WEIGHTS = tuple(0.6 if k == 0 else 0.4 if k == LOOKBACK_HOURS - 24 else 0.0 for k in range(LOOKBACK_HOURS))
+
+
+def _fixed_rollout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    hourly = _network(spark, d)
+    ends = features.minmax_bounds(hourly, ["y"]).first()
+    model = forecast.AutoRegression(FIXED_WEIGHTS, 0.0, ends["y_min"], ends["y_max"])
+    return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
+
+
+def autoregressive_metrics(spark: SparkSession, d: str) -> DataFrame:
+    hourly = _network(spark, d)
+    return rounded(forecast.autoregression_metrics(hourly, forecast.fit_autoregression(hourly)), 2)
+
+
+def fixed_metrics(spark: SparkSession, d: str) -> DataFrame:
+    model = forecast.AutoRegression(FIXED_WEIGHTS, 0.0, 0.0, 1.0)
+    return rounded(forecast.autoregression_metrics(_network(spark, d), model), 6)
+
+
+def sequence_windows_features(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 24 hours by 23 scaled features, split in time order, as sums and corners."""
+    table = settle(features.feature_table(_events(spark, d)), "features")
+    inputs = [c for c in table.columns if c not in ("date", features.TARGET)]
+    scaled = features.minmax_scale(table, [*inputs, features.TARGET])
+    windows = features.sequences(
+        scaled, [f"{c}_scaled" for c in inputs], 24, f"{features.TARGET}_scaled", at="date"
+    )
+    parts = series.chrono_split(windows, at="date")
+    x = F.flatten("x")
+    return rounded(
+        parts.select(
+            "date", "part", "y", F.size(x).alias("n_values"),
+            F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("x_sum"),
+            F.element_at(x, 1).alias("x_first"), F.element_at(x, -1).alias("x_last"),
+        ),
+        6,
+    )
+
+
+def _stats_of_stations(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(series.series_stats(series.hourly_series(_events(spark, d), ["gare"])), 6)
+
+
+def stats_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the stations, written as JSON lines and read again."""
+    stats, path = _stats_of_stations(spark, d), fresh_path(spark, "stats-json")
+    exports.write_json(stats, path)
+    return spark.read.schema(stats.schema).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(path)
+
+
+def stats_as_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the stations as result documents, and what these say."""
+    stats = _stats_of_stations(spark, d)
+    options = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+    return exports.as_documents(stats).select(F.from_json("document", stats.schema, options).alias("r")).select("r.*")
+
+
+def forecast_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The simplest forecast of each station, written as CSV files and read again."""
+    ahead = forecast.lag_forecast(series.hourly_series(_events(spark, d), ["gare"]))
+    path = fresh_path(spark, "forecast-csv")
+    exports.write_forecast_csv(ahead, path)
+    return spark.read.schema(ahead.schema).option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
+    ).csv(path).select(*ahead.columns)
+
+
+def registry_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model record says of its station's data, without a model."""
+    stats = series.series_stats(series.hourly_series(_events(spark, d), ["gare"]))
+    return stats.select(
+        "gare", slug(F.col("gare")).alias("gare_safe"), "data_start", "data_end", "n_hours_train",
+        half_even(F.col("y_mean"), 3).alias("y_mean"), half_even(F.col("y_std"), 3).alias("y_std"), "y_max",
+    )
+
+
 def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_summary(_autoregressive(spark, d)[1], noise_std=0.0)
 
@@ -157,12 +247,17 @@ def forecast_with_history(spark: SparkSession, d: str) -> DataFrame:
     return forecast.with_history(*_autoregressive(spark, d))
 
 
+def _report(make: Callable[[DataFrame], reports.Report]) -> Query:
+    return lambda s, d: rounded(reports.long_form(make(_events(s, d))), 4)
+
+
 QUERIES: dict[str, Query] = {
     # scans and loading
     "scan_paid": lambda s, d: _paid(s, d),
     "scan_all": lambda s, d: fact.all_passages(_events(s, d)),
     "etl_transform": _fact_rows,
     "etl_csv_roundtrip": etl_csv_roundtrip,
+    "etl_report": etl_report,
     "calendar_parts": calendar_table,
     # counts
     "count_by_payment": lambda s, d: traffic.count_by(_paid(s, d), "type_paiement"),
@@ -216,13 +311,25 @@ QUERIES: dict[str, Query] = {
     "class_summary": lambda s, d: traffic.entity_summary(_events(s, d), "classe_vehicule"),
     "gare_summary": lambda s, d: traffic.entity_summary(_events(s, d), "gare"),
     "global_summary": lambda s, d: traffic.global_summary(_events(s, d)),
+    # dashboard reports
+    "report_traffic_stats": _report(reports.traffic_stats),
+    "report_class": _report(reports.class_analysis),
+    "report_station": _report(reports.station_analysis),
+    "report_global": _report(reports.global_analysis),
     # distributions
     "class_amount_stats": lambda s, d: rounded(distribution.amount_stats(_paid(s, d)), 4),
     "box_stats": lambda s, d: rounded(distribution.box_stats(_paid(s, d)), 4),
+    "box_stats_all": lambda s, d: rounded(distribution.box_stats(_events(s, d), key=None), 4),
+    "box_stats_paid_by_class": lambda s, d: rounded(
+        distribution.box_stats(_events(s, d), "montant_paye"), 4
+    ),
     "box_outliers": lambda s, d: distribution.box_outliers(_events(s, d), "montant_paye"),
     "describe_amount": lambda s, d: rounded(
         distribution.describe(_events(s, d), ["montant_paye", "montant_net"]), 4
     ),
+    "describe_numeric": lambda s, d: rounded(
+        distribution.describe(_events(s, d), distribution.numeric_columns(_events(s, d))), 4
+    ),
     "histogram_amount": lambda s, d: rounded(
         distribution.histogram(_paid(s, d), "montant_net", 80), 6
     ),
@@ -238,9 +345,15 @@ QUERIES: dict[str, Query] = {
     "kde_amount": lambda s, d: rounded(
         distribution.density(_events(s, d), "montant_net", 100, KDE_POINTS), 7
     ),
+    "kde_amount_zoom": lambda s, d: rounded(
+        distribution.density(
+            _events(s, d).where(F.col("montant_net") <= 60), "montant_net", 60, KDE_POINTS
+        ),
+        7,
+    ),
     "correlation_matrix": lambda s, d: rounded(correlation(s, d), 8),
     "pivot_amount": lambda s, d: rounded(
-        distribution.pivot_mean_amount(_events(s, d), ["Non", "Oui"]), 6
+        distribution.pivot_mean_amount(_events(s, d)), 6
     ),
     "pivot_month_year_count": lambda s, d: distribution.pivot_month_year(_orders(s, d), "count"),
     "pivot_month_year_revenue": lambda s, d: rounded(
@@ -278,6 +391,7 @@ QUERIES: dict[str, Query] = {
         features.fourier_features(series.hourly_series(_events(s, d))), 8
     ),
     "sequence_windows": sequence_windows,
+    "sequence_windows_features": sequence_windows_features,
     "minmax_scaled": lambda s, d: rounded(
         features.minmax_scale(series.hourly_series(_events(s, d)), ["y"]), 10
     ),
@@ -297,5 +411,19 @@ QUERIES: dict[str, Query] = {
     "forecast_autoregressive": lambda s, d: forecast.forecast_rows(_autoregressive(s, d)[1]),
     "forecast_summary": forecast_summary,
     "forecast_with_history": forecast_with_history,
+    "rollout_fixed": lambda s, d: forecast.forecast_rows(_fixed_rollout(s, d)[1]),
+    "rollout_fixed_summary": lambda s, d: forecast.forecast_summary(
+        _fixed_rollout(s, d)[1], noise_std=0.0
+    ),
+    "rollout_fixed_with_history": lambda s, d: rounded(
+        forecast.with_history(*_fixed_rollout(s, d)), 6
+    ),
+    "autoregressive_metrics": autoregressive_metrics,
+    "autoregressive_metrics_fixed": fixed_metrics,
+    "forecast_noisy": lambda s, d: forecast.lag_forecast(series.hourly_series(_events(s, d), ["gare"])),
+    "forecast_as_csv": forecast_as_csv,
+    "stats_as_json": stats_as_json,
+    "stats_as_documents": stats_as_documents,
+    "registry_facts": registry_facts,
     "regress_hourly": lambda s, d: forecast.regress_hourly(_events(s, d)),
 }

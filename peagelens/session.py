@@ -1,11 +1,18 @@
 """Session settings and the shared folder for written intermediate tables."""
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL = re.compile(r"local(\[[^\]]*\])?")
+#: Folder that the tables settled now go to, while inside :func:`scratch`.
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def local_session(
@@ -37,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not _LOCAL.fullmatch(spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="peagelens-"))
     return spark.sparkContext.getCheckpointDir()
@@ -45,7 +52,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's own file systems."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for everything that is settled inside; it is removed at the end.
+
+    Results that read settled tables have to be collected or written before it ends.
+    """
+    path = fresh_path(spark, "run")
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        remove(spark, path)
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -9,7 +9,7 @@ from peagelens.functions.scalars import clip_low
 STATIONS = ("Cotonou-Nord", "Allada", "Houegbo", "Porto-Novo", "Epke", "Parakou")
 CLASSES = {"click": "MOTO", "view": "VL", "purchase": "PL"}
 OTHER_CLASS = "BUS"
-PAYMENTS = ("Especes", "Badge", " Abonné ", "Mobile Money", "Carte")
+PAYMENTS = ("Especes", "\tBadge", " Abonné ", "Mobile Money", "Carte")
 
 
 # Columns used of the given tables. Naming them spares a job that reads file footers.
@@ -31,8 +31,11 @@ def _pick(number: Column, labels: tuple[str, ...]) -> Column:
 
 
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with real times of day, from `events`."""
-    ev = table(spark, sf_dir, "events")
+    """Passages with real times of day, from `events`. Some have no id, some no status."""
+    return _passages(table(spark, sf_dir, "events"))
+
+
+def _passages(ev: DataFrame, *further: str) -> DataFrame:
     vehicle = F.lit(OTHER_CLASS)
     for kind, label in CLASSES.items():
         vehicle = F.when(F.col("event_type") == kind, F.lit(label)).otherwise(vehicle)
@@ -42,7 +45,8 @@ def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("value"))
     )
     return ev.select(
-        F.col("event_id").alias("id_transaction"),
+        *further,
+        F.when(F.col("event_id") % 83 != 0, F.col("event_id")).alias("id_transaction"),
         F.col("ts").alias("date_heure"),
         _pick(F.col("user_id"), STATIONS).alias("gare"),
         (F.col("event_id") % 4 + 1).cast("int").alias("voie"),
@@ -50,7 +54,11 @@ def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         paid.alias("montant_paye"),
         clip_low(paid).alias("montant_net"),
         _pick(F.col("event_id"), PAYMENTS).alias("type_paiement"),
-        F.when(F.col("user_id") % 3 == 0, "Oui").otherwise("Non").alias("statut_abonnement"),
+        F.when(F.col("event_id") % 79 == 0, None)
+        .when(F.col("event_id") % 73 == 0, "Suspendu")
+        .when(F.col("user_id") % 3 == 0, "Oui")
+        .otherwise("Non")
+        .alias("statut_abonnement"),
         F.when(F.col("event_id") % 89 == 0, "Exonere")
         .otherwise("Standard")
         .alias("type_transaction"),
@@ -88,18 +96,29 @@ def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as an untyped export: all text, untidy headers, some bad fields."""
-    tx = tx_events(spark, sf_dir)
-    number = F.col("id_transaction")
+    """`events` as an untyped export: all text, untidy headers, some bad fields, names with
+    commas and quotes, whole numbers with a decimal point."""
+    tx = _passages(table(spark, sf_dir, "events"), "event_id")
+    number = F.col("event_id")
+    id_text = F.col("id_transaction").cast("string")
     when_text = F.when(number % 101 == 0, "bad-date").otherwise(
         F.date_format("date_heure", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
-    amount_text = F.when(number % 103 == 0, "N/A").otherwise(F.col("montant_paye").cast("string"))
+    station = F.when(number % 109 == 0, 'Porto "Nord", A').otherwise(F.col("gare"))
+    lane = F.col("voie").cast("string")
+    amount_text = (
+        F.when(number % 103 == 0, "N/A")
+        .when(number % 127 == 0, " NaN")
+        .otherwise(F.col("montant_paye").cast("string"))
+    )
     return tx.select(
-        number.cast("string").alias("ID_transaction"),
+        F.when(number % 113 == 0, F.concat(id_text, F.lit(".0"))).otherwise(id_text).alias("ID_transaction"),
         when_text.alias(" Date Heure "),
-        F.when(number % 107 != 0, F.col("gare")).alias("Gare"),
-        F.col("voie").cast("string").alias("Voie"),
+        F.when(number % 107 != 0, station).alias("Gare"),
+        F.when(number % 131 == 0, "2.5")
+        .when(number % 137 == 0, F.concat(lane, F.lit(".0")))
+        .otherwise(lane)
+        .alias("Voie"),
         F.col("classe_vehicule").alias("Classe vehicule"),
         amount_text.alias("Montant_paye "),
         F.col("type_paiement").alias("Type_paiement"),

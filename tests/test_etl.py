@@ -1,13 +1,15 @@
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from peagelens.operators.etl import normalise_headers, run_etl, transform
+from peagelens.operators.etl import load_report, normalise_headers, run_etl, transform
 from peagelens.schema import FACT
-from peagelens.session import settle, shared_dir
+from peagelens.session import fresh_path, scratch, settle, shared_dir
 from peagelens.sources.exports import as_documents, write_forecast_csv, write_json
 from peagelens.sources.fact import paid, read_fact, save_fact_table
-from peagelens.sources.raw import read_raw, write_raw
+from peagelens.sources.raw import BAD_RECORD, read_raw, write_raw
 
 STAMP = datetime(2024, 5, 1, 6)
 HEADER = (
@@ -66,7 +68,7 @@ def test_column_order_of_the_file_does_not_matter(spark, tmp_path):
 def test_missing_markers(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b\nNA,1\nnull,NaN\n None,x\n", encoding="utf-8")
-    assert [tuple(r) for r in read_raw(spark, str(path)).collect()] == [
+    assert [tuple(r) for r in read_raw(spark, str(path)).drop(BAD_RECORD).collect()] == [
         (None, "1"), (None, None), (" None", "x"),
     ]
 
@@ -112,3 +114,68 @@ def test_settled_tables_live_in_the_named_folder(spark):
     df = settle(spark.range(3).withColumn("x", F.col("id") * 2), "probe")
     assert shared_dir(spark) in df.inputFiles()[0]
     assert df.agg(F.sum("x")).first()[0] == 6
+
+
+HAND_HEADER = (
+    "ID_transaction, Date Heure ,Gare,Voie,Classe vehicule,Montant_paye ,Type_paiement,"
+    "Statut Abonnement,Type_transaction"
+)
+
+
+def hand_written(path, *lines):
+    path.write_text("\n".join([HAND_HEADER, *lines]) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_quotes_of_other_writers(spark, tmp_path):
+    path = hand_written(
+        tmp_path / "q.csv",
+        '1,2024-01-05 10:00:00,"Porto ""Nord"", A",1.0,VL,500,Carte,Oui,Standard',
+        '2.0,2024-01-05 11:00:00,"A,B",2,VL, NaN,"x""y",Non,Standard',
+    )
+    rows = {r.id_transaction: r for r in transform(read_raw(spark, path), STAMP).collect()}
+    assert rows[1].gare == 'Porto "Nord", A' and (rows[1].voie, rows[1].montant_paye) == (1, 500.0)
+    assert rows[2].gare == "A,B" and rows[2].type_paiement == 'x"y' and rows[2].montant_paye is None
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = hand_written(
+        tmp_path / "m.csv", '1,2024-01-05 10:00:00,"two\nlines",1,VL,5,Carte,Oui,Standard'
+    )
+    rows = transform(read_raw(spark, path, multiline=True), STAMP).collect()
+    assert [r.gare for r in rows] == ["two\nlines"]
+
+
+def test_losses_are_counted(spark, tmp_path):
+    path = hand_written(
+        tmp_path / "l.csv",
+        "1,2024-01-05 10:00:00,A,1.5,VL,abc,Carte,Oui,Standard",
+        "x,05/01/2024 10:00,A,NA,VL,5,Carte,Oui,Standard",
+        "3,2024,A,1,VL,5,Carte,Oui",
+        "4,2024-01-05 10:00:00,A,1,VL,5,Carte,Oui,Standard,more",
+    )
+    counts = {r.measure: r.n for r in load_report(read_raw(spark, path)).collect()}
+    assert counts == {
+        "rows": 4, "malformed": 2, "lost_id_transaction": 1, "lost_date_heure": 2, "lost_voie": 1,
+        "lost_montant_paye": 1,
+    }
+    report = run_etl(
+        spark, path, str(tmp_path / "fact"), STAMP, formats=["dd/MM/yyyy HH:mm"]
+    )
+    assert (report.rows, report.malformed) == (4, 2)
+    assert report.lost == {"id_transaction": 1, "date_heure": 1, "voie": 1, "montant_paye": 1}
+    times = [r.date_heure for r in read_fact(spark, str(tmp_path / "fact")).collect()]
+    assert times.count(datetime(2024, 1, 5, 10)) == 3 and times.count(None) == 1
+
+
+def test_absent_column_is_an_error(spark):
+    with pytest.raises(ValueError, match="lacks gare, voie"):
+        transform(raw_frame(spark).drop("Gare", "Voie"), STAMP)
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    with scratch(spark) as folder:
+        settle(spark.range(3))
+        inside = fresh_path(spark, "x")
+    assert inside.startswith(folder) and not os.path.exists(folder.removeprefix("file:"))
+    assert not fresh_path(spark, "x").startswith(folder)

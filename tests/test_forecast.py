@@ -155,3 +155,35 @@ def test_holdout(spark):
     test = series.chrono_split(hourly(spark, range(10)), train=0.8, val=0.0)
     assert sorted(r.y for r in test.where("part = 'test'").collect()) == [8.0, 9.0]
     assert sorted(r.y for r in forecast.holdout(hourly(spark, range(10))).collect()) == [8.0, 9.0]
+
+
+def test_short_series_says_so(spark):
+    df = hourly(spark, range(30)).withColumn("y", F.col("y").cast("bigint"))
+    with pytest.raises(ValueError, match="too few"):
+        forecast.fit_autoregression(df, 30)
+
+
+def test_autoregression_errors_on_unseen_hours(spark):
+    df = hourly(spark, wave(600)).withColumn("y", F.col("y").cast("bigint"))
+    row = forecast.autoregression_metrics(df, forecast.fit_autoregression(df, 48, ridge=1e-6)).first()
+    assert row.n_test == 552 - int(552 * 0.8) and row.mae < 3.0
+
+
+def test_noise_is_normal(spark):
+    drawn = spark.range(4000).select(
+        forecast.normal_noise(3, F.col("id").cast("string")).alias("z")
+    )
+    z = np.array([r.z for r in drawn.collect()])
+    assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05 and np.abs(z).max() < 6
+
+
+def test_global_forecast_of_nothing(spark):
+    assert forecast.global_forecast(passages(spark, {"A": []}), 3).count() == 0
+
+
+def test_global_forecast_follows_the_daily_wave(spark):
+    counts = np.round(20 + 10 * np.sin(2 * np.pi * np.arange(600) / 24)).astype(int)
+    ahead = forecast.global_forecast(passages(spark, {"A": counts}), 24, "INTERVAL '1' HOUR")
+    got = np.array([r.yhat for r in ahead.orderBy("ds").collect()])
+    truth = 20 + 10 * np.sin(2 * np.pi * np.arange(600, 624) / 24)
+    assert np.abs(got - truth).mean() < 3.0

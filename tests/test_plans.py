@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from peagelens.operators import distribution, etl, quantiles, series, traffic
+from peagelens.operators import distribution, etl, forecast, quantiles, series, traffic
+from peagelens.plans import reports
 from peagelens.plans.queries import RUN_TS
 from peagelens.sources import bindings
 from peagelens.sources.fact import paid, write_fact
@@ -83,6 +84,52 @@ def test_fences_go_to_the_tasks(tx):
     assert text.count("Exchange hashpartitioning") == 0
 
 
+@pytest.fixture
+def counted_reads(spark, data_dir):
+    """Number of passages that a query reads from the fact, in passes over the table."""
+    total = bindings.table(spark, data_dir, "events").count()
+
+    def passes(make):
+        seen = spark.sparkContext.accumulator(0)
+
+        def tick(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        tx = bindings.tx_events(spark, data_dir)
+        make(tx.mapInArrow(tick, tx.schema)).collect()
+        return seen.value / total
+
+    return passes
+
+
+@pytest.mark.parametrize(
+    ("most", "make"),
+    [
+        (1, distribution.amount_stats),
+        (1, lambda tx: distribution.describe(tx, ["montant_paye", "montant_net"])),
+        (1, distribution.box_stats),
+        (1, lambda tx: distribution.box_stats(tx, key=None)),
+        (2, lambda tx: distribution.box_outliers(tx, "montant_paye")),
+        (2, traffic.kpi_summary),
+        (1, distribution.pivot_mean_amount),
+    ],
+)
+def test_passes_over_the_fact(counted_reads, most, make):
+    assert counted_reads(make) <= most
+
+
+def test_report_passes(counted_reads):
+    """The cube, the median and the growth windows with their end; nothing else."""
+    assert counted_reads(lambda tx: reports.long_form(reports.traffic_stats(tx))) <= 6
+
+
+def test_global_forecast_has_no_group(tx):
+    text = plan(forecast.global_forecast(tx, 3))
+    assert "FlatMapGroups" not in text and "Python" not in text
+
+
 def test_windows_run_on_hours(tx):
     text = final_plan(series.hourly_series(tx, ["gare"]))
     window = text[text.index("Window") :]

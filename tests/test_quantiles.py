@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peagelens.operators import quantiles
 from peagelens.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -54,3 +55,14 @@ def test_without_keys_and_nulls(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert exact_quantiles(df, "v", [0.5], ["k"]).collect() == []
+
+
+def test_buckets_follow_the_distinct_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BUCKETS", 2)
+    monkeypatch.setattr(quantiles, "PER_BUCKET", 8)
+    seen = []
+    place = quantiles._place
+    monkeypatch.setattr(quantiles, "_place", lambda f, b: seen.append(b) or place(f, b))
+    rng = np.random.default_rng(6)
+    check(spark, {"a": rng.normal(size=900), "b": rng.normal(size=300)}, None)
+    assert seen == [256]
