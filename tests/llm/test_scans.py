@@ -1,0 +1,217 @@
+"""URL filter, secrets, licences, decontamination: against plain definitions."""
+
+import hashlib
+import re
+
+import pytest
+from cases import PROSE, no_docs, odd_docs, table
+from pyspark.sql import functions as F
+
+from peagelens.llm import decontaminate, licences, secret_scan, url_filter
+
+
+def parsed(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def ruled(host, path):
+    best = (None, None)
+    for says, rule in sorted(url_filter.RULES, key=lambda r: len(r[1])):
+        domain, tail = rule.split("/", 1)
+        if (host == domain or host.endswith("." + domain)) and path.startswith("/" + tail):
+            best = (rule, says)
+    return best
+
+
+ODD_URLS = [
+    None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/EN/1", "https://www.example.com/en/1", "https://example.com",
+    "https://example.com/en/", "https://notexample.com/en/x", "a://b://c/d", "http://x.net/es/1?u=://y", "http://x.net#/es/",
+    "http://ÄB.net/fr/\n2", "ftp://com/", "http://" + "a" * 50_000 + ".com/" + "b" * 50_000,
+]
+
+
+def test_urls(spark, data_dir):
+    pages = table(spark, data_dir, "pages").select("page_id", "url")
+    odd = spark.createDataFrame([(1000 + i, u) for i, u in enumerate(ODD_URLS)], "page_id long, url string")
+    both = pages.union(odd).withColumn("host", F.lit("clash")).withColumn("score", F.lit("clash"))
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = {r.page_id: r.url for r in both.collect()}
+    rows = url_filter.judge(both, model).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert (r.host, r.path) == parsed(urls[r.page_id])
+        rule, says = ruled(r.host, r.path)
+        assert r.rule == rule
+        assert r.verdict == (says or ("block" if r.score >= url_filter.THRESHOLD else "allow"))
+
+
+def test_url_model_reads_hosts(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    bad = ["www.casino-win.example.org", "cheap-pills.example.net", "ads-track.example.org", "m.adult-x.example.net"]
+    good = ["blog.ththin.example.org", "tionble.example.org", "therapy.example.net", "museum.example.org"]
+    assert (model.score(bad, ["/en/12"] * 4) >= url_filter.THRESHOLD).all()
+    assert (model.score(good, ["/en/12?x"] * 4) < url_filter.THRESHOLD).all()
+    assert url_filter.train(url_filter.labelled_urls(spark).limit(0)).score(["a"], ["/"]).tolist() == [0.5]
+
+
+def test_secret_base_by_definition(spark, data_dir):
+    docs = table(spark, data_dir, "documents").select("doc_id", "text").union(odd_docs(spark).select("doc_id", "text"))
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    want = {}
+    for doc_id, text in texts:
+        text = text or ""
+        found = [
+            (m.start(), 0, m.end())
+            for m in re.finditer(
+                r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                text,
+            )
+            if len(m[2]) >= 6
+        ]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        names = ("assign", "access", "hex")
+        line = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
+        want[doc_id, text] = (*(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(line.encode()).hexdigest())
+    got = secret_scan.report(docs).collect()
+    assert len(got) == docs.count()
+    by_id = {k[0]: v for k, v in want.items()}
+    for r in got:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == by_id[r.doc_id]
+
+
+def test_token_efficiency(spark):
+    key = "q7Xv2LmZ9bTr4KpW8sYd1FgH"
+    rows = [
+        (1, f"use {key} here"),
+        (2, "commit d41d8cd98f00b204e9800998ecf8427e and 123e4567-e89b-12d3-a456-426614174000"),
+        (3, "see https://host/some-long-path/2024-11-30/another_plain_name"),
+        (4, f'password: "{key}"'),
+        (5, "\u017fecret = abcdef1234 \u212aey"),
+    ]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans == "token:4:28" and got[1].base_spans == ""
+    assert got[2].spans == "hex:7:39" and got[3].spans == ""
+    assert got[4].spans == f"assign:0:{11 + len(key)}" and got[4].n_token == 0
+    assert got[5].spans == ""  # a long s is no letter of the pattern
+
+
+def test_redaction(spark):
+    docs = odd_docs(spark)
+    out = secret_scan.redact(docs)
+    assert out.dtypes == docs.dtypes
+    texts = sorted((str(r.doc_id), r.text or "", r.text is None) for r in out.collect())
+    before = sorted((str(r.doc_id), r.text or "", r.text is None) for r in docs.collect())
+    assert [a for a in texts if a[0] != "9"] == [b for b in before if b[0] != "9"]
+    assert next(a[1] for a in texts if a[0] == "9") == '[REDACTED]"\nAll rights reserved.'
+    assert secret_scan.redact(no_docs(spark)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.train(spark)
+
+
+def test_licences(spark, licence_model):
+    rows = [
+        (1, PROSE + "\n\nLicensed under the Apache License, Version 2.0.\n" + PROSE),
+        (2, "Released under the MIT License.\nAll rights reserved."),
+        (3, "She lost her driver license near MIT."),
+        (4, "  ALL!! RIGHTS!! RESERVED.!!"),
+        (5, "This work is licensed under the GNU General Public License, version 3."),
+        (6, "Licensed under CC BY-NC 4.0."),
+        (7, "public version work file use part"),
+    ]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licence_model).collect()}
+    assert [got[k].families for k in range(1, 8)] == ["apache-2.0", "mit,proprietary", "", "proprietary", "gpl", "cc-by-nc", ""]
+    assert got[1].n_paragraphs == 3 and got[1].notices[0].paragraph == 2
+    assert got[2].n_confirmed == 2 and got[2].family == "mit"
+
+
+def test_licence_anchors_lose_nothing(licence_model):
+    """Without an anchor word no set of n-grams lifts a family over the unknown class."""
+    anchors = set(licence_model.anchors)
+    for f, bias in enumerate(licence_model.bias):
+        free = [w[f] for g, w in licence_model.weights.items() if not anchors & set(g.split())]
+        assert bias + sum(x for x in free if x > 0) < 0
+
+
+def test_licences_of_given_texts(spark, licence_model, data_dir):
+    lines = {
+        "Released under the MIT License.": "mit", "All rights reserved.": "proprietary",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    }
+    docs = table(spark, data_dir.replace("0.001", "0.01"), "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in licences.scan(docs, licence_model).collect():
+        want = sorted({f for line, f in lines.items() if line in texts[r.doc_id].split("\n")})
+        assert r.families == ",".join(want)
+
+
+def test_licence_plan_is_native(spark, licence_model):
+    plan = licences.scan(odd_docs(spark), licence_model)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    assert licences.scan(odd_docs(spark), licence_model).count() == 11
+    assert licences.scan(no_docs(spark), licence_model).count() == 0
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def overlap(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[i : i + 13]), set()).add(item)
+    out = []
+    for doc_id, text in docs:
+        w, hit, seen = words(text), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    seen |= found
+        names = ",".join(sorted(str(s) for s in seen if s is not None))
+        out.append((
+            doc_id, len(w), len(hit), len([s for s in seen if s is not None]), hashlib.sha256(names.encode()).hexdigest(),
+            bool(hit) and 20 * len(hit) >= len(w),
+        ))
+    return sorted(out, key=repr)
+
+
+ITEMS = [
+    (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "short item"), (3, "x"),
+    (4, None), (5, "..."), (5, "Short ITEM"), (None, "no name here"), (7, "a a a a a a a a a a a a a a a"), (10, "größe über alles"),
+]
+TEXTS = [
+    (1, "alpha BETA gamma, delta-epsilon zeta eta theta iota kappa lambda mu nu xi omicron"), (2, "the short item x"), (3, None),
+    (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (5, "a " * 40), (6, "größe über alles no name here"),
+    (7, "item short short item"), (8, "filler " * 100 + "short item"), (8, "filler " * 100 + "short item"), (None, "x"), (9, ""), (9, "x y"),
+]
+
+
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_decontamination(spark, block):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("hits", F.lit("clash")).withColumn("key", F.lit(1))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("words", F.lit("clash"))
+    got = sorted((tuple(r) for r in decontaminate.report(docs, items, block=block).collect()), key=repr)
+    assert got == overlap(TEXTS, ITEMS)
+    bad = {r[0] for r in got if r[5]}
+    kept = decontaminate.clean(docs, items, block=block)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {t[0] for t in TEXTS} - bad | ({9} if (9, "") in TEXTS else set())
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, none = odd_docs(spark), spark.createDataFrame([], "item_id long, text string")
+    assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate.report(docs, none).collect())
+    assert decontaminate.report(docs, none).count() == docs.count()
+    assert decontaminate.report(no_docs(spark), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
