@@ -46,7 +46,9 @@ BLOCKED = (
     "content-farm.example.org/de/8003 spam-links.example.org/fr/66 ads-server.example.com/banner "
     "track-clicks.example.net/en/9313 ad-track.example.org/px ads-track.example.net/de/1250 "
     "click-ads.example.com/es/4077 free-money.example.com/en/31 get-rich.example.net/fast "
-    "crack-keygen.example.org/download warez-free.example.com/fr/2986 payday-loans.example.net/apply"
+    "crack-keygen.example.org/download warez-free.example.com/fr/2986 payday-loans.example.net/apply "
+    "www.casino-vegas.example.org/fr/8112 www.free-spins.example.com/en/57 blog.cheap-viagra.example.net/en/903 "
+    "www.adult-shop.example.com/es/3418 m.win-bets.example.org/de/26 blog.spam-offers.example.com/en/4471"
 ).split()
 ALLOWED = (
     "docs.python.example.org/en/3/library news.example.com/en/2024/economy library.example.org/books/12 "
