@@ -25,19 +25,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peagelens.session import fresh_path, settle
 
-#: A file is closed at so many compressed bytes; a shard holds about so many payload bytes.
-ROLL, SHARD = 64 << 20, 256 << 20
+#: A file is closed at so many compressed bytes; a shard holds about so many payload bytes,
+#: more where there would be more than so many shards.
+ROLL, SHARD, MOST_SHARDS = 32 << 20, 64 << 20, 10_000
 #: Equal payloads of at least so many bytes become revisits.
 LEAST = 100
 #: The table has no fetch times; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
 _LEVEL = 6
-_BINS = 1024
+_FINER = 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -62,35 +63,45 @@ def originals(facts: DataFrame, least: int = LEAST) -> DataFrame:
     return facts.select("page_id", "digest").join(shared.drop("n"), "digest").distinct()
 
 
-def shard_bounds(facts: DataFrame, shard_bytes: int = SHARD) -> list[int]:
+def shard_bounds(facts: DataFrame, shard_bytes: int = SHARD, most: int = MOST_SHARDS) -> list[int]:
     """First page_id of each shard but the first, from exact sums of bytes by id range.
 
-    An id range of more than a shard's bytes is cut into finer ranges until it fits or
-    is a single id. What the driver sees is _BINS sums for each range in question.
+    Ids are counted into equal ranges; ranges of more than a shard's bytes are counted again in
+    finer ones, all of a level in one pass over the small facts, until they fit or are
+    single ids. The driver sees some sums for each shard, and shards grow before
+    their number passes ``most``.
     """
-    low, high = facts.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high, total = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if low is None:
         return []
-    bounds, filled, todo = [], 0, [(low, high + 1)]
-    while todo:
-        a, b = todo.pop(0)
-        step = -(-(b - a) // _BINS)
-        inside = facts.where((F.col("page_id") >= a) & (F.col("page_id") < b))
-        bins = inside.groupBy(F.floor((F.col("page_id") - a) / F.lit(step).cast("decimal(20,0)")).cast("long").alias("k"))
-        sums = sorted((r.k, r.s) for r in bins.agg(F.sum("bytes").alias("s")).collect())
-        finer = []
-        for k, s in sums:
-            at = a + k * step
-            if s > shard_bytes and step > 1:
-                finer.append((at, min(at + step, b)))
-            if filled and filled + s > shard_bytes:
-                bounds.append(at)
-                filled = 0
-            filled += s
-        todo = finer + todo
-        if finer:
+    limit = max(shard_bytes, -(-total // most))
+    width = -(-(high - low + 1) // (4 * most))
+    page = F.col("page_id").cast("decimal(20,0)")
+
+    def into(start: Column, step: int) -> Column:
+        return start + F.floor((page - start) / F.lit(step).cast("decimal(20,0)")) * step
+
+    known = facts.where(F.col("page_id").isNotNull())
+    rows = known.select("page_id", "bytes", into(F.lit(low).cast("decimal(20,0)"), width).cast("decimal(20,0)").alias("start"))
+    final: list[tuple[int, int]] = []
+    while True:
+        sums = [(int(r["start"]), r["s"]) for r in rows.groupBy("start").agg(F.sum("bytes").alias("s")).collect()]
+        full = [(a, s) for a, s in sums if s > limit and width > 1]
+        final += [x for x in sums if x not in set(full)]
+        if not full:
+            break
+        width = -(-width // _FINER)
+        again = facts.sparkSession.createDataFrame([(a,) for a, _ in full], "a long")
+        again = again.select(F.col("a").cast("decimal(20,0)").alias("start"))
+        finer = rows.join(again, "start").select("page_id", "bytes", into(F.col("start"), width).cast("decimal(20,0)").alias("start"))
+        rows = settle(finer, "warc-ranges")
+    bounds, filled = [], 0
+    for at, size in sorted(final):
+        if filled and filled + size > limit:
+            bounds.append(at)
             filled = 0
-    return sorted(set(bounds) - {low})
+        filled += size
+    return bounds
 
 
 def record_id(page: int | None, digest: str) -> str:
@@ -181,7 +192,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL, sh
     )
     rows = rows.withColumn("original", F.lit(None).cast("long")).withColumn("kind", F.lit(1))
     both = marks.unionByName(rows).withColumn("shard", shard_of("page_id"))
-    dealt = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions(
+    # Each shard is a partition of its own, so none waits behind another in one task.
+    dealt = both.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_last(), "digest", "kind", F.col("url").asc_nulls_first()
     )
     dealt = dealt.select("shard", "page_id", "digest", "kind", "original", "url", "payload")

@@ -60,7 +60,8 @@ def test_url_model_reads_hosts(spark):
 
 
 def test_secret_base_by_definition(spark, data_dir):
-    docs = table(spark, data_dir, "documents").select("doc_id", "text").union(odd_docs(spark).select("doc_id", "text"))
+    odd = odd_docs(spark).select(F.col("doc_id") + 10**6, "text")
+    docs = table(spark, data_dir, "documents").select("doc_id", "text").union(odd)
     texts = {(r.doc_id, r.text) for r in docs.collect()}
     want = {}
     for doc_id, text in texts:

@@ -85,7 +85,12 @@ def test_shards_follow_bytes(spark):
     bounds = warc.shard_bounds(spark.createDataFrame(rows, "page_id long, digest string, bytes long"), 1000)
     ids = [r[0] for r in rows]
     sizes = [sum(10 for i in ids if a <= i < b) for a, b in zip([0, *bounds], [*bounds, 10**13])]
-    assert sum(sizes) == 20_000 and max(sizes) <= 2000 and len(sizes) >= 15
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000 and len(sizes) >= 20
+    few = warc.shard_bounds(spark.createDataFrame(rows, "page_id long, digest string, bytes long"), 1000, 5)
+    assert 3 <= len(few) <= 9
+    far = [(-(2**63), "d", 5), (2**63 - 1, "d", 5), (0, "d", 5)]
+    a, b = warc.shard_bounds(spark.createDataFrame(far, "page_id long, digest string, bytes long"), 5)
+    assert -(2**63) < a <= 0 < b <= 2**63 - 1
 
 
 MIX = [
