@@ -57,7 +57,7 @@ def test_rules_need_both_classes():
 
 def test_list_is_ordered_and_conditional(spark):
     rules = [
-        (decision_list.Condition("pipe_share", True, 0.5),),
+        (decision_list.Condition("pipe_share", True, 0.4),),
         (decision_list.Condition("upper_share", True, 0.5), decision_list.Condition("mark_share", True, 0.5)),
     ]
     rows = [(1, "| a " * 20), (2, "A!! " * 5 + "B!! C!! D!! E!! F!! G!! H!!"), (3, PROSE)]
