@@ -922,7 +922,8 @@ ORACLES |= {
     ),
     "autoregressive_metrics_fixed": _fixed_metrics(),
     "forecast_noisy": _noisy_forecast(),
-    "forecast_as_csv": _noisy_forecast(),
+    "forecast_as_csv": "SELECT * EXCLUDE (gare), regexp_replace(lower(gare), '[- ]', '_', 'g') AS gare_safe "
+    f"FROM ({_noisy_forecast()}) f",
     "stats_as_json": ORACLES["series_stats"],
     "stats_as_documents": ORACLES["series_stats"],
     "registry_facts": _with(

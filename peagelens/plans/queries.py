@@ -225,9 +225,10 @@ def forecast_as_csv(spark: SparkSession, d: str) -> DataFrame:
     ahead = forecast.lag_forecast(series.hourly_series(_events(spark, d), ["gare"]))
     path = fresh_path(spark, "forecast-csv")
     exports.write_forecast_csv(ahead, path)
-    return spark.read.schema(ahead.schema).option("header", True).option(
+    fields = "datetime timestamp_ntz, predicted double, lower_95 double, upper_95 double, gare_safe string"
+    return spark.read.schema(fields).option("header", True).option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
-    ).csv(path).select(*ahead.columns)
+    ).csv(path)
 
 
 def registry_facts(spark: SparkSession, d: str) -> DataFrame:

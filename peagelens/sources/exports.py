@@ -3,16 +3,23 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peagelens.functions.scalars import slug
+
 
 def write_forecast_csv(forecast: DataFrame, path: str) -> None:
-    """One CSV file per station; a station's forecast is one row per future hour."""
+    """One CSV file per station, in a folder of its file-safe name; a row per future hour.
+
+    Stations whose file-safe names agree share a folder.
+    """
     (
-        forecast.repartition("gare")
-        .sortWithinPartitions("gare", "datetime")
+        forecast.select(slug(F.col("gare")).alias("gare_safe"), *forecast.columns)
+        .repartition("gare_safe")
+        .sortWithinPartitions("gare_safe", "gare", "datetime")
+        .drop("gare")
         .write.mode("overwrite")
         .option("header", True)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .partitionBy("gare")
+        .partitionBy("gare_safe")
         .csv(path)
     )
 

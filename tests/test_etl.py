@@ -94,20 +94,20 @@ def test_catalog_table(spark):
 
 def test_sinks(spark, tmp_path):
     forecast = spark.createDataFrame(
-        [(g, datetime(2024, 1, 1, h), 1.5, 0.0, 3.0) for g in ("A", "B") for h in (0, 1)],
+        [(g, datetime(2024, 1, 1, h), 1.5, 0.0, 3.0) for g in ("A-x Y", "B") for h in (0, 1)],
         "gare string, datetime timestamp_ntz, predicted double, lower_95 double, upper_95 double",
     )
     path = tmp_path / "forecast"
     write_forecast_csv(forecast, str(path))
-    files = sorted(p.parent.name for p in path.glob("gare=*/*.csv"))
-    assert files == ["gare=A", "gare=B"]
-    text = next(path.glob("gare=A/*.csv")).read_text(encoding="utf-8").splitlines()
+    files = sorted(p.parent.name for p in path.glob("gare_safe=*/*.csv"))
+    assert files == ["gare_safe=a_x_y", "gare_safe=b"]
+    text = next(path.glob("gare_safe=a_x_y/*.csv")).read_text(encoding="utf-8").splitlines()
     assert text[0] == "datetime,predicted,lower_95,upper_95"
     assert text[1].startswith("2024-01-01 00:00:00,1.5,")
     write_json(forecast, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 4
-    document = as_documents(forecast.where("gare = 'A'").orderBy("datetime")).first().document
-    assert document.startswith('{"gare":"A","datetime":"2024-01-01T00:00:00"')
+    document = as_documents(forecast.where("gare = 'A-x Y'").orderBy("datetime")).first().document
+    assert document.startswith('{"gare":"A-x Y","datetime":"2024-01-01T00:00:00"')
 
 
 def test_settled_tables_live_in_the_named_folder(spark):
