@@ -1,0 +1,158 @@
+"""All pairs of texts whose sets of word shingles have at least a given Jaccard similarity.
+
+Two sets that are similar enough share one of the first few shingles of each, in any
+order common to all sets (prefix filter), so no pair is lost. The order puts shingles that
+are frequent in a sample last; that changes the work, not the result. Stars, one random
+member of each shared shingle with the others, join large groups of near copies first;
+then only pairs of different components are compared, and each link is checked on the
+whole sets. Sets are told by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from peagelens.llm.components import components
+from peagelens.llm.wordscan import measure_texts
+from peagelens.session import settle
+
+#: Texts in the sample that tells frequent shingles, and at most so many frequent shingles.
+SAMPLE, MOST_FREQUENT = 20_000, 200_000
+#: A shingle is frequent if so many texts of the sample hold it.
+FREQUENT = 3
+#: Stars that a text takes part in, at most.
+STARS = 4
+
+
+def identity(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set of shingles."""
+    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def prefix_size(n: int, share: Fraction) -> int:
+    """How many first shingles of a set of n have to be looked at."""
+    return n + (-n * share.numerator // share.denominator) + 1 if n else 0
+
+
+class Order:
+    """Shingles by how frequent they are in a sample, then by value."""
+
+    def __init__(self, frequent: list[tuple[int, int]]):
+        known = sorted(frequent)
+        self.keys = np.array([k for k, _ in known], np.int64)
+        self.counts = np.array([c for _, c in known], np.int64)
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(shingles), np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+            rank = np.where(self.keys[at] == shingles, self.counts[at], 0)
+        return shingles[np.lexsort((shingles, rank))]
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, shingles, sample: int = SAMPLE) -> list[tuple[int, int]]:
+    """(shingle, texts of the sample that hold it) of the frequent ones."""
+    n = docs.count()
+    part = docs.select(F.col(text_col).alias("text"))
+    if n > sample:
+        part = part.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < sample * 1_000_000 // n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t or b"") for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["s"])
+
+    found = part.distinct().select(F.col("text").cast("binary")).mapInArrow(run, "s long")
+    counts = found.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return [tuple(r) for r in counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()]
+
+
+def _sizes_fit(a: Column, b: Column, share: Fraction) -> Column:
+    return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = (np.frombuffer(z.as_py(), np.int64) for z in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both * (share.numerator + share.denominator) >= share.numerator * (len(one) + len(two)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return settle(whole.mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return (
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    )
+
+
+def sets_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingles) -> DataFrame:
+    """(sig, shingles) of every set in the pairs, read again from one row of docs each."""
+    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    one = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).join(nodes, "sig")
+    one = settle(one.select(F.col("row.doc_id").alias("d"), F.col("row.text_key").alias("k")), "jaccard-rows")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    texts = texts.join(one, texts["id"].eqNullSafe(one["d"]) & (texts["key"] == one["k"]), "left_semi")
+
+    def measure(raw: list[bytes]) -> list:
+        found = [shingles(t) for t in raw]
+        return [np.array([identity(s) for s in found], np.int64), pa.array([s.tobytes() for s in found], pa.binary())]
+
+    made = measure_texts(texts, {}, "text", "sig long, shingles binary", measure)
+    return settle(made.dropDuplicates(["sig"]), "jaccard-sets")
+
+
+def similar(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingles, share: Fraction, near: DataFrame) -> DataFrame:
+    """(node, root) of the components of sets (sig) of at least the given similarity.
+
+    rows holds (doc_id, text_key, sig, n, prefix) of each row of docs; ``near`` holds pairs (a, b)
+    of sets to be tried with the stars.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    entries = rows.select("sig", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.withColumn("h", F.xxhash64("sig", "token"))
+    ends = entries.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = settle(ends.where(F.col("lo") < F.col("hi")).select("token", "lo"), "jaccard-shared")
+    kept = entries.join(shared, "token").select("token", "sig", "n", "pos", (F.col("h") == F.col("lo")).alias("hub"))
+    kept = settle(kept.distinct(), "jaccard-entries")
+
+    hubs = kept.where("hub").select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"))
+    spokes = kept.where("not hub").withColumnRenamed("n", "n_a").join(hubs, "token").where(_sizes_fit(n_a, n_b, share))
+    stars = spokes.groupBy("sig", F.pmod("token", F.lit(STARS)).alias("star")).agg(F.min(F.struct("pos", "b")).alias("m"))
+    first = settle(_ordered(near.select("a", "b").union(stars.select(F.col("sig").alias("a"), "m.b"))), "jaccard-pairs")
+    sets = sets_of(first, rows, docs, id_col, text_col, shingles)
+    links = verified(first, sets, share)
+
+    roots = components(links).withColumnRenamed("node", "sig")
+    named = kept.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = settle(named.select("token", "sig", "n", "pos", "root"), "jaccard-named")
+    ends = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_ = settle(named.join(ends.where(F.col("lo") < F.col("hi")).select("token"), "token"), "jaccard-open")
+    left, right = (
+        open_.select("token", F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "root"))) for x in "ab"
+    )
+    # Overlap that is still possible if this is the first shingle that both share.
+    most = 1 + F.least(n_a - 1 - F.col("pos_a"), n_b - 1 - F.col("pos_b"))
+    pairs = left.join(right, "token").where(
+        (F.col("root_a") < F.col("root_b")) & _sizes_fit(n_a, n_b, share)
+        & (most * (share.numerator + share.denominator) >= (n_a + n_b) * share.numerator)
+    )
+    second = settle(_ordered(pairs).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = verified(second, sets_of(second, rows, docs, id_col, text_col, shingles), share)
+    return components(links.unionByName(more))

@@ -13,6 +13,7 @@ spanning forest of its links, at most one link for each fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peagelens.llm import jaccard
 from peagelens.llm.components import components
 from peagelens.llm.wordscan import measure_texts
 from peagelens.session import settle
@@ -31,29 +33,38 @@ SEED = 42
 PART = 1024
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of the whole text: words between white space, A-Z lower-cased."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of words, or of all words if they are fewer: words between white space, A-Z lower-cased."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     flat = b" ".join(words)
     digest, n = xxhash.xxh64_digest, max(1, len(words) - shingle + 1)
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[shingle - 1 :].tolist(), len(flat)]
+    return np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in zip(starts, ends)]), ">u8")
+
+
+def _fold(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
-        raw = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts[k : k + (1 << 14)], ends[k : k + (1 << 14)])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    for k in range(0, len(hashes), 1 << 14):
+        raw = np.ascontiguousarray(hashes[k : k + (1 << 14)]).view(np.uint8).reshape(-1, 8)
+        counts += np.add.reduce(np.unpackbits(raw, axis=1), axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of the whole text."""
+    return _fold(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for each row of docs; fp holds the 64 bits as a signed long."""
 
     def measure(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+        return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
     return measure_texts(docs, {"doc_id": id_col}, text_col, "fp long", measure)
 
@@ -149,18 +160,71 @@ def links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
     return units.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, share: Fraction) -> DataFrame:
+    """(doc_id, text_key, fp, root) for each row of docs; rows of one root are joined by similar sets of shingles."""
+
+    def shingle_set(text: bytes) -> np.ndarray:
+        return np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
+
+    order = jaccard.Order(jaccard.frequent_shingles(docs, text_col, shingle_set))
+    held = docs.sparkSession.sparkContext.broadcast(order)
+
+    def measure(texts: list[bytes]) -> list:
+        prints, sets, prefixes = [], [], []
+        for t in texts:
+            hashes = shingle_hashes(t, shingle)
+            one = np.unique(hashes.astype(np.uint64).view(np.int64))
+            prints.append(_fold(hashes))
+            sets.append((jaccard.identity(one), len(one)))
+            prefixes.append(held.value(one)[: jaccard.prefix_size(len(one), share)])
+        signed = np.array(prints, np.uint64).view(np.int64)
+        return [signed, [s for s, _ in sets], [n for _, n in sets], pa.array(prefixes, pa.list_(pa.int64()))]
+
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    keep = {"doc_id": "doc_id", "text_key": "text_key"}
+    schema = "fp long, sig long, n long, prefix array<long>"
+    rows = settle(measure_texts(keyed, keep, "text", schema, measure), "simhash")
+    sets = settle(rows.groupBy("sig").agg(F.min("fp").alias("fp")), "simhash-sets")
+    least = settle(sets.groupBy("fp").agg(F.min("sig").alias("b")), "simhash-distinct")
+    same = sets.join(least, "fp").select(F.col("sig").alias("a"), "b")
+    near = links(least.select("fp"), radius)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(
+        least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b"
+    )
+    near = same.union(near.select("x", "y")).where(F.col("a") != F.col("b"))
+    roots = jaccard.similar(rows, docs, id_col, text_col, shingle_set, share, near)
+    of_set = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"))
+    return rows.select("doc_id", "text_key", "fp", "sig").join(settle(of_set, "simhash-roots"), "sig").drop("sig")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    similarity: str | None = None,
+) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
+    Links join fingerprints at most ``radius`` bits apart. With a ``similarity`` (a decimal
+    or fraction as text) links are the pairs of rows whose sets of shingles have at least that
+    Jaccard similarity, at whatever distance their fingerprints are.
+
     component_id is the smallest id among the rows that a chain of links reaches. Texts
     without words, null ones too, have fingerprint zero and are linked like any other.
     A null id is never the smallest; a component of null ids only has none. Repeated
     rows and ids each give a row. Other columns of docs are not looked at.
     """
-    rows = settle(fingerprints(docs, id_col, text_col), "simhash")
+    if similarity is not None:
+        found = settle(_similar_rows(docs, id_col, text_col, shingle, radius, Fraction(similarity)), "simhash-rows")
+        by_root = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        out = found.join(settle(by_root, "simhash-components"), "root")
+        return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = settle(fingerprints(docs, id_col, text_col, shingle), "simhash")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = settle(least, "simhash-distinct")
-    roots = components(links(least.select("fp")))
+    roots = components(links(least.select("fp"), radius))
     linked = roots.join(least, roots["node"] == least["fp"]).select("fp", "root", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.select("fp", "root").join(by_root, "root").select(F.col("fp").alias("f"), "component_id")

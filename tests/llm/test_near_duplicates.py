@@ -110,3 +110,57 @@ def test_word_hashes_tell_words_apart():
     assert len(np.unique(h[: len(words)])) == len(words)
     assert h[-1] == h[-2] == h[words.index("a0")]
     assert p.n_words.tolist() == [len(words), 0, 2]
+
+
+def exact_classes(texts, size=5):
+    """Components of the texts by brute-force Jaccard of at least 4/5."""
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+        sets[k] = {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+    ids = sorted(sets)
+    near = [
+        (a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    return classes(near, ids), sets, near
+
+
+def test_similar_sets_are_found_beyond_the_radius(spark, data_dir):
+    rng = random.Random(9)
+    texts = {r.doc_id: r.text for r in table(spark, data_dir, "documents").collect()}
+    words = [f"w{i}" for i in range(3000)]
+    for g in range(25):
+        base, at = rng.choices(words, k=rng.randrange(8, 150)), 10**6 + 100 * g
+        for k in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(copy) // 20)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            tail = ["one", "very", "common", "line", "that", "all", "of", "them", "hold"] if k % 2 else []
+            texts[at + k] = " ".join(copy + tail)
+    want, sets, near = exact_classes(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = simhash.near_duplicates(docs, shingle=5, similarity="0.8").collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    assert all(prints[k] == simhash.fingerprint(t.encode(), 5) for k, t in texts.items())
+    far = [(a, b) for a, b in near if (prints[a] ^ prints[b]).bit_count() > 4]
+    assert len(far) > 100
+
+
+def test_similar_sets_of_odd_rows(spark):
+    got = simhash.near_duplicates(odd_docs(spark), shingle=5, similarity="0.8").collect()
+    assert len(got) == odd_docs(spark).count()
+    by_id = {r.doc_id: r.component_id for r in got}
+    assert by_id[1] == by_id[2] == by_id[6] == 1 and by_id[7] == 7 and by_id[8] == 8
+    assert simhash.near_duplicates(no_docs(spark), shingle=5, similarity="0.8").count() == 0
+
+
+def test_pipeline_drops_similar_documents(spark, data_dir):
+    """The stage keeps the smallest id of each group that brute-force Jaccard at five words gives."""
+    import corpus_pipeline
+
+    docs = table(spark, data_dir, "documents")
+    want, _, _ = exact_classes({r.doc_id: r.text for r in docs.collect()})
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, data_dir)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
