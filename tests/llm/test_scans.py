@@ -216,3 +216,15 @@ def test_decontamination_of_empty_tables(spark):
     assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate.report(docs, none).collect())
     assert decontaminate.report(docs, none).count() == docs.count()
     assert decontaminate.report(no_docs(spark), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def spans_of(spark, texts):
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.spans for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_random_strings_after_equals(spark):
+    key = "q7Xv2LmZ9bTr4KpW8sYd1FgH"
+    heads = ["key=", "AUTH=", "https://h/p?sig=", "AWS_SECRET_ACCESS_KEY=", "x==", "a=b&c="]
+    assert spans_of(spark, [h + key for h in heads]) == [f"token:{len(h)}:{len(h) + 24}" for h in heads]
+    assert spans_of(spark, [f"{key}==", "NAME=plain-words-and-a-path/of_names"]) == ["token:0:26", ""]
