@@ -24,6 +24,8 @@ from peagelens.llm.wordscan import measure_texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A candidate is a secret below so many characters for each token.
 RATIO = 2.0
+#: Characters that a run, or a piece of one, has at least to be tested.
+LEAST = 20
 #: What a found span is replaced by.
 MASK = "[REDACTED]"
 
@@ -35,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token")
 
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 # Names, paths and dates: pieces of letters in one case or of digits only.
@@ -74,12 +76,38 @@ def looks_random(run: str, tokens: tiktoken.Encoding, ratio: float) -> bool:
     return len(run) < ratio * len(tokens.encode_ordinary(run))
 
 
+def _cuts_string(text: str, a: int, b: int, kind: str) -> bool:
+    """Whether a base span is a part of a longer string and not a known digest or whole word."""
+    left = a > 0 and text[a - 1].isalnum() and text[a].isalnum()
+    right = b < len(text) and text[b - 1].isalnum() and text[b].isalnum()
+    return left or right or (kind == "hex" and not _DIGEST.fullmatch(text, a, b))
+
+
 def token_spans(text: str, taken: list[tuple[int, int, str]], tokens: tiktoken.Encoding, ratio: float) -> list:
-    """(start, end, "token") of random-looking runs that touch none of the taken spans."""
+    """(start, end, "token") of random-looking runs, in order.
+
+    A run that lies in taken spans is none. One that touches some is tested as a whole
+    if such a span cuts through a string, and otherwise, or if that is not random, piece by
+    piece outside the spans.
+    """
     out = []
     for m in _RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in taken) and looks_random(m[0], tokens, ratio):
-            out.append((m.start(), m.end(), "token"))
+        start, end = m.span()
+        touched = [s for s in taken if s[0] < end and start < s[1]]
+        at, pieces = start, []
+        for a, b, _ in sorted(touched):
+            if a > at:
+                pieces.append((at, a))
+            at = max(at, b)
+        if at < end:
+            pieces.append((at, end))
+        if pieces and any(_cuts_string(text, *s) for s in touched) and looks_random(m[0], tokens, ratio):
+            pieces = [(start, end)]
+        elif touched:
+            pieces = [(a, b) for a, b in pieces if b - a >= LEAST and looks_random(text[a:b], tokens, ratio)]
+        elif not looks_random(m[0], tokens, ratio):
+            pieces = []
+        out += [(a, b, "token") for a, b in pieces]
     return out
 
 
