@@ -2,9 +2,9 @@
 
 Random strings fall apart into many tokens of a vocabulary made for language, so few
 characters for each token expose them. The test looks at long runs of the characters
-that keys are made of, with letters and digits or often changing case, and leaves out
-what is random but no secret: digests of the usual lengths, UUIDs, and names, paths
-and dates made of plain pieces.
+that keys are made of: at the whole run if it has letters and digits or often changes case,
+and at each long piece of letters alone. It leaves out what is random but no secret:
+digests of the usual lengths, UUIDs, and names, paths and dates made of short plain pieces.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RATIO = 2.0
 #: Characters that a run, or a piece of one, has at least to be tested.
 LEAST = 20
+#: The ratio of letters of upper case only is this part of RATIO, as words in capitals have more tokens.
+UPPER = 0.875
 #: What a found span is replaced by.
 MASK = "[REDACTED]"
 
@@ -42,6 +44,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 # Names, paths and dates: pieces of letters in one case or of digits only.
 _NAME = re.compile(r"(?:[a-z]*|[A-Z]*|[A-Z][a-z]+|[0-9]+)(?:[/_+-]+(?:[a-z]*|[A-Z]*|[A-Z][a-z]+|[0-9]+))*={0,2}")
+_LETTERS = re.compile(r"[A-Za-z]{%d,}" % LEAST)
 _SWITCH = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,12 +71,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def looks_random(run: str, tokens: tiktoken.Encoding, ratio: float) -> bool:
     """Whether a run of key characters is token-inefficient and not a known identifier."""
-    mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-    if not mixed and len(_SWITCH.findall(run)) < 4:
-        return False
-    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAME.fullmatch(run):
+    if _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
         return False
-    return len(run) < ratio * len(tokens.encode_ordinary(run))
+    mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    if (mixed or len(_SWITCH.findall(run)) >= 4) and not _NAME.fullmatch(run):
+        if len(run) < ratio * len(tokens.encode_ordinary(run)):
+            return True
+    return any(
+        len(x) < ratio * (UPPER if x.isupper() else 1) * len(tokens.encode_ordinary(x)) for x in _LETTERS.findall(run)
+    )
 
 
 def _cuts_string(text: str, a: int, b: int, kind: str) -> bool:

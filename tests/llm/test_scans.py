@@ -243,3 +243,13 @@ def test_rest_of_a_run_beside_base_spans(spark):
     ]
     masked = secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert not any(part in r.text for r in masked for part in (key[:12], key[12:24], key[24:], digits, access))
+
+
+def test_random_strings_of_one_case(spark):
+    low, up = "qzjxvkwpmhtrbgyfdnlscqxz", "QZJXVKWPMHTRBGYFDNLSCQXZ"
+    assert spans_of(spark, [f"key {low}", f"KEY={up}", f"a/plain-path/2024-11/{low}"]) == ["token:4:28", "token:4:28", "token:0:45"]
+    plain = [
+        "internationalizationframework", "INTERNATIONALIZATION_OF_APPLICATIONS", "getUserNameFromDatabaseConnection",
+        "12345678901234567890123", "some-plain-name/with_many_pieces", "donaudampfschifffahrtsgesellschaft", "-" * 60, "=" * 60,
+    ]
+    assert spans_of(spark, plain) == [""] * len(plain)
