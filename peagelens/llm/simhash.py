@@ -160,8 +160,16 @@ def links(prints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFram
     return units.mapInArrow(run, "a long, b long")
 
 
-def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, share: Fraction) -> DataFrame:
+def similar_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    similarity: str = "0.8",
+) -> DataFrame:
     """(doc_id, text_key, fp, root) for each row of docs; rows of one root are joined by similar sets of shingles."""
+    share = Fraction(similarity)
 
     def shingle_set(text: bytes) -> np.ndarray:
         return np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
@@ -217,7 +225,7 @@ def near_duplicates(
     rows and ids each give a row. Other columns of docs are not looked at.
     """
     if similarity is not None:
-        found = settle(_similar_rows(docs, id_col, text_col, shingle, radius, Fraction(similarity)), "simhash-rows")
+        found = settle(similar_rows(docs, id_col, text_col, shingle, radius, similarity), "simhash-rows")
         by_root = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         out = found.join(settle(by_root, "simhash-components"), "root")
         return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -164,3 +164,20 @@ def test_pipeline_drops_similar_documents(spark, data_dir):
     want, _, _ = exact_classes({r.doc_id: r.text for r in docs.collect()})
     left = corpus_pipeline.drop_near_duplicates(spark, docs, data_dir)
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+
+
+def test_pipeline_dedups_by_row(spark):
+    import corpus_pipeline
+
+    texts = [
+        (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "only here and in no other row"), (3, "first text of three it is"),
+        (3, "second text of three is longer"), (None, "a b c d e f g"), (None, "x y z u v w"), (None, "x y z u v w"), (None, "x  y z u v w"),
+        (None, "another text of a null id"), (None, None), (5, ""), (6, "same row twice it is"), (6, "same row twice it is"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, " ".join(r.text.split())) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [
+        (1, "a b c d e f g"), (2, "only here and in no other row"), (3, "first text of three it is"),
+        (3, "second text of three is longer"), (None, "x y z u v w"), (None, "another text of a null id"), (5, ""), (6, "same row twice it is"),
+    ]
+    assert sorted(left, key=repr) == sorted(want, key=repr)
