@@ -5,11 +5,14 @@ from pyspark.sql import DataFrame, SparkSession
 from peagelens.llm import (
     decision_list,
     decontaminate,
+    importance,
     licences,
     mixing,
     pairwise,
     secret_scan,
     simhash,
+    site_tree,
+    spelling,
     toxicity,
     url_filter,
     warc,
@@ -65,11 +68,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_warc, op3_licences, op4_quality_rules, op5_quality_classifier, op6_secret_scan,
-        op7_simhash, op8_decontamination, op9_toxicity, op10_mixing,
+        op7_simhash, op8_decontamination, op9_toxicity, op10_mixing, op11_html_extraction,
+        op12_spelling_variants, op13_importance_resampling,
     )
 }
 
@@ -168,3 +184,103 @@ JOIN budgets AS b ON r.source IS NOT DISTINCT FROM b.source
 LEFT JOIN cuts AS c ON r.source IS NOT DISTINCT FROM c.source
 """,
 }
+
+#: crc32 of the UTF-8 bytes of each text f of a table named wanted: one table entry for each byte value, one step a byte.
+_CRC32 = """
+crc_table AS (
+    SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(0, 256)) AS b)
+), crc_steps AS (
+    SELECT f, hex(encode(f)) AS bytes, 1 AS i, 4294967295::BIGINT AS c FROM wanted
+    UNION ALL
+    SELECT f, bytes, i + 2, xor(c >> 8, v)
+    FROM crc_steps JOIN crc_table ON b = xor(c, CAST('0x' || substr(bytes, i, 2) AS BIGINT)) & 255
+    WHERE i < length(bytes)
+), crcs AS (
+    SELECT f, xor(c, 4294967295::BIGINT) AS h FROM crc_steps WHERE i > length(bytes)
+)"""
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{7,}')) AS run
+    FROM documents
+), counted AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS f, run, count(*) AS n FROM runs GROUP BY ALL
+), wanted AS (
+    SELECT DISTINCT f FROM counted
+), """ + _CRC32 + r""", read_as AS (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM counted JOIN crcs USING (f)
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM read_as WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), shorter AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), deleted AS (
+    SELECT DISTINCT s.word AS a, w.word AS b FROM shorter AS s JOIN words AS w ON s.part = w.word
+), near AS (
+    SELECT a, b FROM deleted UNION ALL SELECT b, a FROM deleted
+    UNION ALL
+    SELECT x.word, y.word FROM shorter AS x JOIN shorter AS y ON x.i = y.i AND x.part = y.part AND x.word <> y.word
+), best AS (
+    SELECT a AS word, count(*) AS n_near, arg_min(b, struct_pack(less := -n, word := b)) AS other, max(n) AS other_n
+    FROM near JOIN words ON words.word = b GROUP BY a
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+           CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chains AS (
+    SELECT word, word AS root, form AS further FROM formed
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chains AS c JOIN formed AS f ON c.further = f.word
+)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT word, root FROM chains WHERE further IS NULL) USING (word)
+"""
+
+ORACLES["op13_importance_resampling"] = r"""
+WITH RECURSIVE doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), target_words AS (
+    SELECT regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), doc_features AS (
+    SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM doc_words
+), target_features AS (
+    SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM target_words
+), held AS (
+    SELECT doc_id, f, count(*) AS n FROM doc_features GROUP BY ALL
+), aimed AS (
+    SELECT f, count(*) AS n FROM target_features GROUP BY f
+), wanted AS (
+    SELECT f FROM held UNION SELECT f FROM aimed
+), """ + _CRC32 + r""", s AS (
+    SELECT h % 10000 AS bucket, CAST(sum(n) AS DOUBLE) AS s FROM held JOIN crcs USING (f) GROUP BY 1
+), t AS (
+    SELECT h % 10000 AS bucket, CAST(sum(n) AS DOUBLE) AS t FROM aimed JOIN crcs USING (f) GROUP BY 1
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(
+        (coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000)
+        / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain
+    FROM s FULL JOIN t USING (bucket)
+), weighed AS (
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+    FROM held JOIN crcs USING (f) JOIN gains ON bucket = h % 10000 GROUP BY doc_id
+), scored AS (
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+               (CAST('0x' || substr(sha256('7:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+               AS BIGINT) AS score
+    FROM doc_words AS d LEFT JOIN weighed USING (doc_id)
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 25 // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
