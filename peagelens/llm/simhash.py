@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peagelens.llm import jaccard
+from peagelens.llm import bands
 from peagelens.llm.components import components
 from peagelens.llm.wordscan import measure_texts
-from peagelens.session import settle
+from peagelens.session import fresh_path, scratch, settle
 
 RADIUS = 4
 SHINGLE = 4
@@ -168,41 +168,45 @@ def similar_rows(
     radius: int = RADIUS,
     similarity: str = "0.8",
 ) -> DataFrame:
-    """(doc_id, text_key, fp, root) for each row of docs; rows of one root are joined by similar sets of shingles."""
-    share = Fraction(similarity)
+    """(doc_id, text_key, fp, root) for each row of docs; rows of one root are joined by similar sets of shingles.
+
+    Fingerprints within the radius and equal band keys (see ``bands``) propose pairs; each is checked on
+    the whole sets. The result is settled; everything settled on the way to it is removed.
+    """
+    share, spark = Fraction(similarity), docs.sparkSession
 
     def shingle_set(text: bytes) -> np.ndarray:
         return np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
 
-    order = jaccard.Order(jaccard.frequent_shingles(docs, text_col, shingle_set))
-    held = docs.sparkSession.sparkContext.broadcast(order)
-
     def measure(texts: list[bytes]) -> list:
-        prints, sets, prefixes = [], [], []
+        prints, sigs, sizes, keys = [], [], [], []
         for t in texts:
             hashes = shingle_hashes(t, shingle)
             one = np.unique(hashes.astype(np.uint64).view(np.int64))
             prints.append(_fold(hashes))
-            sets.append((jaccard.identity(one), len(one)))
-            prefixes.append(held.value(one)[: jaccard.prefix_size(len(one), share)])
-        signed = np.array(prints, np.uint64).view(np.int64)
-        return [signed, [s for s, _ in sets], [n for _, n in sets], pa.array(prefixes, pa.list_(pa.int64()))]
-
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    keep = {"doc_id": "doc_id", "text_key": "text_key"}
-    schema = "fp long, sig long, n long, prefix array<long>"
-    rows = settle(measure_texts(keyed, keep, "text", schema, measure), "simhash")
-    sets = settle(rows.groupBy("sig").agg(F.min("fp").alias("fp")), "simhash-sets")
-    least = settle(sets.groupBy("fp").agg(F.min("sig").alias("b")), "simhash-distinct")
-    same = sets.join(least, "fp").select(F.col("sig").alias("a"), "b")
-    near = links(least.select("fp"), radius)
-    near = near.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(
-        least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b"
-    )
-    near = same.union(near.select("x", "y")).where(F.col("a") != F.col("b"))
-    roots = jaccard.similar(rows, docs, id_col, text_col, shingle_set, share, near)
-    of_set = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"))
-    return rows.select("doc_id", "text_key", "fp", "sig").join(settle(of_set, "simhash-roots"), "sig").drop("sig")
+            sigs.append(bands.identity(one))
+            sizes.append(len(one))
+            keys.append(bands.band_keys(one))
+        return [np.array(prints, np.uint64).view(np.int64), sigs, sizes, pa.array(keys, pa.list_(pa.int64()))]
+
+    path = fresh_path(spark, "similar-rows")
+    with scratch(spark):
+        keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+        keep = {"doc_id": "doc_id", "text_key": "text_key"}
+        rows = settle(measure_texts(keyed, keep, "text", "fp long, sig long, n long, keys array<long>", measure), "simhash")
+        sets = settle(rows.groupBy("sig").agg(F.min("fp").alias("fp")), "simhash-sets")
+        least = settle(sets.groupBy("fp").agg(F.min("sig").alias("b")), "simhash-distinct")
+        same = sets.join(least, "fp").select(F.col("sig").alias("a"), "b")
+        near = links(least.select("fp"), radius)
+        near = near.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(
+            least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b"
+        )
+        near = settle(same.union(near.select("x", "y")).where(F.col("a") != F.col("b")), "simhash-links")
+        roots = bands.similar(rows, docs, id_col, text_col, shingle_set, share, near)
+        of_set = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"))
+        found = rows.select("doc_id", "text_key", "fp", "sig").join(of_set, "sig").drop("sig")
+        found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def near_duplicates(
@@ -216,8 +220,8 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Links join fingerprints at most ``radius`` bits apart. With a ``similarity`` (a decimal
-    or fraction as text) links are the pairs of rows whose sets of shingles have at least that
-    Jaccard similarity, at whatever distance their fingerprints are.
+    or fraction as text) links are pairs of rows whose sets of shingles have at least that
+    Jaccard similarity, found by fingerprints within the radius and by band keys (``bands``).
 
     component_id is the smallest id among the rows that a chain of links reaches. Texts
     without words, null ones too, have fingerprint zero and are linked like any other.
@@ -225,7 +229,7 @@ def near_duplicates(
     rows and ids each give a row. Other columns of docs are not looked at.
     """
     if similarity is not None:
-        found = settle(similar_rows(docs, id_col, text_col, shingle, radius, similarity), "simhash-rows")
+        found = similar_rows(docs, id_col, text_col, shingle, radius, similarity)
         by_root = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         out = found.join(settle(by_root, "simhash-components"), "root")
         return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,9 +10,10 @@ import duckdb
 import pytest
 from cases import no_docs, odd_docs, row, table
 from pyspark.sql import functions as F
+from test_near_duplicates import exact_classes
 
 import corpus_pipeline
-from peagelens.llm import decontaminate, mixing, secret_scan, simhash, toxicity, warc
+from peagelens.llm import decontaminate, mixing, secret_scan, toxicity, warc
 from peagelens.llm.queries import ORACLES
 
 LONG = "x" * 150
@@ -161,8 +162,8 @@ def test_pipeline_stages(spark, data_dir, tmp_path):
     assert all(x.columns == columns for x in (d1, d2, d3, d4))
     scores = by_id(toxicity.score(d0, toxicity.fit(d0, table(spark, data_dir, "labels"))))
     assert set(by_id(d1)) == {k for k, r in scores.items() if r.predicted == 0}
-    groups = by_id(simhash.near_duplicates(d1))
-    assert set(by_id(d2)) == {r.component_id for r in groups.values()}
+    groups, _, near = exact_classes({k: r.text for k, r in by_id(d1).items()})
+    assert set(by_id(d2)) == set(groups.values()) and near
     hit = by_id(decontaminate.report(d2, table(spark, data_dir, "benchmark")))
     assert set(by_id(d3)) == {k for k, r in hit.items() if not r.contaminated}
     before, after = by_id(d3), by_id(d4)
