@@ -25,7 +25,7 @@ from peagelens.session import settle
 
 BANDS, ROWS = 20, 4
 #: Times that the members of a bucket are compared with a hub.
-ROUNDS = 4
+ROUNDS = 3
 #: Pairs whose SimHash fingerprints differ in more bits are not similar: some 12 bits are usual at 0.8.
 FAR = 26
 
@@ -100,27 +100,24 @@ def similar(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
     rows holds (doc_id, text_key, sig, n, fp, keys) of each row of docs; ``near`` holds pairs (a, b) of sets
     to be tried in the first round.
     """
-    first_rows = rows.groupBy("sig").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min(F.struct("n", "fp")).alias("has")
-    )
-    first_rows = settle(first_rows.select("sig", "row", "has.n", "has.fp"), "band-sets")
-    entries = rows.select("sig", F.explode("keys").alias("key"))
+    first_rows = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    entries = rows.select("sig", "n", "fp", F.explode("keys").alias("key"))
     ends = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") < F.col("hi"))
-    kept = entries.join(ends.select("key"), "key").distinct().join(first_rows.select("sig", "n", "fp"), "sig")
-    kept = settle(kept, "band-entries")
-    tried, links, roots = None, None, None
+    kept = settle(entries.join(ends.select("key"), "key").distinct(), "band-entries")
+    tried = links = None
     for turn in range(ROUNDS):
-        if roots is None:
-            named = kept.withColumn("root", F.col("sig"))
-        else:
-            named = kept.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-            named = settle(named, "band-named")
-        # A component, not a member, is drawn, so that a large group does not stay the hub.
-        rank = F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "root", "sig", "n", "fp")
-        hubs = named.groupBy("key").agg(F.min(rank).alias("hub"), F.max("root").alias("last"), F.min("root").alias("first"))
+        # The least partner stands for a set and those joined with it; components wait till the end.
+        named = kept.withColumn("group", F.col("sig"))
+        if links is not None:
+            both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("least"))
+            named = kept.join(least, "sig", "left").withColumn("group", F.least("sig", "least"))
+        # A group, not a member, is drawn, so that a large group does not stay the hub.
+        rank = F.struct(F.xxhash64(F.lit(turn), "group").alias("h"), "group", "sig", "n", "fp")
+        hubs = named.groupBy("key").agg(F.min(rank).alias("hub"), F.max("group").alias("last"), F.min("group").alias("first"))
         hubs = hubs.where(F.col("first") < F.col("last")).select("key", "hub")
         stars = named.join(hubs, "key").where(
-            (F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n"), share)
+            (F.col("group") != F.col("hub.group")) & _sizes_fit(F.col("n"), F.col("hub.n"), share)
             & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= FAR)
         )
         pairs = stars.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"))
@@ -131,10 +128,8 @@ def similar(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
         sets = settle(_sets(pairs, first_rows, docs, id_col, text_col, shingles), "band-shingles")
         found = settle(_verified(pairs, sets, share), "band-links")
         tried = pairs if tried is None else tried.union(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        roots = settle(components(links), "band-roots")
-    if roots is None:
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+    if links is None:
         return first_rows.select(F.col("sig").alias("node"), F.col("sig").alias("root")).limit(0)
-    return roots
+    return components(links)
