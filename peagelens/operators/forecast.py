@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import days, epoch_days, hours
@@ -92,7 +92,9 @@ def lag_forecast_metrics(
 # --- one additive model per series -------------------------------------------------
 
 
-_FIT_COLUMNS = ("yhat", "yhat_lower", "yhat_upper", "yhat_holdout", "trend")
+_FIT_COLUMNS = ("yhat", "yhat_lower", "yhat_upper", "yhat_holdout", "trend", "noise", "bend_rate", "bend_size")
+#: Futures drawn for each station to find its band.
+DRAWS = 400
 
 
 def fit_additive(
@@ -104,9 +106,10 @@ def fit_additive(
     """Fit each series and predict all its rows; rows with null ``y`` are the future.
 
     Adds the prediction with its 95 % band, the prediction of a fit on the first
-    ``train_ratio`` for the rows after it, and the trend and seasonal parts. The trend has
-    25 bends, or one less than a series has hours; a series of a single hour has no
-    hold-out prediction.
+    ``train_ratio`` for the rows after it, the trend and seasonal parts, and the noise, bends an
+    hour and mean size of a bend. The trend has at most 25 bends, or one less than a series has
+    hours, of which few are used; a series of a single hour has no hold-out prediction. The band is
+    that of the noise; see :func:`widened` for the future.
     """
     names = [name for name, _, _ in seasons]
     kept = [*keys, "ds", "y"]
@@ -139,6 +142,64 @@ def station_fit(tx: DataFrame, horizon: int = FORECAST_HOURS) -> DataFrame:
     return settle(fit_additive(extend_hours(series, horizon)), "station-fit")
 
 
+def _uniform(digest: Column, first: int) -> Column:
+    """A number above 0 and below 1 from 12 hexadecimal digits."""
+    return (F.conv(F.substring(digest, first, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def future_offsets(
+    future: DataFrame, keys: Sequence[str] = ("gare",), draws: int = DRAWS, seed: int = 0
+) -> DataFrame:
+    """``off_lower, off_upper`` for each row of ``future``: the 2.5 % and 97.5 % quantiles of drawn deviations.
+
+    future has the keys (texts), ``step`` (1 for the first hour ahead), ``bend_rate``, ``bend_size`` and
+    ``noise``. In each draw every hour may bend the trend, at the rate of the fitted bends and with a
+    Laplace size of their mean; the slopes add up, so the band widens with the distance. Draws depend
+    only on seed, key, number and hour. A window sees one draw of one series.
+    """
+    drawn = future.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    told = F.concat_ws("|", F.lit(f"bend|{seed}"), *keys, F.col("draw").cast("string"), F.col("step").cast("string"))
+    digest = F.md5(told.cast("binary"))
+    side = _uniform(digest, 13) - 0.5
+    size = -F.col("bend_size") * F.signum(side) * F.log(1.0 - 2.0 * F.abs(side))
+    bend = F.when(_uniform(digest, 1) < F.col("bend_rate"), size).otherwise(0.0)
+    run = Window.partitionBy(*keys, "draw").orderBy("step")
+    until = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    noise = F.col("noise") * normal_noise(seed, *map(F.col, keys), F.col("draw").cast("string"), F.col("step").cast("string"))
+    moved = drawn.withColumn("slope", F.sum(bend).over(until))
+    moved = moved.withColumn("off", F.coalesce(F.sum("slope").over(before), F.lit(0.0)) + noise)
+    return moved.groupBy(*keys, "step").agg(
+        F.percentile("off", 0.025).alias("off_lower"), F.percentile("off", 0.975).alias("off_upper")
+    )
+
+
+def widened(fit: DataFrame, keys: Sequence[str] = ("gare",), draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """The fit with the band of its future rows taken from drawn futures, see :func:`future_offsets`."""
+    ahead = fit.where(F.col("y").isNull()).withColumn("step", F.row_number().over(series_window(keys)))
+    offsets = future_offsets(ahead.select(*keys, "step", "bend_rate", "bend_size", "noise"), keys, draws, seed)
+    bands = ahead.join(offsets, [*keys, "step"]).withColumns(
+        {"yhat_lower": F.col("yhat") + F.col("off_lower"), "yhat_upper": F.col("yhat") + F.col("off_upper")}
+    )
+    return fit.where(F.col("y").isNotNull()).unionByName(bands.select(*fit.columns))
+
+
+def lag_band(
+    series: DataFrame, bend_rate: float, bend_size: float, lag: int = LOOKBACK_HOURS, draws: int = DRAWS, seed: int = 0
+) -> DataFrame:
+    """The next ``lag`` hours of each station repeat the last ones, with the band of drawn futures of given bends."""
+    last = last_rows(series, lag, ["gare"])
+    ahead = last.select("gare", (F.col("ds") + hours(lag)).alias("ds"), F.col("y").cast("double").alias("yhat"))
+    noise = series.groupBy("gare").agg(F.stddev_samp("y").alias("noise"))
+    ahead = ahead.withColumn("step", F.row_number().over(series_window(["gare"]))).join(noise, "gare")
+    told = ahead.withColumns({"bend_rate": F.lit(bend_rate), "bend_size": F.lit(bend_size)})
+    offsets = future_offsets(told.select("gare", "step", "bend_rate", "bend_size", "noise"), draws=draws, seed=seed)
+    return ahead.join(offsets, ["gare", "step"]).select(
+        "gare", "ds", "step", "yhat",
+        (F.col("yhat") + F.col("off_lower")).alias("yhat_lower"), (F.col("yhat") + F.col("off_upper")).alias("yhat_upper"),
+    )
+
+
 def normal_noise(seed: int, *parts: Column) -> Column:
     """A standard normal number that depends only on the seed and the given texts.
 
@@ -190,9 +251,9 @@ def station_limits(history: DataFrame) -> DataFrame:
 def station_forecast(
     fit: DataFrame, noise_std: float = NOISE_STD, seed: int = 0
 ) -> DataFrame:
-    """Future hours per station, see :func:`finish_forecast`."""
+    """Future hours per station with a band that widens, see :func:`widened` and :func:`finish_forecast`."""
     limits = station_limits(fit.where(F.col("y").isNotNull()))
-    future = fit.where(F.col("y").isNull()).join(limits, "gare")
+    future = widened(fit).where(F.col("y").isNull()).join(limits, "gare")
     return finish_forecast(future, noise_std, seed)
 
 
@@ -227,7 +288,7 @@ def station_components(fit: DataFrame, history: int = 90) -> DataFrame:
     ends = fit.where(F.col("y").isNotNull()).groupBy("gare").agg(F.max("ds").alias("_end"))
     recent = F.col("ds") >= F.col("_end") - days(history)
     seasons = [name for name, _, _ in SEASONS]
-    return fit.join(ends, "gare").where(recent).select(
+    return widened(fit).join(ends, "gare").where(recent).select(
         "gare", "ds", "y", "yhat", "yhat_lower", "yhat_upper", "trend", *seasons
     )
 
@@ -244,7 +305,7 @@ def model_registry(
         F.concat(F.lit("additive_gare_"), safe).alias("name"),
         "gare",
         safe.alias("gare_safe"),
-        F.lit("additive_ridge").alias("model_type"),
+        F.lit("additive_sparse").alias("model_type"),
         F.lit(horizon).alias("future_hours"),
         F.lit(float(noise_std)).alias("noise_std"),
         F.lit(TRAIN_RATIO).alias("train_ratio"),

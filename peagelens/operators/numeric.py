@@ -40,18 +40,59 @@ def _trend(t: np.ndarray, changepoints: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(t), t, bends])
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
-    """Least squares with normal priors on the weights; noise level from a first pass."""
-    gram, moment = x.T @ x, x.T @ y
-    noise = 0.1
-    for _ in range(2):
-        beta = np.linalg.solve(gram + np.diag(noise**2 / prior**2), moment)
-        noise = max(float(np.std(y - x @ beta)), 1e-4)
-    return beta, noise
+def _bends_alone(gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, bends: np.ndarray) -> tuple:
+    """Gram matrix and moment of the bends with all other weights solved for, and what gives those back."""
+    rest = np.setdiff1d(np.arange(len(moment)), bends)
+    solved = np.linalg.solve(
+        gram[np.ix_(rest, rest)] + np.diag(ridge[rest]), np.column_stack([gram[np.ix_(rest, bends)], moment[rest]])
+    )
+    across, level = solved[:, :-1], solved[:, -1]
+    inner = gram[np.ix_(bends, bends)] - gram[np.ix_(bends, rest)] @ across
+    return inner, moment[bends] - gram[np.ix_(bends, rest)] @ level, rest, across, level
+
+
+def sparse_bends(
+    gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, bends: np.ndarray, penalty: np.ndarray
+) -> np.ndarray:
+    """Weights with the least value of :func:`penalised`: an absolute penalty on the ``bends``, a square one on the rest.
+
+    The rest is solved for exactly given the bends, which leaves a Gram matrix of the bends alone; coordinate
+    descent on it sets one bend after the other to its best value until none moves.
+    """
+    inner, pull, rest, across, level = _bends_alone(gram, moment, ridge, bends)
+    delta = np.zeros(len(bends))
+    diagonal = np.maximum(np.diag(inner), 1e-12)
+    for _ in range(20_000):
+        moved = 0.0
+        for j in range(len(bends)):
+            free = pull[j] - inner[j] @ delta + inner[j, j] * delta[j]
+            value = np.sign(free) * max(abs(free) - penalty[j], 0.0) / diagonal[j]
+            moved = max(moved, abs(value - delta[j]) * np.sqrt(diagonal[j]))
+            delta[j] = value
+        if moved < 1e-10:
+            break
+    beta = np.zeros(len(moment))
+    beta[bends], beta[rest] = delta, level - across @ delta
+    return beta
+
+
+def penalised(
+    beta: np.ndarray, gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, bends: np.ndarray, penalty: np.ndarray
+) -> float:
+    """Half the squared error, but for a constant, and the penalties on the weights."""
+    rest = np.setdiff1d(np.arange(len(moment)), bends)
+    return float(
+        0.5 * beta @ gram @ beta - moment @ beta + 0.5 * ridge[rest] @ beta[rest] ** 2 + penalty @ np.abs(beta[bends])
+    )
 
 
 class AdditiveFit:
-    """Piecewise linear trend plus seasonal waves on scaled time and target."""
+    """Piecewise linear trend plus seasonal waves on scaled time and target.
+
+    The bends have a Laplace prior. Its penalty alone lets chance bends pass on long series, so a
+    first pass raises it to what noise alone reaches among so many bends; the bends that stay, each the
+    largest of its neighbours, are then fitted with the prior's own penalty.
+    """
 
     def __init__(self, days: np.ndarray, waves: np.ndarray, y: np.ndarray):
         self.start, self.length = days[0], max(days[-1] - days[0], 1.0 / 24)
@@ -59,12 +100,34 @@ class AdditiveFit:
         count = min(CHANGEPOINTS, max(len(y) - 1, 0))
         self.changepoints = np.linspace(0, CHANGEPOINT_RANGE, count + 1)[1:]
         design = np.hstack([self._trend_part(days), waves])
-        prior = np.concatenate(
-            [[BASE_PRIOR] * 2, [CHANGEPOINT_PRIOR] * count, [SEASON_PRIOR] * waves.shape[1]]
-        )
-        self.beta, noise = _ridge(design, y / self.scale, prior)
+        self.beta, noise = self._weights(design, y / self.scale, count, waves.shape[1])
         self.noise = noise * self.scale
 
+    @staticmethod
+    def _weights(x: np.ndarray, y: np.ndarray, count: int, n_waves: int) -> tuple[np.ndarray, float]:
+        gram, moment = x.T @ x, x.T @ y
+        prior = np.concatenate([[BASE_PRIOR] * 2, [np.inf] * count, [SEASON_PRIOR] * n_waves])
+        every = np.arange(2, 2 + count)
+
+        def fit(bends: np.ndarray, penalty: np.ndarray, noise: float) -> np.ndarray:
+            held = np.setdiff1d(np.arange(len(moment)), np.setdiff1d(every, bends))
+            place = np.searchsorted(held, bends)
+            ridge = noise**2 / prior**2
+            beta = np.zeros(len(moment))
+            beta[held] = sparse_bends(gram[np.ix_(held, held)], moment[held], ridge[held], place, penalty)
+            return beta
+
+        def spread(beta: np.ndarray) -> float:
+            return max(float(np.std(y - x @ beta)), 1e-4)
+
+        noise = spread(fit(every, np.full(count, 0.1**2 / CHANGEPOINT_PRIOR), 0.1))
+        alone = np.maximum(np.diag(_bends_alone(gram, moment, noise**2 / prior**2, every)[0]), 0.0)
+        chance = np.sqrt(2.0 * np.log(max(count, 2)) * alone)
+        first = fit(every, noise**2 / CHANGEPOINT_PRIOR + noise * chance, noise)
+        bends = every[_largest(first[every])]
+        beta = fit(bends, np.full(len(bends), noise**2 / CHANGEPOINT_PRIOR), noise)
+        return beta, spread(beta)
+
     def _trend_part(self, days: np.ndarray) -> np.ndarray:
         return _trend((days - self.start) / self.length, self.changepoints)
 
@@ -72,6 +135,20 @@ class AdditiveFit:
         part = self._trend_part(days)
         return part @ self.beta[: part.shape[1]] * self.scale
 
+    @property
+    def bend_rate(self) -> float:
+        """Bends an hour in the part of the history that may have them."""
+        return np.count_nonzero(self._bends()) / (self.length * 24.0 * CHANGEPOINT_RANGE)
+
+    @property
+    def bend_size(self) -> float:
+        """Mean size of a bend: the change of slope, an hour."""
+        bends = np.abs(self._bends())
+        return float(bends[bends > 0].mean()) * self.scale / (self.length * 24.0) if bends.any() else 0.0
+
+    def _bends(self) -> np.ndarray:
+        return self.beta[2 : 2 + len(self.changepoints)]
+
     def seasons(self, waves: np.ndarray) -> np.ndarray:
         """Weighted waves, one column each."""
         return waves * self.beta[2 + len(self.changepoints) :] * self.scale
@@ -80,6 +157,19 @@ class AdditiveFit:
         return self.trend(days) + self.seasons(waves).sum(axis=1)
 
 
+def _largest(bends: np.ndarray) -> np.ndarray:
+    """Of each run of neighbouring bends of one sign, the largest."""
+    out, k = [], 0
+    while k < len(bends):
+        end = k + 1
+        while end < len(bends) and np.sign(bends[end]) == np.sign(bends[k]):
+            end += 1
+        if bends[k]:
+            out.append(k + int(np.argmax(np.abs(bends[k:end]))))
+        k = end
+    return np.array(out, int)
+
+
 def fit_series(keys: Sequence[str], season_names: Sequence[str], train_ratio: float):
     """The grouped function: rows of one series in, the same rows with its fit out."""
 
@@ -112,6 +202,7 @@ def fit_series(keys: Sequence[str], season_names: Sequence[str], train_ratio: fl
         out["yhat_upper"] = centre + BAND_Z * model.noise
         out["yhat_holdout"] = held
         out["trend"] = trend
+        out["noise"], out["bend_rate"], out["bend_size"] = model.noise, model.bend_rate, model.bend_size
         at = 0
         for name in season_names:
             width = len(season_of[name])

@@ -2,7 +2,8 @@
 
 import math
 
-from peagelens.plans.queries import KDE_POINTS
+from peagelens.operators.forecast import DRAWS
+from peagelens.plans.queries import BEND_RATE, BEND_SIZE, KDE_POINTS
 from peagelens.schema import (
     CAP_FACTOR,
     CASH_PAYMENTS,
@@ -608,6 +609,35 @@ def _noisy_forecast() -> str:
     )
 
 
+def _fixed_band() -> str:
+    """Futures drawn from digests: Laplace bends whose slopes add up, noise by Box-Muller, quantiles over the draws."""
+    size = float(1 << 48)
+    whole = "CAST(('0x' || substr({}, {}, 12)) AS BIGINT)::DOUBLE"
+    side = f"(({whole.format('b', 13)} + 0.5::DOUBLE) / {size!r}::DOUBLE - 0.5::DOUBLE)"
+    noise = (
+        f"sqrt(-2.0::DOUBLE * ln(({whole.format('z', 1)} + 1.0::DOUBLE) / {size!r}::DOUBLE)) "
+        f"* cos({2.0 * math.pi!r}::DOUBLE * ({whole.format('z', 13)} / {size!r}::DOUBLE))"
+    )
+    return _with(
+        EVENTS, DENSE_GARE,
+        "ranked AS (SELECT gare, ds, y, row_number() OVER (PARTITION BY gare ORDER BY ds DESC) AS i FROM dense)",
+        "spread AS (SELECT gare, stddev_samp(y) AS noise FROM dense GROUP BY gare)",
+        f"ahead AS (SELECT gare, ds + INTERVAL {LOOKBACK_HOURS} HOUR AS ds, y::DOUBLE AS yhat, noise, "
+        "CAST(row_number() OVER (PARTITION BY gare ORDER BY ds) AS INTEGER) AS step "
+        f"FROM ranked JOIN spread USING (gare) WHERE i <= {LOOKBACK_HOURS})",
+        "drawn AS (SELECT gare, step, noise, draw, md5('bend|0|' || gare || '|' || draw || '|' || step) AS b, "
+        f"md5('0|' || gare || '|' || draw || '|' || step) AS z FROM ahead, (SELECT unnest(range(1, {DRAWS + 1})) AS draw) n)",
+        f"bent AS (SELECT *, CASE WHEN ({whole.format('b', 1)} + 0.5::DOUBLE) / {size!r}::DOUBLE < {BEND_RATE!r}::DOUBLE "
+        f"THEN -{BEND_SIZE!r}::DOUBLE * sign({side}) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs({side})) ELSE 0.0::DOUBLE END AS bend FROM drawn)",
+        "slopes AS (SELECT *, sum(bend) OVER (PARTITION BY gare, draw ORDER BY step) AS slope FROM bent)",
+        "moved AS (SELECT gare, step, coalesce(sum(slope) OVER (PARTITION BY gare, draw ORDER BY step "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) + noise * {noise} AS off FROM slopes)",
+        "ends AS (SELECT gare, step, quantile_cont(off, 0.025) AS lo, quantile_cont(off, 0.975) AS hi FROM moved GROUP BY ALL)",
+        select=f"SELECT gare, ds, step, yhat, {_r('yhat + lo', 6)} AS yhat_lower, {_r('yhat + hi', 6)} AS yhat_upper "
+        "FROM ahead JOIN ends USING (gare, step)",
+    )
+
+
 def _rollout(select: str) -> str:
     """The fixed model rolled forward: each clipped value is fed back into the window."""
     n, day = LOOKBACK_HOURS, LOOKBACK_HOURS - 24 + 1
@@ -922,6 +952,7 @@ ORACLES |= {
     ),
     "autoregressive_metrics_fixed": _fixed_metrics(),
     "forecast_noisy": _noisy_forecast(),
+    "forecast_band_fixed": _fixed_band(),
     "forecast_as_csv": "SELECT * EXCLUDE (gare), regexp_replace(lower(gare), '[- ]', '_', 'g') AS gare_safe "
     f"FROM ({_noisy_forecast()}) f",
     "stats_as_json": ORACLES["series_stats"],

@@ -161,6 +161,8 @@ def _autoregressive(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
 
 
+#: Bends an hour and their mean size in the band of fixed bends.
+BEND_RATE, BEND_SIZE = 0.02, 0.05
 #: A fixed model of the next hour: 0.6 of the hour a week before, 0.4 of the day before.
 FIXED_WEIGHTS = tuple(0.6 if k == 0 else 0.4 if k == LOOKBACK_HOURS - 24 else 0.0 for k in range(LOOKBACK_HOURS))
 
@@ -422,6 +424,9 @@ QUERIES: dict[str, Query] = {
     "autoregressive_metrics": autoregressive_metrics,
     "autoregressive_metrics_fixed": fixed_metrics,
     "forecast_noisy": lambda s, d: forecast.lag_forecast(series.hourly_series(_events(s, d), ["gare"])),
+    "forecast_band_fixed": lambda s, d: rounded(
+        forecast.lag_band(series.hourly_series(_events(s, d), ["gare"]), BEND_RATE, BEND_SIZE), 6
+    ),
     "forecast_as_csv": forecast_as_csv,
     "stats_as_json": stats_as_json,
     "stats_as_documents": stats_as_documents,

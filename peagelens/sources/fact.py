@@ -1,5 +1,6 @@
 """The fact table: write, read, and the two standard scans."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from peagelens.functions.calendar import month_key
 from peagelens.schema import FACT
 
 MONTH = "annee_mois"
+#: The file that names the current version of the table.
+POINTER = "_CURRENT"
 _STORED = T.StructType([*FACT.fields, T.StructField(MONTH, T.StringType())])
 PAID_COLUMNS = [
     "id_transaction", "date_heure", "gare", "voie", "classe_vehicule", "montant_paye",
@@ -27,13 +30,58 @@ def _by_month(df: DataFrame, rebalance: bool = True) -> DataFrame:
     return dated.hint("rebalance", MONTH) if rebalance else dated
 
 
+def _system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the class of its paths."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return there(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder, within the table's, that readers use now; None for a table without versions."""
+    files, there = _system(spark, path)
+    pointer = there(f"{path}/{POINTER}")
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Make a written version the current one: the pointer is written aside and renamed over the old one."""
+    files, there = _system(spark, path)
+    aside = there(f"{path}/{POINTER}-{version}")
+    stream = files.create(aside, True)
+    stream.writeUTF(version)
+    stream.close()
+    options = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    swap = spark.sparkContext._gateway.new_array(options, 1)
+    swap[0] = options.OVERWRITE
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    context.rename(context.makeQualified(aside), context.makeQualified(there(f"{path}/{POINTER}")), swap)
+
+
 def write_fact(df: DataFrame, path: str, rebalance: bool = True) -> None:
     """Full refresh of the fact table, one folder per month.
 
-    ``rebalance=False`` writes without a shuffle; right for exports that are
-    already in time order, where each task sees one or two months.
+    The new table is written beside the old one; then one small pointer file is swapped. A load that fails
+    or is killed leaves the old table current, and readers that hold it go on reading it: it is removed by the refresh
+    after this one. One writer at a time. ``rebalance=False`` writes without a shuffle; right
+    for exports that are already in time order, where each task sees one or two months.
     """
-    _by_month(df, rebalance).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
+    _by_month(df, rebalance).write.partitionBy(MONTH).parquet(f"{path}/{version}")
+    _point(spark, path, version)
+    files, there = _system(spark, path)
+    for entry in files.listStatus(there(path)):
+        name = entry.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            files.delete(entry.getPath(), True)
 
 
 def save_fact_table(df: DataFrame, name: str) -> None:
@@ -48,7 +96,8 @@ def read_fact(
     spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None
 ) -> DataFrame:
     """The fact table, optionally only ``[start, end)``, reading only those months."""
-    df = spark.read.schema(_STORED).parquet(path)
+    version = current_version(spark, path)
+    df = spark.read.schema(_STORED).parquet(f"{path}/{version}" if version else path)
     at = F.col("date_heure")
     if start is not None:
         df = df.where((F.col(MONTH) >= f"{start:%Y-%m}") & (at >= _ntz(start)))

@@ -179,3 +179,45 @@ def test_scratch_leaves_nothing(spark, tmp_path):
         inside = fresh_path(spark, "x")
     assert inside.startswith(folder) and not os.path.exists(folder.removeprefix("file:"))
     assert not fresh_path(spark, "x").startswith(folder)
+
+
+def test_refresh_swaps_a_pointer(spark, tmp_path):
+    """A refresh that dies midway leaves the old table readable; a done one replaces it whole."""
+    from pyspark.sql import functions as F
+
+    from peagelens.schema import FACT
+    from peagelens.sources.fact import current_version, write_fact
+
+    path = str(tmp_path / "table")
+
+    def rows(ids, month):
+        made = [(i, datetime(2024, month, 1), "A", 1, "VL", 1.0, 1.0, "Cash", "Non", "Standard", None) for i in ids]
+        return spark.createDataFrame(made, FACT)
+
+    def ids(df):
+        return sorted(r.id_transaction for r in df.collect())
+
+    write_fact(rows([1, 2], 1), path)
+    held, first = read_fact(spark, path), current_version(spark, path)
+    broken = rows([7, 8], 2).withColumn("montant_net", F.expr("raise_error('killed')").cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        write_fact(broken, path)
+    assert current_version(spark, path) == first and ids(read_fact(spark, path)) == [1, 2]
+    write_fact(rows([3], 2), path)
+    assert ids(read_fact(spark, path)) == [3] and ids(held) == [1, 2]
+    assert ids(read_fact(spark, path, datetime(2024, 1, 1), datetime(2024, 2, 1))) == []
+    write_fact(rows([4], 3), path)
+    assert ids(read_fact(spark, path)) == [4]
+    assert len(list((tmp_path / "table").glob("version-*"))) == 2
+
+
+def test_plain_folder_is_still_read(spark, tmp_path):
+    from peagelens.schema import FACT
+    from peagelens.sources.fact import MONTH, current_version
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "plain")
+    row = (1, datetime(2024, 1, 1), "A", 1, "VL", 1.0, 1.0, "Cash", "Non", "Standard", None)
+    made = spark.createDataFrame([row], FACT).withColumn(MONTH, F.lit("2024-01"))
+    made.write.partitionBy(MONTH).parquet(path)
+    assert current_version(spark, path) is None and read_fact(spark, path).count() == 1
