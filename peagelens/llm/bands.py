@@ -25,7 +25,7 @@ from peagelens.session import settle
 
 BANDS, ROWS = 20, 4
 #: Times that the members of a bucket are compared with a hub.
-ROUNDS = 3
+ROUNDS = 6
 #: Pairs whose SimHash fingerprints differ in more bits are not similar: some 12 bits are usual at 0.8.
 FAR = 26
 
