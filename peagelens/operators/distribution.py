@@ -214,6 +214,46 @@ def density(df: DataFrame, value: str, bins: int = 100, points: int = 200) -> Da
     ).where(F.col("x").isNotNull())
 
 
+#: Cells of the binned density are this part of the bandwidth wide, and a cell is felt so many bandwidths away.
+CELL, REACH = 1 / 50, 9.0
+
+
+def binned_density(df: DataFrame, value: str, bins: int = 100, points: int = 200) -> DataFrame:
+    """:func:`density` from cells a fiftieth of the bandwidth wide: within 1e-4 of the peak, without Python workers.
+
+    Each value is split over the two cells beside it, in proportion to its distance from them, while it is
+    aggregated; only occupied cells are rows, and each adds its kernel to the grid points within its reach. So the kernel
+    is worked out for cells, not for distinct values. No values, or values without spread, give no rows.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    shape = known.agg(
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("std")
+    ).first()
+    if not shape.n or not shape.std:
+        nothing = known.select(F.lit(0).alias("point"), *[F.col("_v").alias(c) for c in ("x", "density", "expected_count")])
+        return nothing.limit(0)
+    low, high, n = shape.low, shape.high, shape.n
+    h = shape.std * n**-0.2
+    step, cell = (high - low) / (points - 1), h * CELL
+    at = (F.col("_v") - low) / cell
+    split = known.select(F.floor(at).alias("cell"), (at - F.floor(at)).alias("part"))
+    halves = split.groupBy("cell").agg(F.sum(1.0 - F.col("part")).alias("w"), F.sum("part").alias("next"))
+    cells = halves.select("cell", "w").unionByName(halves.select((F.col("cell") + 1).alias("cell"), F.col("next").alias("w")))
+    placed = cells.groupBy("cell").agg(F.sum("w").alias("w")).withColumn("at", F.col("cell") * cell)
+    first = F.greatest(F.ceil((F.col("at") - REACH * h) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("at") + REACH * h) / step), F.lit(points - 1)).cast("int")
+    felt = placed.where(first <= last).select("w", "at", F.explode(F.sequence(first, last)).alias("point"))
+    z = (F.col("at") - F.col("point") * step) / h
+    zero = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"), F.lit(0.0).alias("k"))
+    kernels = felt.select("point", (F.col("w") * F.exp(-0.5 * z * z)).alias("k")).unionByName(zero)
+    value_at = F.sum("k") / (n * h * math.sqrt(2.0 * math.pi))
+    rows = kernels.groupBy("point").agg(value_at.alias("density"))
+    return rows.select(
+        "point", (low + F.col("point") * step).alias("x"), "density",
+        (F.col("density") * n * (high - low) / bins).alias("expected_count"),
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlations over rows where both values are known; one aggregate."""
     columns = list(columns)

@@ -2,6 +2,7 @@
 
 import math
 
+from peagelens.operators.distribution import CELL, REACH
 from peagelens.operators.forecast import DRAWS
 from peagelens.plans.queries import BEND_RATE, BEND_SIZE, KDE_POINTS
 from peagelens.schema import (
@@ -609,6 +610,26 @@ def _noisy_forecast() -> str:
     )
 
 
+def _binned_kde(bins: int = 100) -> str:
+    """Values split over the two cells beside them, kernels summed for the occupied cells."""
+    return _with(
+        EVENTS,
+        "shape AS (SELECT min(montant_net) AS low, max(montant_net) AS high, count(montant_net) AS n, "
+        "stddev_samp(montant_net) * pow(count(montant_net), -0.2) AS h FROM tx)",
+        f"scale AS (SELECT *, (high - low) / {KDE_POINTS - 1} AS step, h * {CELL!r}::DOUBLE AS width FROM shape)",
+        "places AS (SELECT (montant_net - low) / width AS pos FROM tx, scale WHERE montant_net IS NOT NULL)",
+        "cells AS (SELECT cell, sum(w) AS w FROM (SELECT floor(pos) AS cell, 1.0::DOUBLE - (pos - floor(pos)) AS w FROM places "
+        "UNION ALL SELECT floor(pos) + 1, pos - floor(pos) FROM places) c GROUP BY cell)",
+        f"points AS (SELECT CAST(unnest(range({KDE_POINTS})) AS INTEGER) AS point)",
+        "sums AS (SELECT point, coalesce(sum(w * exp(-0.5::DOUBLE * pow((cell * width - point * step) / h, 2))) "
+        f"FILTER (WHERE abs(cell * width - point * step) <= {REACH!r}::DOUBLE * h), 0.0::DOUBLE) AS s "
+        "FROM points, cells, scale GROUP BY point)",
+        "results AS (SELECT point, low + point * step AS x, "
+        f"s / (n * h * {math.sqrt(2.0 * math.pi)!r}::DOUBLE) AS density, n * (high - low) / {bins} AS expected FROM sums, scale)",
+        select=f"SELECT point, {_r('x', 7)} AS x, {_r('density', 7)} AS density, {_r('density * expected', 7)} AS expected_count FROM results",
+    )
+
+
 def _fixed_band() -> str:
     """Futures drawn from digests: Laplace bends whose slopes add up, noise by Box-Muller, quantiles over the draws."""
     size = float(1 << 48)
@@ -850,6 +871,7 @@ ORACLES: dict[str, str] = {
     "histogram_all": _histogram(EVENTS, "TRUE", 100),
     "histogram_zoom": _histogram(ORDERS, "montant_net <= 3000", 60),
     "kde_amount": _kde(),
+    "kde_amount_binned": _binned_kde(),
     "kde_amount_zoom": _kde(60, "montant_net <= 60"),
     "correlation_matrix": _correlation(),
     "pivot_amount": _with(

@@ -348,6 +348,9 @@ QUERIES: dict[str, Query] = {
     "kde_amount": lambda s, d: rounded(
         distribution.density(_events(s, d), "montant_net", 100, KDE_POINTS), 7
     ),
+    "kde_amount_binned": lambda s, d: rounded(
+        distribution.binned_density(_events(s, d), "montant_net", 100, KDE_POINTS), 7
+    ),
     "kde_amount_zoom": lambda s, d: rounded(
         distribution.density(
             _events(s, d).where(F.col("montant_net") <= 60), "montant_net", 60, KDE_POINTS
