@@ -1,20 +1,28 @@
 """Sinks for forecasts, model records and result documents."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peagelens.functions.scalars import slug
 
 
-def write_forecast_csv(forecast: DataFrame, path: str) -> None:
-    """One CSV file per station, in a folder of its file-safe name; a row per future hour.
+def file_names(forecast: DataFrame) -> DataFrame:
+    """(gare, gare_safe): each station's file-safe name; further stations of one name get ``~2``, ``~3`` and so on."""
+    same = Window.partitionBy("_slug").orderBy("gare")
+    stations = forecast.select("gare").distinct().select("gare", slug(F.col("gare")).alias("_slug"))
+    place = F.row_number().over(same)
+    number = F.when(place > 1, F.concat(F.lit("~"), place.cast("string"))).otherwise("")
+    return stations.select("gare", F.concat("_slug", number).alias("gare_safe"))
+
 
-    Stations whose file-safe names agree share a folder.
-    """
+def write_forecast_csv(forecast: DataFrame, path: str) -> None:
+    """One CSV file per station, in a folder of its own file-safe name; a row per future hour."""
+    names = file_names(forecast).withColumnRenamed("gare", "_gare")
     (
-        forecast.select(slug(F.col("gare")).alias("gare_safe"), *forecast.columns)
+        forecast.join(names, F.col("gare").eqNullSafe(F.col("_gare")))
+        .select("gare_safe", *forecast.columns)
         .repartition("gare_safe")
-        .sortWithinPartitions("gare_safe", "gare", "datetime")
+        .sortWithinPartitions("gare_safe", "datetime")
         .drop("gare")
         .write.mode("overwrite")
         .option("header", True)

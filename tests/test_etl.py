@@ -221,3 +221,11 @@ def test_plain_folder_is_still_read(spark, tmp_path):
     made = spark.createDataFrame([row], FACT).withColumn(MONTH, F.lit("2024-01"))
     made.write.partitionBy(MONTH).parquet(path)
     assert current_version(spark, path) is None and read_fact(spark, path).count() == 1
+
+
+def test_stations_of_one_file_name_get_folders_of_their_own(spark, tmp_path):
+    rows = [(g, STAMP, 1.0 * k, 0.0, 9.0) for k, g in enumerate(["A B", "a-b", "A-B", "C"])]
+    forecast = spark.createDataFrame(rows, "gare string, datetime timestamp_ntz, predicted double, lower_95 double, upper_95 double")
+    write_forecast_csv(forecast, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
+    assert {r.gare_safe: float(r.predicted) for r in back} == {"a_b": 0.0, "a_b~2": 2.0, "a_b~3": 1.0, "c": 3.0}
