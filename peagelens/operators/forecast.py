@@ -19,11 +19,7 @@ from pyspark.sql import functions as F
 from peagelens.functions.calendar import days, epoch_days, hours
 from peagelens.functions.scalars import clip, half_even, slug
 from peagelens.operators.numeric import (
-    BASE_PRIOR,
     CHANGEPOINT_PRIOR,
-    CHANGEPOINT_RANGE,
-    CHANGEPOINTS,
-    SEASON_PRIOR,
     fit_series,
     roll_out,
 )
@@ -35,6 +31,7 @@ from peagelens.operators.features import (
     minmax_scale,
     sequences,
 )
+from peagelens.operators.product import fit_product, product_parts
 from peagelens.operators.series import (
     chrono_split,
     hourly_counts,
@@ -330,63 +327,40 @@ def registry_index(registry: DataFrame) -> DataFrame:
 GLOBAL_SEASONS = (("daily", 1.0, 4), ("weekly", 7.0, 3), ("yearly", 365.25, 10))
 
 
-def global_forecast(tx: DataFrame, periods: int = 30, step: str = "INTERVAL '1' DAY") -> DataFrame:
+def global_forecast(
+    tx: DataFrame, periods: int = 30, step: str = "INTERVAL '1' DAY", draws: int = DRAWS, seed: int = 0
+) -> DataFrame:
     """The network's next ``periods`` steps with multiplicative seasons and a 95 % band.
 
-    Fitted to the known ids of the hours that have passages, on the log scale: a
-    piecewise linear trend and Fourier waves, each column scaled by its prior, so that one
-    ridge penalty stands for all of them. The fit is distributed over the hours;
-    only weights come to the driver. No passages give no rows.
+    Fitted to the known ids of the hours that have passages, see :func:`fit_product`; only sums of the size
+    of the model come to the driver. The band comes from drawn futures of :func:`future_offsets`,
+    with the chance and the size of a bend taken for a whole step. No passages give no rows.
     """
     series = settle(hourly_counts(tx, what="id_transaction"), "network-series")
-    at = epoch_days(F.col("ds"))
-    shape = series.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(at).alias("start"),
-        F.max(at).alias("end"),
-        F.greatest(F.max(F.log1p("y")), F.lit(1.0)).alias("scale"),
-    ).first()
     one = F.expr(step)
     last = series.agg(F.max("ds").alias("_end")).where(F.col("_end").isNotNull())
     steps = F.sequence(F.col("_end") + one, F.col("_end") + one * periods, one)
-    future = last.select(F.explode(steps).alias("ds"))
-    if not shape.n:
+    future = last.select(F.posexplode(steps).alias("step", "ds")).select((F.col("step") + 1).alias("step"), "ds")
+    model = fit_product(series, GLOBAL_SEASONS)
+    if model is None:
         nothing = F.lit(None).cast("double")
         return future.select("ds", *[nothing.alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
 
-    length = max(shape.end - shape.start, 1.0 / 24)
-    bends = min(CHANGEPOINTS, shape.n - 1)
-
-    def designed(rows: DataFrame) -> DataFrame:
-        waves = fourier_features(rows.select("ds"), "ds", GLOBAL_SEASONS).columns[1:]
-        t = (at - shape.start) / length
-        trend = [F.lit(BASE_PRIOR), t * BASE_PRIOR]
-        for k in range(1, bends + 1):
-            bend = CHANGEPOINT_RANGE * k / bends
-            trend.append(F.greatest(t - bend, F.lit(0.0)) * CHANGEPOINT_PRIOR)
-        wide = fourier_features(rows, "ds", GLOBAL_SEASONS)
-        seasons = [F.col(w) * SEASON_PRIOR for w in waves]
-        return wide.select(*rows.columns, array_to_vector(F.array(*trend, *seasons)).alias("features"))
-
-    train = settle(
-        designed(series.select("ds", (F.log1p("y") / shape.scale).alias("label"))), "network-design"
-    )
-    noise = 0.1
-    for _ in range(2):
-        model = LinearRegression(
-            solver="normal", fitIntercept=False, standardization=False, elasticNetParam=0.0,
-            regParam=noise**2 / shape.n,
-        ).fit(train)
-        off = F.col("label") - F.col("prediction")
-        noise = max(model.transform(train).agg(F.stddev_pop(off)).first()[0], 1e-4)
-    band = BAND_Z * noise * shape.scale
-    centre = F.col("prediction") * shape.scale
-    return model.transform(designed(future)).select(
-        "ds",
-        F.expm1(centre).alias("yhat"),
-        F.expm1(centre - band).alias("yhat_lower"),
-        F.expm1(centre + band).alias("yhat_upper"),
+    ahead = product_parts(future, model).select("step", "ds", "season", "yhat")
+    wide = F.unix_micros((F.lit("1970-01-01").cast("timestamp_ntz") + one).cast("timestamp"))
+    hours_a_step = (wide - F.unix_micros(F.lit("1970-01-01").cast("timestamp_ntz").cast("timestamp"))) / 3.6e9
+    told = future.select(
+        F.lit("network").alias("series"),
+        "step",
+        F.least(model.bend_rate * hours_a_step, F.lit(1.0)).alias("bend_rate"),
+        (model.bend_size * hours_a_step).alias("bend_size"),
+        F.lit(model.noise).alias("noise"),
     )
+    offsets = future_offsets(told, ["series"], draws, seed)
+    return ahead.join(offsets, "step").select(
+        "ds", "yhat",
+        (F.col("yhat") + F.col("off_lower")).alias("yhat_lower"), (F.col("yhat") + F.col("off_upper")).alias("yhat_upper"),
+    )
 
 
 # --- autoregressive roll-out --------------------------------------------------------

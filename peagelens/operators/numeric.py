@@ -57,12 +57,18 @@ def sparse_bends(
     """Weights with the least value of :func:`penalised`: an absolute penalty on the ``bends``, a square one on the rest.
 
     The rest is solved for exactly given the bends, which leaves a Gram matrix of the bends alone; coordinate
-    descent on it sets one bend after the other to its best value until none moves.
+    descent on it sets one bend after the other to its best value until none moves, or until the
+    bends found so far turn out to be those of the optimum.
     """
     inner, pull, rest, across, level = _bends_alone(gram, moment, ridge, bends)
     delta = np.zeros(len(bends))
     diagonal = np.maximum(np.diag(inner), 1e-12)
-    for _ in range(20_000):
+    for sweep in range(20_000):
+        if sweep % 10 == 9:
+            exact = _optimum(inner, pull, penalty, delta)
+            if exact is not None:
+                delta = exact
+                break
         moved = 0.0
         for j in range(len(bends)):
             free = pull[j] - inner[j] @ delta + inner[j, j] * delta[j]
@@ -76,6 +82,22 @@ def sparse_bends(
     return beta
 
 
+def _optimum(inner: np.ndarray, pull: np.ndarray, penalty: np.ndarray, delta: np.ndarray) -> np.ndarray | None:
+    """The best values of the bends that are not zero now, if signs and the pull on the others show that they are
+    the optimum of all; else None."""
+    used = np.flatnonzero(delta)
+    signs = np.sign(delta[used])
+    out = np.zeros(len(delta))
+    try:
+        out[used] = np.linalg.solve(inner[np.ix_(used, used)], pull[used] - penalty[used] * signs)
+    except np.linalg.LinAlgError:
+        return None
+    left = np.abs(pull - inner @ out)
+    left[used] = 0.0
+    held = (np.sign(out[used]) == signs).all() and (left <= penalty * (1.0 + 1e-9)).all()
+    return out if held else None
+
+
 def penalised(
     beta: np.ndarray, gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, bends: np.ndarray, penalty: np.ndarray
 ) -> float:
@@ -86,6 +108,99 @@ def penalised(
     )
 
 
+def held_weights(
+    gram: np.ndarray, moment: np.ndarray, count: int, n_waves: int, bends: np.ndarray, penalty: np.ndarray, noise: float
+) -> np.ndarray:
+    """Weights of level, slope, ``count`` bends and waves, where only the given bends may differ from zero."""
+    prior = np.concatenate([[BASE_PRIOR] * 2, [np.inf] * count, [SEASON_PRIOR] * n_waves])
+    held = np.setdiff1d(np.arange(len(moment)), np.setdiff1d(np.arange(2, 2 + count), bends))
+    place = np.searchsorted(held, bends)
+    ridge = noise**2 / prior**2
+    beta = np.zeros(len(moment))
+    beta[held] = sparse_bends(gram[np.ix_(held, held)], moment[held], ridge[held], place, penalty)
+    return beta
+
+
+def place_bends(gram: np.ndarray, moment: np.ndarray, count: int, n_waves: int, spread) -> tuple[np.ndarray, float]:
+    """The columns of the bends that more than chance asks for, and the noise; ``spread`` is the noise of weights."""
+    prior = np.concatenate([[BASE_PRIOR] * 2, [np.inf] * count, [SEASON_PRIOR] * n_waves])
+    every = np.arange(2, 2 + count)
+    start = np.full(count, 0.1**2 / CHANGEPOINT_PRIOR)
+    noise = spread(held_weights(gram, moment, count, n_waves, every, start, 0.1))
+    alone = np.maximum(np.diag(_bends_alone(gram, moment, noise**2 / prior**2, every)[0]), 0.0)
+    chance = np.sqrt(2.0 * np.log(max(count, 2)) * alone)
+    penalty = noise**2 / CHANGEPOINT_PRIOR + noise * chance
+    first = held_weights(gram, moment, count, n_waves, every, penalty, noise)
+    return every[_largest(first[every])], noise
+
+
+def product_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What one task adds to the sums of a trend x (1 + season) fit, from rows of ``y, trend, waves``.
+
+    With T the trend columns and W those of the waves behind a column of ones: for each pair of T, in the order of
+    ``np.triu_indices``, the sums of its product times each pair of W; then for each T the sums of y T W;
+    then that of y squared.
+    """
+    total = None
+    for rows in batches:
+        for at in range(0, len(rows), 4096):
+            part = rows.iloc[at : at + 4096]
+            y, trend = part["y"].to_numpy(float), np.vstack(part["trend"])
+            waves = np.column_stack([np.ones(len(part)), *np.vstack(part["waves"]).T])
+            (i, j), (k, m) = np.triu_indices(trend.shape[1]), np.triu_indices(waves.shape[1])
+            sums = (trend[:, i] * trend[:, j]).T @ (waves[:, k] * waves[:, m])
+            found = [*sums, *((trend * y[:, None]).T @ waves), np.array([y @ y])]
+            total = found if total is None else [a + b for a, b in zip(total, found)]
+    if total is not None:
+        yield pd.DataFrame({"row": np.arange(len(total), dtype="int32"), "sums": total})
+
+
+class ProductSums:
+    """The summed products of all tasks, and what each half step of the alternation needs of them."""
+
+    def __init__(self, n: int, n_trend: int, n_waves: int):
+        self.n, self.n_trend, self.n_ones = n, n_trend, n_waves + 1
+        self._t, self._w = np.triu_indices(n_trend), np.triu_indices(self.n_ones)
+        self.pairs = np.zeros((len(self._t[0]), len(self._w[0])))
+        self.crossed = np.zeros((n_trend, self.n_ones))
+        self.square = 0.0
+
+    def put(self, row: int, at: int, value: float) -> None:
+        if row < len(self.pairs):
+            self.pairs[row, at] = value
+        elif row < len(self.pairs) + self.n_trend:
+            self.crossed[row - len(self.pairs), at] = value
+        else:
+            self.square = value
+
+    @staticmethod
+    def _weighted(pairs: np.ndarray, places: tuple, weights: np.ndarray) -> np.ndarray:
+        i, j = places
+        return pairs @ (weights[i] * weights[j] * np.where(i == j, 1.0, 2.0))
+
+    @staticmethod
+    def _matrix(values: np.ndarray, places: tuple, size: int) -> np.ndarray:
+        out = np.zeros((size, size))
+        out[places] = values
+        return out + np.triu(out, 1).T
+
+    def for_trend(self, waves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gram matrix and moment of the trend's columns times (1 + season)."""
+        ones = np.concatenate([[1.0], waves])
+        gram = self._matrix(self._weighted(self.pairs, self._w, ones), self._t, self.n_trend)
+        return gram, self.crossed @ ones
+
+    def for_season(self, trend: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gram matrix and moment of the waves times the trend, against y less the trend."""
+        gram = self._matrix(self._weighted(self.pairs.T, self._t, trend), self._w, self.n_ones)
+        return gram[1:, 1:], trend @ self.crossed[:, 1:] - gram[0, 1:]
+
+    def noise(self, trend: np.ndarray, waves: np.ndarray) -> float:
+        """Root of the mean squared error, at least 1e-4."""
+        gram, moment = self.for_trend(waves)
+        return max(float(self.square - 2.0 * moment @ trend + trend @ gram @ trend) / self.n, 1e-8) ** 0.5
+
+
 class AdditiveFit:
     """Piecewise linear trend plus seasonal waves on scaled time and target.
 
@@ -106,26 +221,12 @@ class AdditiveFit:
     @staticmethod
     def _weights(x: np.ndarray, y: np.ndarray, count: int, n_waves: int) -> tuple[np.ndarray, float]:
         gram, moment = x.T @ x, x.T @ y
-        prior = np.concatenate([[BASE_PRIOR] * 2, [np.inf] * count, [SEASON_PRIOR] * n_waves])
-        every = np.arange(2, 2 + count)
-
-        def fit(bends: np.ndarray, penalty: np.ndarray, noise: float) -> np.ndarray:
-            held = np.setdiff1d(np.arange(len(moment)), np.setdiff1d(every, bends))
-            place = np.searchsorted(held, bends)
-            ridge = noise**2 / prior**2
-            beta = np.zeros(len(moment))
-            beta[held] = sparse_bends(gram[np.ix_(held, held)], moment[held], ridge[held], place, penalty)
-            return beta
 
         def spread(beta: np.ndarray) -> float:
             return max(float(np.std(y - x @ beta)), 1e-4)
 
-        noise = spread(fit(every, np.full(count, 0.1**2 / CHANGEPOINT_PRIOR), 0.1))
-        alone = np.maximum(np.diag(_bends_alone(gram, moment, noise**2 / prior**2, every)[0]), 0.0)
-        chance = np.sqrt(2.0 * np.log(max(count, 2)) * alone)
-        first = fit(every, noise**2 / CHANGEPOINT_PRIOR + noise * chance, noise)
-        bends = every[_largest(first[every])]
-        beta = fit(bends, np.full(len(bends), noise**2 / CHANGEPOINT_PRIOR), noise)
+        bends, noise = place_bends(gram, moment, count, n_waves, spread)
+        beta = held_weights(gram, moment, count, n_waves, bends, np.full(len(bends), noise**2 / CHANGEPOINT_PRIOR), noise)
         return beta, spread(beta)
 
     def _trend_part(self, days: np.ndarray) -> np.ndarray:

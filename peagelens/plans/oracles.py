@@ -4,7 +4,15 @@ import math
 
 from peagelens.operators.distribution import CELL, REACH
 from peagelens.operators.forecast import DRAWS
-from peagelens.plans.queries import BEND_RATE, BEND_SIZE, KDE_POINTS
+from peagelens.plans.queries import (
+    BEND_RATE,
+    BEND_SIZE,
+    FIXED_BENDS,
+    FIXED_SEASONS,
+    FIXED_TREND,
+    FIXED_WAVES,
+    KDE_POINTS,
+)
 from peagelens.schema import (
     CAP_FACTOR,
     CASH_PAYMENTS,
@@ -630,6 +638,29 @@ def _binned_kde(bins: int = 100) -> str:
     )
 
 
+def _fixed_product() -> str:
+    """A fixed multiplicative model over the gap-free network hours."""
+    weights = iter(FIXED_WAVES)
+    waves = []
+    for _, period, order in FIXED_SEASONS:
+        for k in range(1, order + 1):
+            angle = f"(day * {2.0 * math.pi * k / period!r}::DOUBLE)"
+            waves += [f"{next(weights)!r}::DOUBLE * {f}({angle})" for f in ("sin", "cos")]
+    level, slope = FIXED_TREND
+    trend = f"{level!r}::DOUBLE + t * {slope!r}::DOUBLE" + "".join(
+        f" + greatest(t - {place!r}::DOUBLE, 0.0::DOUBLE) * {change!r}::DOUBLE" for place, change in FIXED_BENDS
+    )
+    days = "(CAST(ds AS DATE) - DATE '1970-01-01') + hour(ds) * 3600 / 86400.0::DOUBLE"
+    return _with(
+        EVENTS, DENSE,
+        f"placed AS (SELECT ds, y, {days} AS day FROM dense)",
+        "timed AS (SELECT *, (day - min(day) OVER ()) / (max(day) OVER () - min(day) OVER ()) AS t FROM placed)",
+        f"parts AS (SELECT ds, y, {trend} AS trend, {' + '.join(waves)} AS season FROM timed)",
+        select=f"SELECT ds, y, {_r('trend', 6)} AS trend, {_r('season', 6)} AS season, "
+        f"{_r('trend * (1.0::DOUBLE + season)', 6)} AS yhat FROM parts",
+    )
+
+
 def _fixed_band() -> str:
     """Futures drawn from digests: Laplace bends whose slopes add up, noise by Box-Muller, quantiles over the draws."""
     size = float(1 << 48)
@@ -975,6 +1006,7 @@ ORACLES |= {
     "autoregressive_metrics_fixed": _fixed_metrics(),
     "forecast_noisy": _noisy_forecast(),
     "forecast_band_fixed": _fixed_band(),
+    "forecast_product_fixed": _fixed_product(),
     "forecast_as_csv": "SELECT * EXCLUDE (gare), regexp_replace(lower(gare), '[- ]', '_', 'g') AS gare_safe "
     f"FROM ({_noisy_forecast()}) f",
     "stats_as_json": ORACLES["series_stats"],

@@ -10,9 +10,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peagelens.functions.calendar import calendar_parts
+from peagelens.functions.calendar import calendar_parts, epoch_days
 from peagelens.functions.scalars import half_even, slug
-from peagelens.operators import distribution, etl, features, forecast, series, traffic
+from peagelens.operators import distribution, etl, features, forecast, product, series, traffic
 from peagelens.plans import reports
 from peagelens.schema import (
     FEATURE_LAGS,
@@ -174,6 +174,22 @@ def _fixed_rollout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
 
 
+#: Trend and season of a fixed multiplicative model: level and slope, bends, seasons and the weights of their waves.
+FIXED_TREND, FIXED_BENDS = (40.0, 6.0), ((0.25, -9.5), (0.5, 12.0))
+FIXED_SEASONS, FIXED_WAVES = (("daily", 1.0, 2), ("weekly", 7.0, 1)), (0.3, -0.2, 0.1, 0.05, -0.15, 0.08)
+
+
+def product_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Trend, season and value of a fixed multiplicative model for every hour of the network."""
+    hourly = _network(spark, d)
+    days = epoch_days(F.col("ds"))
+    ends = hourly.agg(F.min(days).alias("start"), F.max(days).alias("end")).first()
+    model = product.ProductModel(
+        ends.start, ends.end - ends.start, FIXED_TREND, FIXED_BENDS, FIXED_SEASONS, FIXED_WAVES
+    )
+    return rounded(product.product_parts(hourly, model), 6)
+
+
 def autoregressive_metrics(spark: SparkSession, d: str) -> DataFrame:
     hourly = _network(spark, d)
     return rounded(forecast.autoregression_metrics(hourly, forecast.fit_autoregression(hourly)), 2)
@@ -413,7 +429,8 @@ QUERIES: dict[str, Query] = {
         forecast.station_fit(_events(s, d))
     ),
     "forecast_registry": lambda s, d: forecast.model_registry(forecast.station_fit(_events(s, d))),
-    "forecast_global": lambda s, d: forecast.global_forecast(_events(s, d)),
+    "forecast_product_fixed": product_fixed,
+    "forecast_global": lambda s, d: rounded(forecast.global_forecast(_events(s, d)), 6),
     "forecast_autoregressive": lambda s, d: forecast.forecast_rows(_autoregressive(s, d)[1]),
     "forecast_summary": forecast_summary,
     "forecast_with_history": forecast_with_history,
