@@ -1006,6 +1006,12 @@ ORACLES |= {
     "autoregressive_metrics_fixed": _fixed_metrics(),
     "forecast_noisy": _noisy_forecast(),
     "forecast_band_fixed": _fixed_band(),
+    "cube_by_month": _with(
+        ORDERS, PAID,
+        select="SELECT strftime(date_heure, '%Y-%m') AS annee_mois, classe_vehicule, count(*) AS rows, "
+        f"CAST(count(id_transaction) AS BIGINT) AS transactions, {_r('sum(montant_net)', 2)} AS revenue, "
+        "CAST(count(montant_net) AS BIGINT) AS amounts FROM paid GROUP BY 1, 2",
+    ),
     "forecast_product_fixed": _fixed_product(),
     "forecast_as_csv": "SELECT * EXCLUDE (gare), regexp_replace(lower(gare), '[- ]', '_', 'g') AS gare_safe "
     f"FROM ({_noisy_forecast()}) f",

@@ -23,7 +23,7 @@ from peagelens.schema import (
     SECOND_PASS_WINDOWS,
 )
 from peagelens.session import fresh_path, remove, settle
-from peagelens.sources import bindings, exports, fact, raw
+from peagelens.sources import bindings, cube, exports, fact, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,6 +190,25 @@ def product_fixed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(product.product_parts(hourly, model), 6)
 
 
+#: Passages from this day on are loaded after the first refresh of the stored cube.
+SECOND_LOAD = datetime(1997, 6, 1)
+
+
+def cube_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and revenue by month and class from a stored cube, refreshed after each of two loads."""
+    tx = _orders(spark, d)
+    early = F.coalesce(F.col("date_heure") < F.lit(str(SECOND_LOAD)).cast("timestamp_ntz"), F.lit(True))
+    path, stored = fresh_path(spark, "fact"), fresh_path(spark, "stored-cube")
+    fact.write_fact(tx.where(early), path)
+    cube.refresh_cube(spark, path, stored)
+    fact.append_fact(tx.where(~early), path)
+    by_month = cube.read_cube(spark, path, stored).groupBy(
+        F.date_format("ds", "yyyy-MM").alias("annee_mois"), "classe_vehicule"
+    )
+    sums = by_month.agg(*[F.sum(c).alias(c) for c in ("rows", "transactions", "revenue", "amounts")])
+    return rounded(sums, 2)
+
+
 def autoregressive_metrics(spark: SparkSession, d: str) -> DataFrame:
     hourly = _network(spark, d)
     return rounded(forecast.autoregression_metrics(hourly, forecast.fit_autoregression(hourly)), 2)
@@ -417,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "minmax_scaled": lambda s, d: rounded(
         features.minmax_scale(series.hourly_series(_events(s, d)), ["y"]), 10
     ),
+    "cube_by_month": cube_by_month,
     # forecasts
     "forecast_metrics": lambda s, d: rounded(forecast.lag_forecast_metrics(_events(s, d)), 2),
     "forecast_station": lambda s, d: forecast.station_forecast(

@@ -84,6 +84,17 @@ def write_fact(df: DataFrame, path: str, rebalance: bool = True) -> None:
             files.delete(entry.getPath(), True)
 
 
+def append_fact(df: DataFrame, path: str, rebalance: bool = True) -> None:
+    """Add passages to the current version of the fact table; files of other months are not touched.
+
+    Spark's commit moves the new files in at the end of the job. Nothing tells a repeated load from
+    new rows: loads that may repeat belong in :func:`write_fact`.
+    """
+    version = current_version(df.sparkSession, path)
+    target = f"{path}/{version}" if version else path
+    _by_month(df, rebalance).write.mode("append").partitionBy(MONTH).parquet(target)
+
+
 def save_fact_table(df: DataFrame, name: str) -> None:
     """Full refresh of a catalog table, partitioned by month."""
     (
