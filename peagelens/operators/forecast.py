@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -477,15 +477,49 @@ def with_history(
 # --- regression on the feature table ------------------------------------------------
 
 
-def regress_hourly(tx: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
-    """Errors of a random forest on the feature table, for the validation and test parts."""
-    table = settle(chrono_split(feature_table(tx), at="date"), "features")
+def _regression_rows(table: DataFrame) -> DataFrame:
+    """``part``, ``y`` and the feature vector of a split feature table."""
     inputs = [c for c in table.columns if c not in ("date", TARGET, "part")]
-    ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(
         table.select("part", F.col(TARGET).cast("double").alias("y"), *inputs)
     )
+
+
+def regress_hourly(tx: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+    """Errors of a random forest on the feature table, for the validation and test parts."""
+    ready = _regression_rows(settle(chrono_split(feature_table(tx), at="date"), "features"))
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed
     ).fit(ready.where(F.col("part") == "train"))
     scored = forest.transform(ready.where(F.col("part") != "train"))
     return error_metrics(scored, "y", "prediction", ["part"])
+
+
+def fit_boosted(
+    ready: DataFrame, most: int = 40, depth: int = 4, rate: float = 0.2, patience: float = 0.01, seed: int = 7
+) -> GBTRegressionModel:
+    """Boosted trees of rows ``part, y, features`` whose number the validation part chooses.
+
+    Trees are grown on the ``train`` rows one after the other; growing ends at ``most``, or when a tree
+    lowers the squared error on the ``val`` rows by less than the share ``patience``, and the trees after the
+    best number are dropped. Other parts are not read. Without ``val`` rows all ``most`` trees stay.
+    """
+    marked = ready.where(F.col("part").isin("train", "val")).withColumn("_held", F.col("part") == "val")
+    trees = GBTRegressor(
+        featuresCol="features", labelCol="y", maxIter=most, maxDepth=depth, stepSize=rate, seed=seed,
+        validationTol=patience,
+    )
+    if not marked.where("_held").isEmpty():
+        trees = trees.setValidationIndicatorCol("_held")
+    return trees.fit(marked)
+
+
+def regress_boosted(tx: DataFrame, most: int = 40, depth: int = 4, seed: int = 7) -> DataFrame:
+    """Errors of boosted trees on the feature table for the validation and test parts, and their number ``trees``.
+
+    The validation part decides when growing ends, see :func:`fit_boosted`; the test part is only scored.
+    """
+    ready = _regression_rows(settle(chrono_split(feature_table(tx), at="date"), "features"))
+    model = fit_boosted(ready, most, depth, seed=seed)
+    scored = model.transform(ready.where(F.col("part") != "train"))
+    return error_metrics(scored, "y", "prediction", ["part"]).withColumn("trees", F.lit(model.getNumTrees))

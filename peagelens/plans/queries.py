@@ -471,5 +471,6 @@ QUERIES: dict[str, Query] = {
     "stats_as_json": stats_as_json,
     "stats_as_documents": stats_as_documents,
     "registry_facts": registry_facts,
+    "regress_boosted": lambda s, d: rounded(forecast.regress_boosted(_events(s, d)), 6),
     "regress_hourly": lambda s, d: forecast.regress_hourly(_events(s, d)),
 }

@@ -3,6 +3,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from peagelens.operators import features, forecast, series
@@ -187,3 +188,33 @@ def test_global_forecast_follows_the_daily_wave(spark):
     got = np.array([r.yhat for r in ahead.orderBy("ds").collect()])
     truth = 20 + 10 * np.sin(2 * np.pi * np.arange(600, 624) / 24)
     assert np.abs(got - truth).mean() < 3.0
+
+
+def split_rows(spark, target, noise, n=900):
+    """Rows of three inputs in time order: 70 % to learn from, 15 % to stop by, 15 % unseen."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(-1, 1, (n, 3))
+    y = target(x) + noise * rng.normal(size=n)
+    part = np.where(np.arange(n) < 0.7 * n, "train", np.where(np.arange(n) < 0.85 * n, "val", "test"))
+    rows = spark.createDataFrame(pd.DataFrame({"part": part, "y": y, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
+    return rows.select("part", "y", array_to_vector(F.array("a", "b", "c")).alias("features")).coalesce(2)
+
+
+def test_validation_part_chooses_the_number_of_trees(spark):
+    def bent(x):
+        return 5 * np.sin(3 * x[:, 0]) * (x[:, 1] > 0) + 2 * x[:, 2]
+
+    clear, blurred = (split_rows(spark, bent, noise) for noise in (0.05, 4.0))
+    many, few = (forecast.fit_boosted(rows, 30) for rows in (clear, blurred))
+    assert few.getNumTrees < many.getNumTrees <= 30
+
+    def error(model, rows, part):
+        scored = model.transform(rows.where(F.col("part") == part))
+        return scored.agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0]
+
+    all_trees = forecast.fit_boosted(blurred.where("part != 'val'"), 30)
+    assert all_trees.getNumTrees == 30
+    assert error(few, blurred, "val") < error(all_trees, blurred, "val")
+    assert error(few, blurred, "test") < error(all_trees, blurred, "test")
+    again = forecast.fit_boosted(blurred.where("part != 'test'"), 30)
+    assert again.toDebugString.split("\n")[1:] == few.toDebugString.split("\n")[1:]
