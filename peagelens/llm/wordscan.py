@@ -13,12 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PIECE = 1 << 20
 PIECE_ROWS = 2048
+#: Spans of more bytes are hashed one by one.
+LONG = 256
 
 _U = np.uint64
 _SEED = np.random.Generator(np.random.PCG64(20_240_601))
@@ -96,14 +99,21 @@ class Piece:
         return np.bincount(cell, minlength=256 * n).reshape(n, 256)
 
     def hasher(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """A function from byte spans to 64-bit hashes of their bytes."""
+        """A function from byte spans to 64-bit hashes of their bytes.
+
+        Sums modulo 2 ** 64 can be made to collide by long regular texts, so spans beyond LONG bytes get XXH64.
+        """
         run = np.zeros(len(self.buf) + 1, _U)
         np.cumsum(_BYTE[self.buf] * _powers(len(self.buf), _BASE), dtype=_U, out=run[1:])
         back = _powers(len(self.buf) + 1, _INVERSE)
+        whole = memoryview(self.buf)
 
         def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             h = (run[ends] - run[starts]) * back[starts]
-            return mix(h + (ends - starts).astype(_U) * _STEP)
+            h = mix(h + (ends - starts).astype(_U) * _STEP)
+            long = np.flatnonzero(ends - starts > LONG)
+            h[long] = [xxhash.xxh64_intdigest(whole[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            return h
 
         return of
 

@@ -253,3 +253,13 @@ def test_random_strings_of_one_case(spark):
         "12345678901234567890123", "some-plain-name/with_many_pieces", "donaudampfschifffahrtsgesellschaft", "-" * 60, "=" * 60,
     ]
     assert spans_of(spark, plain) == [""] * len(plain)
+
+
+def test_contamination_tells_long_regular_words_apart(spark):
+    """Two words of 2,048 letters whose sums modulo 2 ** 64 are equal."""
+    ones = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join(pair[o] for o in ones) for pair in ("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, one)], "item_id bigint, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate.report(docs, items).collect()}
+    assert hits == {1: 1, 2: 0}

@@ -153,3 +153,18 @@ def test_logistic_fits():
     d = fit_differences(x[y == 1][:100], x[y == 0][:100], 1e-3)
     assert d[0] > 0 > d[1]
     assert fit_sparse(rows[:0], cols[:0], x.ravel()[:0], y[:0], np.ones(0), 3, 1e-3)[1] == 0.0
+
+
+def mirrored(n):
+    """Two texts of n letters that sums modulo 2 ** 64 cannot tell apart: the Thue-Morse word and its mirror."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[o] for o in ones), "".join("ba"[o] for o in ones)
+
+
+def test_long_regular_words_and_lines_are_told_apart(spark):
+    one, other = mirrored(2048)
+    texts = [f"{one}\n{other}", f"{one}\n{one}", " ".join([one, "x y z w", other, "x y z w"]), f"{one} {other} " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:6] for r in decision_list.judge(docs, []).collect()}
+    assert got == {k: base(t) for k, t in enumerate(texts)}
+    assert got[0][3] == 0 and got[1][3] == 1
