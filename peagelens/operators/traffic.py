@@ -6,7 +6,7 @@ a third of all passages sends one row per task to the shuffle.
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import (
@@ -18,7 +18,7 @@ from peagelens.functions.calendar import (
     weekday_label,
 )
 from peagelens.functions.scalars import growth_pct, is_cash, is_subscriber
-from peagelens.operators.quantiles import exact_quantiles
+from peagelens.operators.quantiles import exact_quantiles, quantiles_of, value_counts
 from peagelens.schema import CHANNELS, DAY_PERIODS
 
 
@@ -201,6 +201,35 @@ def median_amount(tx: DataFrame) -> Column:
     return exact_quantiles(tx, "montant_net", [0.5]).select(F.col("quantiles")[0]).scalar()
 
 
+def median_of_cube(cube: DataFrame, tx: DataFrame) -> Column:
+    """The exact median of the net amounts of ``tx`` from its :func:`hourly_cube` with cells.
+
+    The cells' counts, exact in the cube and mergeable over hours and months, tell which cell holds the median;
+    only amounts between that cell's ends are read from ``tx``, a range that reaches the scan as a filter.
+    How the amounts lie decides what that saves: an amount that a third of all rows share has to be read.
+    """
+    cells = cube.where(F.col("amounts") > 0).groupBy("amount_cell").agg(
+        F.sum("amounts").alias("c"), F.min("least_amount").alias("low"), F.max("largest_amount").alias("high")
+    )
+    # One row per cell, so the window holds at most some thousand rows, whatever the number of passages.
+    every = Window.partitionBy(F.lit(0))
+    upto = F.sum("c").over(every.orderBy("amount_cell").rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumns({"upto": upto, "n": F.sum("c").over(every)})
+    middle = (F.col("n") - 1) / 2
+    holds = (F.col("upto") > F.floor(middle)) & (F.col("upto") - F.col("c") <= F.ceil(middle))
+    found = placed.where(holds).agg(
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min(F.col("upto") - F.col("c")).alias("below"), F.max("n").alias("n"), F.max("upto").alias("upto"),
+    ).first()
+    if found.n is None:
+        return F.lit(None).cast("double")
+    near = tx.where(F.col("montant_net").between(found.low, found.high))
+    outside = [(float("-inf"), found.below), (float("inf"), found.n - found.upto)]
+    ends = tx.sparkSession.createDataFrame([x for x in outside if x[1]], "_v double, _c bigint")
+    counts = value_counts(near, "montant_net", kept="median-range").select("_v", "_c").unionByName(ends)
+    return quantiles_of(counts, [0.5]).select(F.col("quantiles")[0]).scalar()
+
+
 def _key_figures(per_day: DataFrame, median: Column) -> DataFrame:
     dated = F.col("jour").isNotNull()
     figures = per_day.agg(
@@ -223,15 +252,20 @@ def _key_figures(per_day: DataFrame, median: Column) -> DataFrame:
     )
 
 
-def revenue_growth(tx: DataFrame, windows: Iterable[int] = (7, 30)) -> DataFrame:
+def last_of_cube(cube: DataFrame) -> Column:
+    """The time of the last passage, as a scalar subquery of the cube."""
+    return cube.agg(F.max("last")).scalar()
+
+
+def revenue_growth(tx: DataFrame, windows: Iterable[int] = (7, 30), end: Column | None = None) -> DataFrame:
     """Revenue of the last ``d`` days against the ``d`` days before, per window.
 
-    The windows end one hour after the last passage. The end is a scalar
-    subquery, so it also reaches the scan as a filter and prunes older data.
+    The windows end one hour after the last passage, whose time ``end`` may give if it is known. The end is a
+    scalar subquery, so it also reaches the scan as a filter and prunes older data.
     """
     windows = list(windows)
     at = F.col("date_heure")
-    end = tx.agg(F.max("date_heure")).scalar() + hours(1)
+    end = (tx.agg(F.max("date_heure")).scalar() if end is None else end) + hours(1)
 
     def before_end(n: int) -> Column:
         return end - days(n)
@@ -320,14 +354,29 @@ def headline_shares(tx: DataFrame) -> DataFrame:
 CUBE_KEYS = ("gare", "classe_vehicule", "type_paiement")
 
 
-def hourly_cube(tx: DataFrame) -> DataFrame:
+def amount_cell(amount: Column) -> Column:
+    """The cell of an amount on a logarithmic grid, some 4 % wide beyond 1; null for null.
+
+    Cells never fall where amounts rise, negative ones included; NaN is above all. No column of
+    doubles has more than 33,000 cells.
+    """
+    cell = F.signum(amount) * F.floor(F.log2(F.abs(amount) + 1.0) * 16)
+    return F.when(F.isnan(amount), F.lit(1 << 20)).otherwise(F.least(F.greatest(cell, F.lit(-1 << 19)), F.lit(1 << 19)).cast("int"))
+
+
+def hourly_cube(tx: DataFrame, cells: bool = False) -> DataFrame:
     """One row per hour, station, class and payment: the base of every breakdown.
 
     One scan of the fact table with map-side combining; what follows works on
-    this far smaller table.
+    this far smaller table. With ``cells``, rows are also apart by :func:`amount_cell` and tell the least
+    and the largest amount; sums over the cube stay the same, and :func:`median_of_cube` can use it.
     """
     hour = hour_start(F.col("date_heure")).alias("ds")
-    return tx.groupBy(hour, *CUBE_KEYS).agg(
+    amount = F.col("montant_net")
+    more_keys = [amount_cell(amount).alias("amount_cell")] if cells else []
+    ends = [F.min(amount).alias("least_amount"), F.max(amount).alias("largest_amount")] if cells else []
+    return tx.groupBy(hour, *CUBE_KEYS, *more_keys).agg(
+        *ends,
         transactions(),
         *_channel_sums(),
         F.count(F.lit(1)).alias("rows"),

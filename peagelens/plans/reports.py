@@ -13,15 +13,15 @@ Report = dict[str, DataFrame]
 def traffic_stats(tx: DataFrame) -> Report:
     """Key figures, growth, period, peaks, breakdowns and revenue of paying passages.
 
-    The fact table is reduced once to an hourly cube; only the median and the
-    growth windows, which do not follow hours, read it again.
+    The fact table is reduced once to an hourly cube. Only ranges of it are read again: the amounts of the
+    cell that holds the median, and the days of the growth windows, which do not follow hours.
     """
     paying = paid(tx)
-    cube = settle(traffic.hourly_cube(paying), "cube")
+    cube = settle(traffic.hourly_cube(paying, cells=True), "cube")
     per_day = traffic.daily_of_cube(cube)
     return {
-        "summary": traffic.kpi_of_cube(cube, traffic.median_amount(paying)),
-        "growth": traffic.revenue_growth(paying),
+        "summary": traffic.kpi_of_cube(cube, traffic.median_of_cube(cube, paying)),
+        "growth": traffic.revenue_growth(paying, end=traffic.last_of_cube(cube)),
         "period": traffic.period_of_cube(cube),
         "peaks": traffic.peaks(cube),
         "breakdowns": traffic.breakdowns(cube),

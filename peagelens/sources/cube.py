@@ -14,6 +14,8 @@ from peagelens.session import remove
 from peagelens.sources.fact import MONTH, _STORED, _system, current_version, paid
 
 STATE = "state"
+#: Begins the name of each state; another layout of the cube needs another one, so that older states do not count.
+_LAYOUT = "cells"
 #: Spark's folder name for rows without a time.
 _UNDATED = "__HIVE_DEFAULT_PARTITION__"
 _DONE = "_done"
@@ -34,7 +36,7 @@ def month_states(spark: SparkSession, path: str) -> dict[str, str]:
     states = (
         files.where(F.col("path").endswith(".parquet"))
         .groupBy(month.alias("month"))
-        .agg(F.concat_ws("-", F.count(F.lit(1)), F.sum("length"), digest).alias("state"))
+        .agg(F.concat_ws("-", F.lit(_LAYOUT), F.count(F.lit(1)), F.sum("length"), digest).alias("state"))
     )
     return {r.month: r.state for r in states.collect()}
 
@@ -75,7 +77,7 @@ def refresh_cube(spark: SparkSession, path: str, cube_path: str) -> list[str]:
     # The month is part of the key, but an hour has one month: the groups are those of the cube.
     rows = changed_rows(spark, path, missing)
     named = F.create_map(*[F.lit(x) for m in missing for x in (m, states[m])])
-    cube = hourly_cube(paid(rows)).withColumn(MONTH, F.date_format("ds", "yyyy-MM"))
+    cube = hourly_cube(paid(rows), cells=True).withColumn(MONTH, F.date_format("ds", "yyyy-MM"))
     cube = cube.withColumn(STATE, named[F.coalesce(F.col(MONTH), F.lit(_UNDATED))])
     cube.hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH, STATE).parquet(cube_path)
     for month in missing:
@@ -84,14 +86,14 @@ def refresh_cube(spark: SparkSession, path: str, cube_path: str) -> list[str]:
 
 
 def read_cube(spark: SparkSession, path: str, cube_path: str) -> DataFrame:
-    """The cube of the fact table as it is now, refreshed first; see :func:`traffic.hourly_cube` for its columns.
+    """The cube of the fact table as it is now, refreshed first; see :func:`traffic.hourly_cube` with cells for its columns.
 
     Months without a paying passage have no rows. An empty fact table gives an empty cube.
     """
     refresh_cube(spark, path, cube_path)
     files, there = _system(spark, cube_path)
     folders = [_folder(cube_path, m, s) for m, s in sorted(month_states(spark, path).items())]
-    schema = hourly_cube(paid(spark.createDataFrame([], _STORED))).schema
+    schema = hourly_cube(paid(spark.createDataFrame([], _STORED)), cells=True).schema
     present = [f for f in folders if files.exists(there(f))]
     if not present:
         return spark.createDataFrame([], schema)

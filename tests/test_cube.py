@@ -23,7 +23,7 @@ def rows(spark, *changes):
 
 
 def full(tx):
-    return sorted(map(repr, traffic.hourly_cube(paid(tx)).collect()))
+    return sorted(map(repr, traffic.hourly_cube(paid(tx), cells=True).collect()))
 
 
 def stored(spark, path, at):

@@ -1,5 +1,7 @@
 """The physical plans that matter at scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from __spark_entry__ import queries
 from peagelens.operators import distribution, etl, forecast, quantiles, series, traffic
 from peagelens.plans import reports
 from peagelens.plans.queries import RUN_TS
-from peagelens.sources import bindings
+from peagelens.session import settle
+from peagelens.sources import bindings, fact
 from peagelens.sources.fact import paid, write_fact
 
 
@@ -121,8 +124,28 @@ def test_passes_over_the_fact(counted_reads, most, make):
 
 
 def test_report_passes(counted_reads):
-    """The cube, the median and the growth windows with their end; nothing else."""
-    assert counted_reads(lambda tx: reports.long_form(reports.traffic_stats(tx))) <= 6
+    """The cube, then ranges of amounts and of days, here counted as whole reads; nothing else."""
+    assert counted_reads(lambda tx: reports.long_form(reports.traffic_stats(tx))) <= 3
+
+
+def test_median_reads_a_range(spark, tx, tmp_path):
+    """The scan for the median carries the ends of one cell as filters; the value is that of all amounts."""
+    path = str(tmp_path / "fact")
+    fact.write_fact(tx, path)
+    stored = fact.paid(fact.read_fact(spark, path))
+    cube = settle(traffic.hourly_cube(stored, cells=True), "cube")
+    counted, seen = quantiles.value_counts, []
+    traffic.value_counts = lambda df, *a, **k: (seen.append(df), counted(df, *a, **k))[1]
+    try:
+        median = traffic.median_of_cube(cube, stored)
+    finally:
+        traffic.value_counts = counted
+    exact = quantiles.exact_quantiles(stored, "montant_net", [0.5]).first().quantiles[0]
+    assert spark.range(1).select(median.alias("m")).first().m == exact
+    text = plan(seen[0])
+    assert "GreaterThanOrEqual(montant_net" in text[text.index("PushedFilters") :]
+    assert re.search(r"montant_net#\d+ <= ", text)
+    assert seen[0].count() < stored.count() / 2
 
 
 def test_global_forecast_has_no_group(tx):

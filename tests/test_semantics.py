@@ -186,6 +186,28 @@ def test_kpi(spark):
     assert (row.avg_transactions_per_day, row.avg_revenue_per_day) == (1.5, 4.5)
 
 
+@pytest.mark.parametrize(
+    "amounts",
+    [
+        [3.0], [1.0, 2.0], [1.0, 1.0, 9.0, 9.0], [2.0, 1e9], [-5.0, 0.0, 7.0], [-8.0, -7.99, -2.0, -1.0], [None, 4.0, None],
+        [5.0] * 7 + [5.01, 5.02, 900.0], [float("-inf"), 1.0, 2.0, float("inf")], [None], [],
+    ],
+)
+def test_median_of_cube(spark, amounts):
+    tx = passages(spark, [(k, at(k % 5, 1 + k % 3), "AB"[k % 2], "VL", x) for k, x in enumerate(amounts)])
+    tx = tx.withColumn("montant_net", F.col("montant_paye"))
+    known = sorted(x for x in amounts if x is not None)
+    got = spark.range(1).select(traffic.median_of_cube(traffic.hourly_cube(tx, cells=True), tx).alias("m")).first().m
+    assert got == (float(np.median(known)) if known else None)
+
+
+def test_cells_change_no_sum(spark):
+    tx = passages(spark, [(k, at(k % 5, 1 + k % 3), "AB"[k % 2], "VL", k * 1.5) for k in range(40)])
+    plain, fine = traffic.hourly_cube(tx), traffic.hourly_cube(tx, cells=True)
+    for make in (traffic.breakdowns, traffic.peaks, traffic.period_of_cube, traffic.channels_of, traffic.weekdays_of_cube):
+        assert sorted(map(repr, make(plain).collect())) == sorted(map(repr, make(fine).collect()))
+
+
 def test_histogram_closes_the_last_bin(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, 4.0)], "x double")
     assert [r["count"] for r in distribution.histogram(df, "x", 4).orderBy("bin").collect()] == [1] * 4
