@@ -2,6 +2,7 @@
 
 import sys
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -345,3 +346,114 @@ def roll_out(
         )
 
     return roll
+
+
+@dataclass(frozen=True)
+class Reservoir:
+    """Fixed weights of an echo-state network; its inputs are the last value and waves of the hour to come."""
+
+    inner: tuple[tuple[float, ...], ...]
+    inputs: tuple[tuple[float, ...], ...]
+    bias: tuple[float, ...]
+    leak: float
+    periods: tuple[float, ...] = ()
+
+    @property
+    def n_features(self) -> int:
+        return 2 + 2 * len(self.periods) + len(self.bias)
+
+
+def make_reservoir(units: int, periods: Sequence[float], radius: float, leak: float, links: int, seed: int) -> Reservoir:
+    """A random reservoir of a given spectral radius; the seed decides all of it."""
+    rng = np.random.default_rng(seed)
+    inner = np.zeros((units, units))
+    for row in inner:
+        row[rng.choice(units, min(links, units), replace=False)] = rng.uniform(-1.0, 1.0, min(links, units))
+    largest = np.abs(np.linalg.eigvals(inner)).max()
+    inner *= radius / largest if largest > 0 else 0.0
+    inputs = rng.uniform(-1.0, 1.0, (units, 1 + 2 * len(periods)))
+    inputs[:, 1:] *= 0.3
+    rows = lambda m: tuple(tuple(map(float, r)) for r in m)
+    return Reservoir(rows(inner), rows(inputs), tuple(map(float, rng.uniform(-0.8, 0.8, units))), leak, tuple(map(float, periods)))
+
+
+class Echo:
+    """The running state of a reservoir."""
+
+    def __init__(self, reservoir: Reservoir):
+        self.inner, self.inputs = np.array(reservoir.inner), np.array(reservoir.inputs)
+        self.bias, self.leak = np.array(reservoir.bias), reservoir.leak
+        self.turns = 2.0 * np.pi / np.array(reservoir.periods)
+        self.state = np.zeros(len(self.bias))
+
+    def step(self, value: float, hour: int) -> np.ndarray:
+        """Take in the scaled value of an hour since 1970; the features that tell the next hour's value."""
+        angle = self.turns * (hour + 1)
+        seen = np.concatenate([[2.0 * value - 1.0], np.sin(angle), np.cos(angle)])
+        fresh = np.tanh(self.inner @ self.state + self.inputs @ seen + self.bias)
+        self.state = (1.0 - self.leak) * self.state + self.leak * fresh
+        return np.concatenate([[1.0], seen, self.state])
+
+
+def _echo_features(rows: pd.DataFrame, reservoir: Reservoir, warm: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """Features and rows of the hours that ``warm`` or more hours of the piece precede."""
+    rows = rows.sort_values("hour", kind="stable")
+    echo, seen = Echo(reservoir), []
+    for value, hour in zip(rows["u"].to_numpy(float), rows["hour"].to_numpy()):
+        seen.append(echo.step(value, hour))
+    ready = rows.iloc[warm:]
+    return np.array(seen[max(warm, 1) - 1 : len(rows) - 1]).reshape(-1, reservoir.n_features), ready
+
+
+def echo_sums(reservoir: Reservoir, warm: int):
+    """Gram matrix of a piece's features, the moment with the next hour's value behind it as one more row."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        features, ready = _echo_features(rows, reservoir, warm)
+        own = ready["own"].to_numpy(bool)
+        features, u = features[own], ready["u"].to_numpy(float)[own]
+        sums = np.vstack([features.T @ features, u @ features])
+        return pd.DataFrame({"row": np.arange(len(sums), dtype="int32"), "sums": list(sums)})
+
+    return add
+
+
+def echo_predictions(reservoir: Reservoir, readout: Sequence[float], warm: int):
+    """Scaled predictions of a piece's own hours."""
+    weights = np.array(readout)
+
+    def predict(rows: pd.DataFrame) -> pd.DataFrame:
+        features, ready = _echo_features(rows, reservoir, warm)
+        told = pd.DataFrame({"hour": ready["hour"].to_numpy(), "v": features @ weights})
+        return told[ready["own"].to_numpy(bool)]
+
+    return predict
+
+
+def echo_roll_out(
+    reservoir: Reservoir, readout: Sequence[float], low: float, high: float, horizon: int, noise_std: float, seed: int
+):
+    """Warm the state on rows ``ds, hour, y``, then go on with its own clipped, noisy predictions."""
+    width, weights = (high - low) or 1.0, np.array(readout)
+
+    def roll(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("hour", kind="stable")
+        echo, rng = Echo(reservoir), np.random.default_rng(seed)
+        for y, hour in zip(rows["y"].to_numpy(float), rows["hour"].to_numpy()):
+            features = echo.step((y - low) / width, hour)
+        clean = np.empty(horizon)
+        for i in range(horizon):
+            clean[i] = features @ weights
+            fed_back = clean[i] + (rng.normal(0.0, noise_std) if noise_std else 0.0)
+            hour += 1
+            features = echo.step(min(max(fed_back, 0.0), 1.0), hour)
+        first = rows["ds"].iloc[-1] + pd.Timedelta(hours=1)
+        return pd.DataFrame(
+            {
+                "hour": np.arange(horizon, dtype="int32"),
+                "ds": pd.date_range(first, periods=horizon, freq="h"),
+                "predicted": np.maximum(clean * width + low, 0.0),
+            }
+        )
+
+    return roll

@@ -707,6 +707,40 @@ def _rollout(select: str) -> str:
     ]) + "\n" + select
 
 
+def _fixed_reservoir() -> str:
+    """The fixed reservoir: its state warmed on the last hours, then fed with its own clipped predictions."""
+    inner = ((0.5, -0.3, 0.0), (0.2, 0.4, -0.5), (0.0, 0.6, 0.3))
+    inputs = ((0.8, 0.1, -0.2), (-0.5, 0.3, 0.2), (0.4, -0.2, 0.1))
+    bias, readout = (0.1, -0.2, 0.3), (0.45, 0.1, -0.12, -0.15, 0.2, -0.15, 0.1)
+    n, seen = LOOKBACK_HOURS, ("a", "s", "c")
+
+    def total(weights, names) -> str:
+        return " + ".join(f"{w}::DOUBLE * {x}" for w, x in zip(weights, names))
+
+    def state(k: int) -> str:
+        drive = total(inner[k] + inputs[k], ("x1", "x2", "x3", *seen))
+        return f"0.3::DOUBLE * x{k + 1} + 0.7::DOUBLE * tanh({drive} + {bias[k]}::DOUBLE) AS z{k + 1}"
+
+    told = total(readout[1:], (*seen, "z1", "z2", "z3"))
+    return "WITH RECURSIVE " + ",\n".join([
+        EVENTS, DENSE,
+        "ends AS (SELECT min(y)::DOUBLE AS lo, max(y)::DOUBLE AS hi, max(ds) AS last FROM dense)",
+        "width AS (SELECT *, CASE WHEN hi > lo THEN hi - lo ELSE 1.0::DOUBLE END AS w FROM ends)",
+        "placed AS (SELECT ds, (y - lo) / w AS u, row_number() OVER (ORDER BY ds DESC) AS back FROM dense, width)",
+        f"tail AS (SELECT {n} + 1 - back AS k, u FROM placed WHERE back <= {n})",
+        "roll AS (SELECT 0 AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS x3, NULL::DOUBLE AS v UNION ALL "
+        f"SELECT i, z1, z2, z3, {readout[0]}::DOUBLE + {told} AS v FROM "
+        f"(SELECT *, {', '.join(state(k) for k in range(3))} FROM "
+        "(SELECT i + 1 AS i, x1, x2, x3, 2.0::DOUBLE * coalesce(u, least(greatest(v, 0.0::DOUBLE), 1.0::DOUBLE)) - 1.0::DOUBLE AS a, "
+        f"sin(angle * (epoch(last) / 3600 - {n} + i + 2)) AS s, cos(angle * (epoch(last) / 3600 - {n} + i + 2)) AS c "
+        f"FROM roll LEFT JOIN tail ON k = i + 1, width, (SELECT 2.0::DOUBLE * pi() / 24.0::DOUBLE AS angle) "
+        f"WHERE i < {n} + {FORECAST_HOURS} - 1) q) q)",
+    ]) + (
+        f"\nSELECT CAST(i - {n} AS INTEGER) AS hour, last + (i - {n} + 1) * INTERVAL 1 HOUR AS ds, "
+        f"{_r('greatest(v * w + lo, 0.0::DOUBLE)', 6)} AS predicted FROM roll, width WHERE i >= {n}"
+    )
+
+
 def _fixed_metrics() -> str:
     lag = "CAST(lag(y, {}) OVER (ORDER BY ds) AS DOUBLE)"
     return _with(
@@ -1003,9 +1037,11 @@ ORACLES |= {
         f"(SELECT 'history' AS kind, ds, y::DOUBLE AS value FROM dense ORDER BY ds DESC LIMIT {HISTORY_HOURS}) "
         f"UNION ALL SELECT 'forecast', ds, {_r('predicted', 6)} FROM ahead"
     ),
+    "reservoir_fixed": _fixed_reservoir(),
     "autoregressive_metrics_fixed": _fixed_metrics(),
     "forecast_noisy": _noisy_forecast(),
     "forecast_band_fixed": _fixed_band(),
+    "kpi_of_stored_cube": f"WITH {ORDERS},\n{PAID},\n{_kpi('paid')}",
     "cube_by_month": _with(
         ORDERS, PAID,
         select="SELECT strftime(date_heure, '%Y-%m') AS annee_mois, classe_vehicule, count(*) AS rows, "

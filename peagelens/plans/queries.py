@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from peagelens.functions.calendar import calendar_parts, epoch_days
 from peagelens.functions.scalars import half_even, slug
-from peagelens.operators import distribution, etl, features, forecast, product, series, traffic
+from peagelens.operators import distribution, etl, features, forecast, product, reservoir, series, traffic
+from peagelens.operators.numeric import Reservoir
 from peagelens.plans import reports
 from peagelens.schema import (
     FEATURE_LAGS,
@@ -174,6 +175,29 @@ def _fixed_rollout(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return hourly, forecast.autoregressive_forecast(hourly, model, noise_std=0.0)
 
 
+#: A reservoir of three units with one daily wave, and its readout over 1, the three inputs and the states.
+FIXED_RESERVOIR = Reservoir(
+    inner=((0.5, -0.3, 0.0), (0.2, 0.4, -0.5), (0.0, 0.6, 0.3)),
+    inputs=((0.8, 0.1, -0.2), (-0.5, 0.3, 0.2), (0.4, -0.2, 0.1)),
+    bias=(0.1, -0.2, 0.3), leak=0.7, periods=(24.0,),
+)
+FIXED_READOUT = (0.45, 0.1, -0.12, -0.15, 0.2, -0.15, 0.1)
+
+
+def _reservoir(spark: SparkSession, d: str) -> tuple[DataFrame, reservoir.EchoModel]:
+    hourly = _network(spark, d)
+    return hourly, reservoir.fit_reservoir(hourly)
+
+
+def reservoir_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed reservoir rolled forward for a week from the network's last hours."""
+    hourly = _network(spark, d)
+    ends = features.minmax_bounds(hourly, ["y"]).first()
+    model = reservoir.EchoModel(FIXED_RESERVOIR, FIXED_READOUT, ends["y_min"], ends["y_max"])
+    ahead = reservoir.reservoir_forecast(hourly, model, noise_std=0.0)
+    return rounded(ahead, 6)
+
+
 #: Trend and season of a fixed multiplicative model: level and slope, bends, seasons and the weights of their waves.
 FIXED_TREND, FIXED_BENDS = (40.0, 6.0), ((0.25, -9.5), (0.5, 12.0))
 FIXED_SEASONS, FIXED_WAVES = (("daily", 1.0, 2), ("weekly", 7.0, 1)), (0.3, -0.2, 0.1, 0.05, -0.15, 0.08)
@@ -194,15 +218,26 @@ def product_fixed(spark: SparkSession, d: str) -> DataFrame:
 SECOND_LOAD = datetime(1997, 6, 1)
 
 
-def cube_by_month(spark: SparkSession, d: str) -> DataFrame:
-    """Passages and revenue by month and class from a stored cube, refreshed after each of two loads."""
+def _stored_cube(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A fact table and its stored cube, refreshed after each of two loads."""
     tx = _orders(spark, d)
     early = F.coalesce(F.col("date_heure") < F.lit(str(SECOND_LOAD)).cast("timestamp_ntz"), F.lit(True))
     path, stored = fresh_path(spark, "fact"), fresh_path(spark, "stored-cube")
     fact.write_fact(tx.where(early), path)
     cube.refresh_cube(spark, path, stored)
     fact.append_fact(tx.where(~early), path)
-    by_month = cube.read_cube(spark, path, stored).groupBy(
+    return fact.read_fact(spark, path), cube.read_cube(spark, path, stored)
+
+
+def kpi_of_stored_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Key figures from the stored cube; for the median, amounts of one cell are read from the fact table."""
+    tx, kept = _stored_cube(spark, d)
+    return rounded(traffic.kpi_of_cube(kept, traffic.median_of_cube(kept, fact.paid(tx))), 4)
+
+
+def cube_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and revenue by month and class from a stored cube, refreshed after each of two loads."""
+    by_month = _stored_cube(spark, d)[1].groupBy(
         F.date_format("ds", "yyyy-MM").alias("annee_mois"), "classe_vehicule"
     )
     sums = by_month.agg(*[F.sum(c).alias(c) for c in ("rows", "transactions", "revenue", "amounts")])
@@ -437,6 +472,7 @@ QUERIES: dict[str, Query] = {
         features.minmax_scale(series.hourly_series(_events(s, d)), ["y"]), 10
     ),
     "cube_by_month": cube_by_month,
+    "kpi_of_stored_cube": kpi_of_stored_cube,
     # forecasts
     "forecast_metrics": lambda s, d: rounded(forecast.lag_forecast_metrics(_events(s, d)), 2),
     "forecast_station": lambda s, d: forecast.station_forecast(
@@ -461,6 +497,11 @@ QUERIES: dict[str, Query] = {
     "rollout_fixed_with_history": lambda s, d: rounded(
         forecast.with_history(*_fixed_rollout(s, d)), 6
     ),
+    "reservoir_fixed": reservoir_fixed,
+    "forecast_reservoir": lambda s, d: forecast.forecast_rows(
+        reservoir.reservoir_forecast(*_reservoir(s, d), noise_std=0.0)
+    ),
+    "reservoir_metrics": lambda s, d: rounded(reservoir.reservoir_metrics(*_reservoir(s, d)), 3),
     "autoregressive_metrics": autoregressive_metrics,
     "autoregressive_metrics_fixed": fixed_metrics,
     "forecast_noisy": lambda s, d: forecast.lag_forecast(series.hourly_series(_events(s, d), ["gare"])),
