@@ -2,9 +2,12 @@
 
 A multinomial logistic regression on word 1- and 2-grams, sparse by an absolute penalty,
 is trained from notices of each licence family and from paragraphs of none, the
-unknown class; its confidence is calibrated by a temperature on notices left out of
-the fit. A prediction is confirmed if the paragraph contains most 2-grams of
-a notice of the same family.
+unknown class. Notices are whole sentences and sentence forms filled with the families' names, in several
+spellings; others are prose that holds the same words. Its confidence is calibrated by a temperature on sentence forms
+left out of the fit. A prediction is confirmed by the templates of the same family: the paragraph contains most
+2-grams of a notice, or the family's name beside a word of licensing.
+
+A paragraph is a line, or, as notices are often wrapped, up to ``WINDOW`` lines without a blank one between them.
 
 The texts are scored row by row without a shuffle. From the weights follows a set of
 anchor words without which no paragraph can reach a family, so only paragraphs with one of
@@ -26,6 +29,10 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 #: A family is reported from this calibrated chance on, and confirmed from this share of a notice's 2-grams on.
 CONFIDENCE, CONTAINED = 0.5, 0.6
+#: Weight of a whole notice in the fit, where a filled form has 1.
+WHOLE = 12.0
+#: So many lines at most are read together.
+WINDOW = 3
 
 # Notices of each licence family.
 NOTICES = {
@@ -140,6 +147,73 @@ COMMON = (
 ).split()
 
 
+# Names of each family as notices write them, and their SPDX identifiers.
+NAMES = {
+    "mit": ["the MIT License", "the MIT licence", "MIT", "an MIT-style license", "the MIT/Expat License"],
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2 licence", "Apache 2.0", "the Apache Software License"],
+    "gpl": ["the GNU General Public License", "the GNU GPL", "the GPL v2 or later", "GPLv3", "the GNU General Public License version 3", "the GPL"],
+    "lgpl": ["the GNU Lesser General Public License", "the LGPL", "LGPLv2.1", "the GNU LGPL version 3", "the Lesser GPL"],
+    "agpl": ["the GNU Affero General Public License", "the AGPL", "AGPLv3", "the GNU AGPL version 3", "the Affero GPL"],
+    "bsd": ["the BSD License", "the 3-clause BSD licence", "BSD-3-Clause", "the BSD 2-Clause License", "a BSD-style license", "the new BSD license"],
+    "mpl": ["the Mozilla Public License, version 2.0", "the MPL 2.0", "MPL", "the Mozilla Public License", "the Mozilla licence"],
+    "cc-by": ["CC BY 4.0", "CC-BY", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution license"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA", "a Creative Commons Attribution-ShareAlike 4.0 License", "the Creative Commons Attribution Share Alike licence"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC", "CC BY-NC-SA 3.0", "a Creative Commons Attribution-NonCommercial License", "the Creative Commons Non Commercial licence"],
+    "cc0": ["CC0", "CC0 1.0", "the CC0 public domain dedication", "the Creative Commons Zero waiver"],
+}
+SPDX = {
+    "mit": ["MIT"], "apache-2.0": ["Apache-2.0"], "gpl": ["GPL-2.0-only", "GPL-3.0-or-later"], "lgpl": ["LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "bsd": ["BSD-3-Clause", "BSD-2-Clause"], "mpl": ["MPL-2.0"], "cc-by": ["CC-BY-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"], "cc0": ["CC0-1.0"],
+}
+FORMS = [
+    "Licensed under {}.", "Released under {}.", "Distributed under {}.", "{} licensed.", "License: {}", "Licence: {}",
+    "This project is licensed under {}.", "This software is released under the terms of {}.", "Code released under {}.",
+    "You may redistribute this program under the terms of {}.", "Made available under {}, see the LICENSE file for details.",
+    "Use of this source code is governed by {}.", "The text of this page is available under {}.", "All files are covered by {}.",
+    "It is free software, published under {}.", "You can copy, modify and share this work under {}.",
+]
+#: Prose that speaks of the same things and grants nothing.
+PROSE_NAMES = ["MIT", "Apache", "the GNU project", "the GPL", "BSD", "Mozilla", "Creative Commons", "the Apache foundation", "the public domain", "mit dem", "mit der", "mit"]
+PROSE_FORMS = [
+    "He studied physics at {} before moving to Berlin.", "A talk about {} was held on Monday.", "The history of {} began in the eighties.",
+    "The lawyers of {} argued about a license fee.", "Many people like {} and some do not.", "She lost her driving licence on the way to {}.",
+    "The city gave {} a new license last year.", "The report by {} was released in March.", "Version 2 of {} came out with a new general editor.",
+]
+# Names of each family within a notice, as patterns of lower-case text, and what may join them to a word of licensing.
+SIGNS = {
+    "mit": r"mit\b", "apache-2.0": r"apache\b", "gpl": r"(gpl|general public)", "lgpl": r"(lgpl|lesser (gpl|general public))",
+    "agpl": r"(agpl|affero)", "bsd": r"(([23]|two|three|new|modified|simplified)[ -](clause )?)?bsd\b", "mpl": r"(mpl|mozilla)",
+    "cc-by": r"(cc[ -]by|creative commons attribution)", "cc-by-sa": r"(cc[ -]by[ -]sa|creative commons attribution[ -]share ?-?alike)",
+    "cc-by-nc": r"(cc[ -]by[ -]nc|creative commons (attribution[ -])?non-?\s?commercial)", "cc0": r"(cc0|creative commons zero|public domain)",
+    "proprietary": r"(proprietary|confidential|all rights reserved)",
+}
+GRANTS = r"(licen[sc]e[ds]?|licen[sc]ing|released?|distributed?|redistributed?|available|governed|covered|published|dedicated|shared?|identifier|provided|terms|offered|use[ds]?)"
+JOINING = r"(?:[ :,()\"\-]+(?:under|the|terms|of|by|a|an|is|are|and|to|conditions|gnu|version|v|this|in|as|per|with|into|it|license|licence|spdx|identifier))*[ :,()\"\-]+"
+
+
+def sign_pattern(family: str) -> str:
+    """Matches white-space-collapsed lower-case text that names the family beside a word of licensing."""
+    sign = SIGNS[family]
+    return rf"\b{GRANTS}\b{JOINING}{sign}|\b{sign}[^.;]{{0,40}}\b(licen[sc]e[ds]?|waiver|dedication)\b"
+
+
+def training_rows(notices: dict[str, list[str]], others: list[str]) -> list[tuple[int, int, str, float]]:
+    """(group, label, text, weight): whole notices and filled sentence forms; a form is one group, whatever fills it.
+
+    Whole texts, which stand alone, weigh as much as several fillings of a form.
+    """
+    families = list(notices)
+    rows = [(f"n{family}{k}", i, t, WHOLE) for i, family in enumerate(families) for k, t in enumerate(notices[family])]
+    for i, family in enumerate(families):
+        rows += [(form, i, form.format(name), 1.0) for form in FORMS for name in NAMES.get(family, ())]
+        rows += [("spdx", i, f"SPDX-License-Identifier: {x}", 1.0) for x in SPDX.get(family, ())]
+    rows += [(f"o{k}", len(families), t, WHOLE) for k, t in enumerate(others)]
+    rows += [(form, len(families), form.format(name), 1.0) for form in PROSE_FORMS for name in PROSE_NAMES]
+    group = {g: k for k, g in enumerate(dict.fromkeys(r[0] for r in rows))}
+    return [(group[g], *rest) for g, *rest in rows]
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
@@ -184,19 +258,21 @@ def _anchors(bias: tuple, weights: dict[str, tuple], bar: float) -> tuple[str, .
 
 
 def train(spark: SparkSession, notices: dict[str, list[str]] = NOTICES, others: list[str] = OTHERS) -> Model:
-    """Fit the classifier on the labelled paragraphs, a small table given as a parameter."""
+    """Fit the classifier on the labelled paragraphs, a small table given as a parameter, and on the filled forms.
+
+    Every third form and notice is left out of a first fit, to find the temperature.
+    """
     families = tuple(notices)
-    rows = [(i, t) for i, f in enumerate(families) for t in notices[f]] + [(len(families), t) for t in others]
-    table = spark.createDataFrame([(k, y, t) for k, (y, t) in enumerate(rows)], "k int, y int, text string").coalesce(1)
-    words = table.select("k", F.col("y").cast("double").alias("label"), _words(F.col("text")).alias("w"))
-    grams = words.select("k", "label", _grams(F.col("w"), _pairs(F.col("w"))).alias("grams"))
+    table = spark.createDataFrame(training_rows(notices, others), "k int, y int, text string, weight double").coalesce(1)
+    words = table.select("k", "weight", F.col("y").cast("double").alias("label"), _words(F.col("text")).alias("w"))
+    grams = words.select("k", "weight", "label", _grams(F.col("w"), _pairs(F.col("w"))).alias("grams"))
     every = CountVectorizer(inputCol="grams", outputCol="features", minDF=1.0).fit(grams).vocabulary
     telling = sorted(g for g in every if not set(g.split()) <= set(COMMON))
     counter = CountVectorizerModel.from_vocabulary(telling, "grams", "features").setBinary(True)
-    data = counter.transform(grams)
+    data = counter.transform(grams).select("k", "weight", "label", "features")
 
     def fitted(part: DataFrame):
-        trainer = LogisticRegression(family="multinomial", regParam=0.003, elasticNetParam=0.5, maxIter=40, standardization=False)
+        trainer = LogisticRegression(family="multinomial", regParam=0.003, elasticNetParam=0.5, maxIter=40, standardization=False, weightCol="weight")
         return trainer.fit(part)
 
     calibration = fitted(data.where(F.col("k") % 3 != 0)).transform(data.where(F.col("k") % 3 == 0))
@@ -230,8 +306,8 @@ def _number_array(values) -> Column:
 
 
 def notices_in(text: Column, model: Model, notices: dict[str, list[str]] = NOTICES) -> dict[str, Column]:
-    """Steps from a text to its notices, each to be added as a column before the next:
-    paragraphs, their words, 2-grams, known n-grams, logits and the found notices."""
+    """Steps from a text to its notices, each to be added as a column before the next: lines, their words, 2-grams,
+    known n-grams, chances and findings; the same for windows of lines; both together."""
     grams = sorted(model.weights)
     vocabulary = F.from_json(F.lit(json.dumps(grams)), "array<string>")
     table = F.from_json(F.lit(json.dumps({g: model.weights[g] for g in grams})), "map<string, array<double>>")
@@ -243,42 +319,90 @@ def notices_in(text: Column, model: Model, notices: dict[str, list[str]] = NOTIC
         return F.aggregate(known, bias, add)
 
     def chances(z: Column) -> Column:
-        warm = F.transform(F.concat(z, F.array(F.lit(0.0))), lambda x: F.exp(F.least(x, F.lit(300.0)) / model.temperature))
+        warm = F.transform(F.concat(z, F.array(F.lit(0.0))), lambda x: F.exp(F.least(x / model.temperature, F.lit(300.0))))
         total = F.aggregate(warm, F.lit(0.0), lambda a, x: a + x)
         return F.transform(warm, lambda x: x / total)
 
     templates = F.from_json(F.lit(json.dumps({f: [_own_pairs(t) for t in ts] for f, ts in notices.items()})), "map<string, array<array<string>>>")
     names = F.from_json(F.lit(json.dumps(list(model.families))), "array<string>")
 
-    def notice(i: Column, p: Column, pairs: Column) -> Column:
+    def named(family: Column, x: Column) -> Column:
+        flat, out = F.lower(F.regexp_replace(x, r"\s+", " ")), F.lit(False)
+        for f in reversed(model.families):
+            if f in SIGNS:
+                out = F.when(family == f, F.rlike(flat, F.lit(sign_pattern(f)))).otherwise(out)
+        return out
+
+    def finding(u: Column, p: Column, pairs: Column) -> Column:
         chance = F.array_max(F.slice(p, 1, n))
         family = F.element_at(names, F.array_position(p, chance).cast("int"))
         shares = F.transform(
             F.element_at(templates, family),
             lambda t: F.size(F.array_intersect(pairs, t)) / F.greatest(F.size(t), F.lit(1)),
         )
-        return F.struct(i.alias("paragraph"), family.alias("family"), chance.alias("confidence"), F.array_max(shares).alias("contained"))
-
-    numbered = F.transform(F.split(text, r"\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    lines = F.filter(numbered, lambda p: F.arrays_overlap(_words(p["x"]), anchors))
-    none = F.array().cast("array<struct<i:int,x:string>>")
-    return {
-        "__lines": F.when(F.arrays_overlap(_words(text), anchors), lines).otherwise(none),
-        "__words": F.transform("__lines", lambda p: _words(p["x"])),
-        "__pairs": F.transform("__words", _pairs),
-        "__known": F.zip_with(
-            "__words", "__pairs", lambda w, p: F.array_intersect(_grams(w, p), vocabulary)
-        ),
-        "__chance": F.transform("__known", lambda k: chances(logits(k))),
-        "__found": F.filter(
-            F.zip_with(
-                F.zip_with("__lines", "__chance", lambda l, p: F.struct(l["i"].alias("i"), p.alias("p"))),
-                "__pairs",
-                lambda a, q: notice(a["i"], a["p"], q),
+        return F.when(
+            chance >= CONFIDENCE,
+            F.struct(
+                u["i"].alias("paragraph"), family.alias("family"), chance.alias("confidence"),
+                F.array_max(shares).alias("contained"), named(family, u["x"]).alias("named"),
             ),
-            lambda f: f["confidence"] >= CONFIDENCE,
-        ),
-    }
+        )
+
+    def judged(name: str) -> dict[str, Column]:
+        """What each unit (i, x) of a column holds, in their order; null where no family is likely enough."""
+        w, q, k, p = (f"{name}_{x}" for x in ("words", "pairs", "known", "chance"))
+        return {
+            w: F.transform(name, lambda u: _words(u["x"])),
+            q: F.transform(w, _pairs),
+            k: F.zip_with(w, q, lambda a, b: F.array_intersect(_grams(a, b), vocabulary)),
+            p: F.transform(k, lambda g: F.when(F.size(g) > 0, chances(logits(g)))),
+            f"{name}_found": F.zip_with(
+                F.zip_with(name, p, lambda u, c: F.struct(u.alias("u"), c.alias("p"))), q,
+                lambda a, b: F.when(a["p"].isNotNull(), finding(a["u"], a["p"], b)),
+            ),
+        }
+
+    def joined(i: Column) -> Column:
+        """Lines i and after, up to WINDOW of them or the next blank one; null if that is one line."""
+        parts, open_ = [F.get("__all", i)], F.lit(True)
+        for k in range(1, WINDOW):
+            line = F.get("__all", i + k)
+            open_ = open_ & F.coalesce(F.rlike(line, F.lit(r"\S")), F.lit(False))
+            parts.append(F.when(open_, line))
+        return F.when(F.size(F.array_compact(F.array(*parts))) > 1, F.concat_ws(" ", *parts))
+
+    def telling(x: Column) -> Column:
+        return F.when(F.arrays_overlap(_words(x), anchors), x).otherwise("")
+
+    def free(i: Column) -> Column:
+        """No line of a window at i is a confirmed notice by itself, and its first line is not blank."""
+        taken = F.lit(False)
+        for k in range(WINDOW):
+            taken = taken | F.coalesce(is_sure(F.get("__line_found", i + k)), F.lit(False))
+        return ~taken & F.rlike(F.get("__all", i), F.lit(r"\S"))
+
+    units = "array<struct<i:int,x:string>>"
+    spans = F.transform("__all", lambda x, i: F.struct(i.alias("i"), F.when(free(i), joined(i)).alias("x")))
+    first_of_run = F.filter(
+        "__sure_spans",
+        lambda f, i: (i == 0)
+        | (F.get("__sure_spans", i - 1)["family"] != f["family"])
+        | (f["paragraph"] - F.get("__sure_spans", i - 1)["paragraph"] >= WINDOW),
+    )
+    return {
+        "__all": F.when(F.arrays_overlap(_words(text), anchors), F.split(text, r"\n")).otherwise(F.array().cast("array<string>")),
+        "__line": F.transform("__all", lambda x, i: F.struct(i.alias("i"), telling(x).alias("x"))).cast(units),
+        **judged("__line"),
+        "__span": F.filter(spans, lambda u: F.arrays_overlap(_words(u["x"]), anchors)).cast(units),
+        **judged("__span"),
+        "__sure_spans": F.filter("__span_found", lambda f: F.coalesce(is_sure(f), F.lit(False))),
+        "__found": F.concat(F.filter("__line_found", lambda f: f.isNotNull()), first_of_run),
+    }
+
+
+def is_sure(finding: Column) -> Column:
+    """Whether a template confirms a finding."""
+    return (finding["contained"] >= CONTAINED) | finding["named"]
 
 
 def _own_pairs(text: str) -> list[str]:
@@ -290,7 +414,9 @@ def _own_pairs(text: str) -> list[str]:
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_notices, n_confirmed, family, confidence, families, notices) for each row.
 
-    Paragraphs are split at line breaks; blank ones are not counted. family and
+    Paragraphs are counted by lines with more than white space; ``paragraph`` of a notice is the number of its first line.
+    A notice over several lines is reported only if it is confirmed and none of its lines is confirmed alone;
+    windows of one family that overlap are one notice. family and
     confidence are those of the confirmed notice of the largest confidence, the first on
     ties; families lists the confirmed ones. Texts without notices, empty and null ones
     too, have null family and confidence. Repeated rows are scanned one by one; other columns of docs
@@ -301,7 +427,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("n_paragraphs", solid.cast("long"))
     for name, step in notices_in(F.col("__text"), model).items():
         rows = rows.withColumn(name, step)
-    sure = F.filter("__found", lambda f: f["contained"] >= CONTAINED)
+    sure = F.filter("__found", is_sure)
     rows = rows.withColumn("__sure", sure)
     best = F.element_at(
         F.array_sort("__sure", lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(a["paragraph"] - b["paragraph"])),
