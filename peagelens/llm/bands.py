@@ -2,10 +2,10 @@
 
 Each set has a fixed number of band keys, whatever its length: each key is a hash of the least values of
 ``ROWS`` hash functions. Two sets of similarity s share one of ``BANDS`` keys with probability
-1 - (1 - s ** ROWS) ** BANDS, over 0.9999 at 0.8. A bucket of equal keys is never joined with itself: its
-members are compared with one of them, the hub, and those not joined so with another hub in each further
-round. So work is linear in the keys, and every link is checked on the whole sets. Sets are told by
-64-bit hashes.
+1 - (1 - s ** ROWS) ** BANDS, over 0.9999 at 0.8. Every two sets of equal keys are compared on the whole
+sets: sets that keys bring together go to the same place, and a place, or two places that share a key, are
+compared within one task. A place is of bounded size; a crowded bucket has several, and all of them meet.
+Each comparison hands on links that span what it found, never all pairs. Sets are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from peagelens.llm.wordscan import measure_texts
 from peagelens.session import settle
 
 BANDS, ROWS = 20, 4
-#: Times that the members of a bucket are compared with a hub.
-ROUNDS = 6
-#: Pairs whose SimHash fingerprints differ in more bits are not similar: some 12 bits are usual at 0.8.
-FAR = 26
+#: Shingles, and sets, of one place at most, about.
+PLACE_SHINGLES, PLACE_SETS = 250_000, 2048
+#: Steps by which the least set spreads over those that share keys, so that they come to one place.
+STEPS = 3
+#: Bits of the map that leaves out most rows before a join.
+MAP_BITS = 1 << 24
 
 _FACTORS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(
     2
@@ -53,83 +55,111 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _sizes_fit(a: Column, b: Column, share: Fraction) -> Column:
-    return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
+def _likely(rows: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash ``value`` is in ``wanted`` (one column of hashes), and some others.
 
+    The broadcast map has a bounded size; more hashes let more other rows pass. An exact join has to follow.
+    """
+    at = F.pmod(value, F.lit(MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(__at % 64 as int))")
+    held = wanted.select(F.pmod(F.col(wanted.columns[0]), F.lit(MAP_BITS)).alias("__at"))
+    words = held.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    tried = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word")
+    return tried.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return both.where(F.col("a") != F.col("b")).distinct()
-
-
-def _sets(pairs: DataFrame, first_rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingles) -> DataFrame:
-    """(sig, shingles) of every set in the pairs, read again from one row of docs each."""
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    one = settle(first_rows.join(nodes, "sig").select(F.col("row.doc_id").alias("d"), F.col("row.text_key").alias("k")), "band-rows")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    texts = texts.join(one, texts["id"].eqNullSafe(one["d"]) & (texts["key"] == one["k"]), "left_semi")
-
-    def measure(raw: list[bytes]) -> list:
-        found = [shingles(t) for t in raw]
-        return [np.array([identity(s) for s in found], np.int64), pa.array([s.tobytes() for s in found], pa.binary())]
-
-    return measure_texts(texts, {}, "text", "sig long, shingles binary", measure).dropDuplicates(["sig"])
 
+def spanning(left: list, right: list, share: Fraction) -> list[tuple[int, int]]:
+    """Links that join what all similar pairs of a set in ``left`` and one in ``right`` join.
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    A set is (sig, sorted array of distinct shingles); whole intersections are counted.
+    """
+    sizes = np.array([len(s) for _, s in right], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *(s for _, s in right)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(right)), sizes)[order]
+    up: dict[int, int] = {}
+    out = []
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for sig, one in left:
+        begin, end = np.searchsorted(flat, one, "left"), np.searchsorted(flat, one, "right")
+        n = end - begin
+        at = np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        alike = both * (share.numerator + share.denominator) >= share.numerator * (len(one) + sizes)
+        for k in np.flatnonzero(alike).tolist():
+            a, b = top(sig), top(right[k][0])
+            if a != b:
+                up[a] = b
+                out.append((sig, right[k][0]))
+    return out
+
+
+def _links(places: DataFrame, columns: list[str], share: Fraction) -> DataFrame:
+    """(a, b) that span the similar pairs of one column of sets with itself, or of two columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = (np.frombuffer(z.as_py(), np.int64) for z in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both * (share.numerator + share.denominator) >= share.numerator * (len(one) + len(two)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for k in range(batch.num_rows):
+                sides = []
+                for column in batch.columns:
+                    sets = {m["sig"]: m["shingles"] for m in column[k].as_py()}
+                    sides.append([(sig, np.frombuffer(raw, np.int64)) for sig, raw in sets.items()])
+                ends = np.array(spanning(sides[0], sides[-1], share), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(run, "a long, b long")
+    return places.select(*columns).mapInArrow(run, "a long, b long")
 
 
-def similar(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingles, share: Fraction, near: DataFrame) -> DataFrame:
+def similar(
+    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingles, share: Fraction, near: DataFrame,
+    place_shingles: int = PLACE_SHINGLES, place_sets: int = PLACE_SETS, steps: int = STEPS,
+) -> DataFrame:
     """(node, root) of the components of sets (sig) of at least the given similarity.
 
-    rows holds (doc_id, text_key, sig, n, fp, keys) of each row of docs; ``near`` holds pairs (a, b) of sets
-    to be tried in the first round.
+    rows holds (doc_id, text_key, sig, n, keys) of each row of docs; ``near`` holds (key, sig) of sets to be
+    compared besides those of equal band keys. Every two sets of a key are compared, however many a key has.
     """
-    first_rows = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    entries = rows.select("sig", "n", "fp", F.explode("keys").alias("key"))
+    entries = rows.select(F.explode("keys").alias("key"), "sig")
     ends = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") < F.col("hi"))
-    kept = settle(entries.join(ends.select("key"), "key").distinct(), "band-entries")
-    tried = links = None
-    for turn in range(ROUNDS):
-        # The least partner stands for a set and those joined with it; components wait till the end.
-        named = kept.withColumn("group", F.col("sig"))
-        if links is not None:
-            both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("least"))
-            named = kept.join(least, "sig", "left").withColumn("group", F.least("sig", "least"))
-        # A group, not a member, is drawn, so that a large group does not stay the hub.
-        rank = F.struct(F.xxhash64(F.lit(turn), "group").alias("h"), "group", "sig", "n", "fp")
-        hubs = named.groupBy("key").agg(F.min(rank).alias("hub"), F.max("group").alias("last"), F.min("group").alias("first"))
-        hubs = hubs.where(F.col("first") < F.col("last")).select("key", "hub")
-        stars = named.join(hubs, "key").where(
-            (F.col("group") != F.col("hub.group")) & _sizes_fit(F.col("n"), F.col("hub.n"), share)
-            & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= FAR)
-        )
-        pairs = stars.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b"))
-        pairs = _ordered(pairs.union(near.select("a", "b")) if turn == 0 else pairs)
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs")
-        if pairs.isEmpty():
-            continue
-        sets = settle(_sets(pairs, first_rows, docs, id_col, text_col, shingles), "band-shingles")
-        found = settle(_verified(pairs, sets, share), "band-links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-    if links is None:
-        return first_rows.select(F.col("sig").alias("node"), F.col("sig").alias("root")).limit(0)
-    return components(links)
+    shared = settle(ends.select("key"), "band-keys")
+    kept = _likely(entries, F.col("key"), shared).join(shared, "key")
+    kept = settle(kept.union(near.select("key", "sig")).distinct(), "band-entries")
+
+    # A set's name is the least set that some steps over common keys reach: neighbours mostly share it.
+    named = kept.withColumn("name", F.col("sig"))
+    for _ in range(steps):
+        least = named.groupBy("key").agg(F.min("name").alias("name"))
+        names = settle(kept.join(least, "key").groupBy("sig").agg(F.min("name").alias("name")), "band-names")
+        named = kept.join(names, "sig")
+    if not steps:
+        names = kept.select("sig", F.col("sig").alias("name")).distinct()
+    first = F.min(F.struct("doc_id", "text_key")).alias("row")
+    members = settle(rows.join(names, "sig").groupBy("sig", "name").agg(first, F.max("n").alias("n")), "band-members")
+    parts = F.greatest(F.ceil(F.sum("n") / place_shingles), F.ceil(F.count("*") / place_sets), F.lit(1))
+    sizes = members.groupBy("name").agg(parts.alias("parts"))
+    place = F.xxhash64("name", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    placed = settle(members.join(sizes, "name").select("sig", place.alias("place"), "row.*"), "band-places")
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    texts = _likely(texts, F.xxhash64("id", "key"), placed.select(F.xxhash64("doc_id", "text_key")))
+    texts = texts.join(placed, texts["id"].eqNullSafe(placed["doc_id"]) & (texts["key"] == placed["text_key"]))
+
+    def measure(raw: list[bytes]) -> list:
+        return [pa.array([shingles(t).tobytes() for t in raw], pa.binary())]
+
+    sets = measure_texts(texts, {"place": "place", "sig": "sig"}, "text", "shingles binary", measure)
+    places = settle(sets.groupBy("place").agg(F.collect_set(F.struct("sig", "shingles")).alias("sets")), "band-sets")
+    found = _links(places, ["sets"], share)
+
+    of_key = kept.join(placed, "sig").select("key", "place").distinct()
+    one, two = of_key.withColumnRenamed("place", "p"), of_key.withColumnRenamed("place", "q")
+    across = settle(one.join(two, "key").where(F.col("p") < F.col("q")).select("p", "q").distinct(), "band-across")
+    left, right = (places.select(F.col("place").alias(x), F.col("sets").alias(f"{x}_sets")) for x in "pq")
+    found = found.union(_links(across.join(left, "p").join(right, "q"), ["p_sets", "q_sets"], share))
+    return components(settle(found, "band-links"))

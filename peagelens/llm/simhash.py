@@ -170,7 +170,7 @@ def similar_rows(
 ) -> DataFrame:
     """(doc_id, text_key, fp, root) for each row of docs; rows of one root are joined by similar sets of shingles.
 
-    Fingerprints within the radius and equal band keys (see ``bands``) propose pairs; each is checked on
+    Chains of fingerprints within the radius and equal band keys (see ``bands``) propose pairs; each is checked on
     the whole sets. The result is settled; everything settled on the way to it is removed.
     """
     share, spark = Fraction(similarity), docs.sparkSession
@@ -202,6 +202,7 @@ def similar_rows(
             least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b"
         )
         near = settle(same.union(near.select("x", "y")).where(F.col("a") != F.col("b")), "simhash-links")
+        near = components(near).select(F.col("root").alias("key"), F.col("node").alias("sig"))
         roots = bands.similar(rows, docs, id_col, text_col, shingle_set, share, near)
         of_set = sets.join(roots, sets["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"))
         found = rows.select("doc_id", "text_key", "fp", "sig").join(of_set, "sig").drop("sig")

@@ -181,3 +181,70 @@ def test_pipeline_dedups_by_row(spark):
         (3, "second text of three is longer"), (None, "x y z u v w"), (None, "another text of a null id"), (5, ""), (6, "same row twice it is"),
     ]
     assert sorted(left, key=repr) == sorted(want, key=repr)
+
+
+def crowded():
+    """Groups of two similar texts in a crowd that shares half of its words: all of them meet in a few buckets."""
+    rng = random.Random(3)
+    words, passage, texts = [f"w{i}" for i in range(5000)], [f"p{i}" for i in range(60)], {}
+    for g in range(150):
+        own = rng.choices(words, k=24)
+        texts[2 * g] = " ".join(passage + own)
+        texts[2 * g + 1] = " ".join(passage + own[:-8] + rng.choices(words, k=8 + g % 3))
+    return texts
+
+
+def test_pairs_in_crowded_buckets_are_found(spark):
+    texts = crowded()
+    want, _, near = exact_classes(texts)
+    assert len(near) > 140 and len(set(want.values())) > 140
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = simhash.near_duplicates(docs, shingle=5, similarity="0.8").collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_similar_texts_whose_repeated_lines_differ(spark):
+    """Fingerprints weigh repeats, sets do not: one of two lines said often turns over about half of the bits."""
+    rng = random.Random(8)
+    own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    one, two = [f"l{i}" for i in range(12)], [f"m{i}" for i in range(12)]
+    texts = {1: " ".join(own + one * 200 + two), 2: " ".join(own[:-4] + ["x", "y", "z", "v"] + one + two * 200)}
+    want, _, _ = exact_classes(texts)
+    assert want == {1: 1, 2: 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = simhash.near_duplicates(docs, shingle=5, similarity="0.8").collect()
+    assert (int(got[0].fingerprint, 16) ^ int(got[1].fingerprint, 16)).bit_count() > 26
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_places_of_any_size_find_the_same(spark):
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from peagelens.llm import bands
+
+    texts = {**crowded(), **{1000 + k: f"{k} a b c d e f g h i j k l m n o p q r s t" for k in range(30)}, 2000: "", 2001: None, 2002: "one"}
+
+    def shingles(text):
+        return np.unique(simhash.shingle_hashes(text, 5).astype(np.uint64).view(np.int64))
+
+    sets = {k: shingles((t or "").encode()) for k, t in texts.items()}
+    docs = spark.createDataFrame([*texts.items(), *texts.items()], "doc_id long, text string").repartition(3)
+    keys = {k: (bands.identity(s), len(s), bands.band_keys(s).tolist()) for k, s in sets.items()}
+    rows = spark.createDataFrame([(k, *v) for k, v in keys.items()] * 2, "doc_id long, sig long, n long, keys array<long>")
+    rows = rows.join(docs.distinct(), "doc_id").withColumn("text_key", F.xxhash64("text")).drop("text")
+    near = spark.createDataFrame([], "key long, sig long")
+    by_key = {}
+    for sig, _, of in keys.values():
+        for key in of:
+            by_key.setdefault(key, set()).add(sig)
+    of_sig = {keys[k][0]: {int(x) for x in s} for k, s in sets.items()}
+    links = {
+        (a, b) for group in by_key.values() for a in group for b in group
+        if a < b and 5 * len(of_sig[a] & of_sig[b]) >= 4 * len(of_sig[a] | of_sig[b])
+    }
+    want = {k: v for k, v in classes(sorted(links), set(of_sig)).items() if any(k in e for e in links)}
+    for sizes in ((250_000, 2048, 3), (1500, 2048, 3), (250_000, 7, 1), (250_000, 2048, 0)):
+        got = bands.similar(rows, docs, "doc_id", "text", shingles, Fraction(4, 5), near, *sizes)
+        assert {r.node: r.root for r in got.collect()} == want
