@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peagelens.llm import decontaminate, mixing, secret_scan, simhash, toxicity
+from peagelens.llm import bitmap, decontaminate, mixing, secret_scan, simhash, toxicity
 from peagelens.session import fresh_path, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,11 +47,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         keys = keys.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"))
         return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), how)
 
-    left = among(rows, settle(others, "near-duplicates-others"), "left_anti")
+    others = settle(others, "near-duplicates-others")
     repeated = settle(repeated, "near-duplicates-repeated")
+    named = others.union(repeated).select(F.xxhash64("doc_id", "text_key"))
+    rows = bitmap.marked(rows, F.xxhash64("doc_id", "__key"), named, "__named")
+    alone, rows = rows.where(~F.col("__named")).select(*COLUMNS), rows.where("__named")
+    left = among(rows, others, "left_anti")
     several = among(left, repeated, "left_semi").groupBy("doc_id", "__key")
     one = several.agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return among(left, repeated, "left_anti").select(*COLUMNS).unionByName(one)
+    return alone.unionByName(among(left, repeated, "left_anti").select(*COLUMNS)).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peagelens.llm.bitmap import likely
 from peagelens.llm.components import components
 from peagelens.llm.wordscan import measure_texts
 from peagelens.session import settle
@@ -28,8 +29,6 @@ BANDS, ROWS = 20, 4
 PLACE_SHINGLES, PLACE_SETS = 250_000, 2048
 #: Steps by which the least set spreads over those that share keys, so that they come to one place.
 STEPS = 3
-#: Bits of the map that leaves out most rows before a join.
-MAP_BITS = 1 << 24
 
 _FACTORS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(
     2
@@ -55,19 +54,6 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _likely(rows: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
-    """The rows whose hash ``value`` is in ``wanted`` (one column of hashes), and some others.
-
-    The broadcast map has a bounded size; more hashes let more other rows pass. An exact join has to follow.
-    """
-    at = F.pmod(value, F.lit(MAP_BITS))
-    bit = F.expr("shiftleft(1L, cast(__at % 64 as int))")
-    held = wanted.select(F.pmod(F.col(wanted.columns[0]), F.lit(MAP_BITS)).alias("__at"))
-    words = held.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    tried = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word")
-    return tried.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def spanning(left: list, right: list, share: Fraction) -> list[tuple[int, int]]:
     """Links that join what all similar pairs of a set in ``left`` and one in ``right`` join.
 
@@ -128,7 +114,7 @@ def similar(
     entries = rows.select(F.explode("keys").alias("key"), "sig")
     ends = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") < F.col("hi"))
     shared = settle(ends.select("key"), "band-keys")
-    kept = _likely(entries, F.col("key"), shared).join(shared, "key")
+    kept = likely(entries, F.col("key"), shared).join(shared, "key")
     kept = settle(kept.union(near.select("key", "sig")).distinct(), "band-entries")
 
     # A set's name is the least set that some steps over common keys reach: neighbours mostly share it.
@@ -147,7 +133,7 @@ def similar(
     placed = settle(members.join(sizes, "name").select("sig", place.alias("place"), "row.*"), "band-places")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    texts = _likely(texts, F.xxhash64("id", "key"), placed.select(F.xxhash64("doc_id", "text_key")))
+    texts = likely(texts, F.xxhash64("id", "key"), placed.select(F.xxhash64("doc_id", "text_key")))
     texts = texts.join(placed, texts["id"].eqNullSafe(placed["doc_id"]) & (texts["key"] == placed["text_key"]))
 
     def measure(raw: list[bytes]) -> list:
@@ -160,6 +146,7 @@ def similar(
     of_key = kept.join(placed, "sig").select("key", "place").distinct()
     one, two = of_key.withColumnRenamed("place", "p"), of_key.withColumnRenamed("place", "q")
     across = settle(one.join(two, "key").where(F.col("p") < F.col("q")).select("p", "q").distinct(), "band-across")
-    left, right = (places.select(F.col("place").alias(x), F.col("sets").alias(f"{x}_sets")) for x in "pq")
+    meet = likely(places, F.col("place"), across.select("p").union(across.select("q")))
+    left, right = (meet.select(F.col("place").alias(x), F.col("sets").alias(f"{x}_sets")) for x in "pq")
     found = found.union(_links(across.join(left, "p").join(right, "q"), ["p_sets", "q_sets"], share))
     return components(settle(found, "band-links"))
